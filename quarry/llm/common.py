@@ -6,7 +6,9 @@ import os
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -73,8 +75,22 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    sc = spark.sparkContext
+    if spark.conf.get("quarry.shipped", None) != sc.applicationId:
+        spark.conf.set("quarry.shipped", sc.applicationId)
+        root = Path(__file__).parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="quarry-code-")) / "quarry.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for file in sorted(root.rglob("*.py")):
+                out.write(file, file.relative_to(root.parent))
+        sc.addPyFile(str(archive))
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Cap Arrow batches: texts may be long, and a batch is what a worker holds at once."""
+    """Make executors ready for Python and cap Arrow batches: texts may be long, and a batch is what a worker holds."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 

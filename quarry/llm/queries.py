@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from quarry.llm import media, mixing
+from quarry.llm import chat, licenses, media, mixing, packing
 
 QUERIES = {
+    "op1_licenses": licenses.op1_licenses,
+    "op5_packing": packing.op5_packing,
+    "op8_chat": chat.op8_chat,
     "op9_mixing": mixing.op9_mixing,
     "op10_media": media.op10_media,
 }
 
 ORACLES = {
+    "op1_licenses": licenses.ORACLE_SQL,
+    "op8_chat": chat.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, licenses, media, mixing, packing
+from quarry.llm import chat, licenses, media, mixing, packing, quality, topk, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op3_topk": topk.op3_topk,
+    "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op8_chat": chat.op8_chat,
     "op9_mixing": mixing.op9_mixing,
     "op10_media": media.op10_media,
@@ -14,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_licenses": licenses.ORACLE_SQL,
+    "op3_topk": topk.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }

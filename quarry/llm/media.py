@@ -211,7 +211,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     each; equal texts share a digest, and so all values; an empty table gives no rows.
     """
     docs = table(spark, sf_dir, "documents")
-    features = store_features(store_payloads(docs))
+    # written first: with an exchange on both sides, the join can split a digest that many documents share
+    features = materialize(store_features(store_payloads(docs)), "features")
 
     def page(batch: pa.RecordBatch) -> pa.RecordBatch:
         data = utf8(batch.column(1))

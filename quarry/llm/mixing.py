@@ -11,11 +11,12 @@ whole epochs first.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm.common import table
+from quarry.llm.common import map_arrow, materialize, pick, small_batches, table, utf8
 
 #: Code points that separate words.
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
@@ -62,6 +63,17 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
     return final.select("source", "source_size", F.greatest(target, F.lit(0.0)).alias("target"))
 
 
+def sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size of every row; size as `word_count` has it."""
+
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
+        # bytes.split() parts at the same six characters
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x.split()) for x in utf8(batch.column(2))], pa.int64())], names=["doc_id", "source", "size"])
+
+    small_batches(docs.sparkSession)
+    return map_arrow(pick(docs, doc_id="long", source="string", text="string"), count, "doc_id long, source string, size long")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """How many words of each document the mix takes.
 
@@ -73,10 +85,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     set. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    sized = materialize(sizes(docs), "sizes")  # the texts are read once; the rest works on these short rows
     sized = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     sized = sized.withColumn("range", F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("int"))
-    ranges = _ranges(spark, docs)
+    ranges = _ranges(spark, sized)
     sized = sized.withColumn("range", F.floor(F.col("range") * ranges / 16**RANGE_DIGITS).cast("int"))
     targets = source_targets(sized, weights, share, most)
     by_range = sized.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
@@ -141,9 +153,9 @@ FROM placed
 """
 
 
-def _ranges(spark: SparkSession, docs: DataFrame) -> int:
+def _ranges(spark: SparkSession, sized: DataFrame) -> int:
     """Key ranges per source: enough that one holds RANGE_ROWS rows if all rows were one source's."""
-    rows = docs.count()
+    rows = sized.count()
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return min(16**RANGE_DIGITS, max(at_least, -(-rows // RANGE_ROWS)))
 

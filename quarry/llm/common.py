@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 #: Raw text that one task is meant to hold; only sets how many partitions there are.
 PARTITION_BYTES = 16 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +44,12 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/quarry-{uuid.uuid4().hex}-{re.sub('[^A-Za-z0-9]+', '_', label)}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # what was shuffled to make the files is not needed once they are written
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
     return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, licenses, media, mixing, packing, quality, topk, toxicity
+from quarry.llm import chat, licenses, media, mixing, packing, quality, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
+    "op2_suffixes": suffixes.op2_suffixes,
     "op3_topk": topk.op3_topk,
     "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
@@ -17,6 +18,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_licenses": licenses.ORACLE_SQL,
+    "op2_suffixes": suffixes.ORACLE_SQL,
     "op3_topk": topk.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, licenses, media, mixing, packing, quality, suffixes, topk, toxicity
+from quarry.llm import chat, licenses, media, mixing, neardup, packing, quality, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_licenses": licenses.op1_licenses,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_packing": packing.op5_packing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_neardup": neardup.op7_neardup,
     "op8_chat": chat.op8_chat,
     "op9_mixing": mixing.op9_mixing,
     "op10_media": media.op10_media,
@@ -20,6 +21,7 @@ ORACLES = {
     "op1_licenses": licenses.ORACLE_SQL,
     "op2_suffixes": suffixes.ORACLE_SQL,
     "op3_topk": topk.ORACLE_SQL,
+    "op7_neardup": neardup.ORACLE_SQL,
     "op8_chat": chat.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }

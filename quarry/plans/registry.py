@@ -1,7 +1,399 @@
-"""Registered queries over the driver's tables, and the SQL that checks them."""
+"""Registered queries over the driver's tables.
+
+Documents become chunks and an index, written once per session and folder; the passages
+of `benchmark`, whole, are the batch of queries; `labels` says what is relevant.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import text as X
+from quarry.functions.stem import stemmed
+from quarry.functions.vectors import cosine_distance, hash_embedding, normalised
+from quarry.operators import catalog, dense, evaluation, feedback, fusion, index, lexical, rag, rerank, views
+from quarry.plans import oracles
+from quarry.sources import web
+from quarry.sources.work import written
+
 FLAGSHIP = "bm25_topk"
-QUERIES: dict = {}
-ORACLES: dict = {}
+K = 10
+
+_made: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable):
+    """make() once per application and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, what)
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), "text", "lang", "source")
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "chunks", lambda: written(index.chunk_documents(documents(spark, sf_dir)), "chunks"))
+
+
+def the_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return _once(spark, sf_dir, "index", lambda: index.build(chunks(spark, sf_dir)))
+
+
+def stemmed_index(spark: SparkSession, sf_dir: str) -> index.Index:
+    return _once(spark, sf_dir, "stemmed", lambda: index.build(chunks(spark, sf_dir), stem=True))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(document_id): documents labelled good and clean, relevant wherever they are found."""
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select(F.col("doc_id").cast("string").alias("document_id"))
+    return good
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, "vectors", lambda: written(chunks(spark, sf_dir).select("chunk_id", hash_embedding(F.col("text")).alias("embedding")), "vectors"))
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.select("query_id", "rank", "chunk_id", F.round("score", 6).alias("score"), F.array_join("matched_terms", " ").alias("matched"))
+
+
+# -- analysis and index ---------------------------------------------------------------
+
+
+def tokenize_terms(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("document_id", F.explode(X.analyzed(F.col("text"))).alias("t"))
+    return rows.groupBy("t.term").agg(F.count("*").alias("n"), F.count_distinct("document_id").alias("n_documents"), F.min("t.position").alias("first_position"))
+
+
+def chunk_windows(spark, sf_dir):
+    return chunks(spark, sf_dir).select("chunk_id", "position", "token_count", "char_start", "char_end", F.sha2("text", 256).alias("text_sha256"))
+
+
+def chunk_rules(spark, sf_dir):
+    return index.invalid_chunks(chunks(spark, sf_dir))
+
+
+def term_frequency(spark, sf_dir):
+    return the_index(spark, sf_dir).postings.select("term", "chunk_id", "tf", F.element_at("positions", 1).alias("first_position"), F.element_at("positions", -1).alias("last_position"))
+
+
+def chunk_lengths(spark, sf_dir):
+    return the_index(spark, sf_dir).lengths.select("chunk_id", "length")
+
+
+def document_frequency(spark, sf_dir):
+    i = the_index(spark, sf_dir)
+    rows = i.terms.join(F.broadcast(i.stats.select("n_chunks")))
+    return rows.select("term", "df", F.round(index.tfidf_idf(F.col("df"), F.col("n_chunks")), 6).alias("tfidf_idf"), F.round(index.bm25_idf(F.col("df"), F.col("n_chunks")), 6).alias("bm25_idf"))
+
+
+def collection_stats(spark, sf_dir):
+    return the_index(spark, sf_dir).stats.select("n_chunks", F.round("avg_length", 6).alias("avg_length"), "n_documents", "n_terms", "n_postings")
+
+
+def tfidf_norms(spark, sf_dir):
+    return the_index(spark, sf_dir).norms.select("chunk_id", F.round("norm", 6).alias("norm"))
+
+
+def champion_lists(spark, sf_dir):
+    return the_index(spark, sf_dir).champions.select("term", "rank", "chunk_id", "tf")
+
+
+# -- ranked retrieval -----------------------------------------------------------------
+
+
+def tfidf_topk(spark, sf_dir):
+    return _shown(lexical.search_tfidf(questions(spark, sf_dir), the_index(spark, sf_dir), K, "exact"))
+
+
+def bm25_topk(spark, sf_dir):
+    return _shown(lexical.search_bm25(questions(spark, sf_dir), the_index(spark, sf_dir), K, "exact"))
+
+
+def champion_tfidf_topk(spark, sf_dir):
+    return _shown(lexical.search_tfidf(questions(spark, sf_dir), the_index(spark, sf_dir), K, "champion"))
+
+
+def champion_bm25_topk(spark, sf_dir):
+    return _shown(lexical.search_bm25(questions(spark, sf_dir), the_index(spark, sf_dir), K, "champion"))
+
+
+def champion_diagnostics(spark, sf_dir):
+    rows = lexical.diagnostics(questions(spark, sf_dir), the_index(spark, sf_dir), K)
+    return rows.withColumn("reduction_percentage", F.round("reduction_percentage", 6))
+
+
+def champion_overlap(spark, sf_dir):
+    q, i = questions(spark, sf_dir), the_index(spark, sf_dir)
+    rows = lexical.overlap(lexical.search_bm25(q, i, K, "champion"), lexical.search_bm25(q, i, K, "exact"), q, K)
+    return rows.withColumn("exact_top_k_overlap", F.round("exact_top_k_overlap", 6))
+
+
+def prf_expansion(spark, sf_dir):
+    got = feedback.search_with_feedback(questions(spark, sf_dir), the_index(spark, sf_dir), K, mode="exact")
+    return got.terms.filter("added").select("query_id", "term", F.round("w", 6).alias("weight"))
+
+
+def prf_tfidf_topk(spark, sf_dir):
+    return _shown(feedback.search_with_feedback(questions(spark, sf_dir), the_index(spark, sf_dir), K, mode="exact").hits)
+
+
+def prf_bm25_topk(spark, sf_dir):
+    return _shown(feedback.search_with_feedback(questions(spark, sf_dir), the_index(spark, sf_dir), K, scoring="bm25", mode="exact").hits)
+
+
+def bm25_stemmed_topk(spark, sf_dir):
+    return _shown(lexical.search_bm25(questions(spark, sf_dir), stemmed_index(spark, sf_dir), K, "exact"))
+
+
+def porter_vocabulary(spark, sf_dir):
+    return stemmed(the_index(spark, sf_dir).terms)
+
+
+# -- vectors and fusion ---------------------------------------------------------------
+
+
+def vector_knn(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    got = dense.nearest(v, v.withColumnRenamed("vec_id", "query_id"), K, key="vec_id")
+    return got.select("query_id", "rank", "vec_id", F.abs(F.round("distance", 6)).alias("distance"), F.abs(F.round("score", 6)).alias("score"))
+
+
+def vector_normalised(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").select("vec_id", normalised(F.col("embedding").cast("array<double>")).alias("u"))
+    zero = F.array(*[F.lit(0.0)] * 64)
+    return v.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda s, x: s + x), 6).alias("component_sum"), F.round(cosine_distance(F.col("u"), zero), 6).alias("distance_to_zero"))
+
+
+def _arms(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    q = questions(spark, sf_dir)
+    asked = q.select("query_id", hash_embedding(F.col("text")).alias("embedding"))
+    near = dense.nearest(chunk_vectors(spark, sf_dir), asked, fusion.ARM_DEPTH)
+    return near, lexical.search_bm25(q, the_index(spark, sf_dir), fusion.ARM_DEPTH, "champion")
+
+
+def _fused(spark, sf_dir) -> DataFrame:
+    return _once(spark, sf_dir, "fused", lambda: written(fusion.fused(*_arms(spark, sf_dir)), "fused"))
+
+
+def hybrid_topk(spark, sf_dir):
+    rows = _fused(spark, sf_dir)
+    return rows.select("query_id", "rank", "chunk_id", F.round("fusion_score", 6).alias("fusion_score"), "dense_rank", "bm25_rank", F.round("dense_score", 6).alias("dense_score"), F.round("bm25_score", 6).alias("bm25_score"), F.array_join("retrieval_sources", ",").alias("sources"))
+
+
+def _evidence(spark, sf_dir) -> DataFrame:
+    def make() -> DataFrame:
+        titled = documents(spark, sf_dir).select("document_id", F.col("source").alias("title"), F.lit("upload").alias("source_type"), F.lit(None).cast("string").alias("original_filename"))
+        wide = chunks(spark, sf_dir).select("document_id", "chunk_id", "text", "position", F.lit(None).cast("int").alias("page_start"), F.lit(None).cast("int").alias("page_end"), F.lit(None).cast("string").alias("section_title"))
+        hits = _fused(spark, sf_dir).join(wide.select("chunk_id", "document_id"), "chunk_id")
+        return written(fusion.with_evidence(catalog.hydrate(hits, wide, titled), questions(spark, sf_dir), the_index(spark, sf_dir)), "evidence")
+
+    return _once(spark, sf_dir, "evidence", make)
+
+
+def lexical_coverage(spark, sf_dir):
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return _evidence(spark, sf_dir).select("query_id", "chunk_id", r6("coverage"), r6("idf_coverage"), "all_terms", r6("relative_bm25"), "strong")
+
+
+def pinned_context(spark, sf_dir):
+    return fusion.select_context(_evidence(spark, sf_dir), 4).select("query_id", "rank", "chunk_id", "strong")
+
+
+def relevance_gate(spark, sf_dir):
+    return fusion.gate(fusion.select_context(_evidence(spark, sf_dir), 4), questions(spark, sf_dir))
+
+
+def reranked_topk(spark, sf_dir):
+    hits = lexical.search_bm25(questions(spark, sf_dir), the_index(spark, sf_dir), 25, "exact").join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    return rerank.rerank_by_overlap(hits, questions(spark, sf_dir), K).select("query_id", "rank", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+def rag_outcomes(spark, sf_dir):
+    selected = fusion.select_context(_evidence(spark, sf_dir), 4)
+    q = questions(spark, sf_dir)
+    return rag.outcomes(q, selected, fusion.gate(selected, q)).drop("elapsed_ms")
+
+
+def rag_contexts(spark, sf_dir):
+    rows = rag.contexts(fusion.select_context(_evidence(spark, sf_dir), 4))
+    return rows.select("query_id", F.sha2("context", 256).alias("context_sha256"), F.array_join("chunk_ids", ",").alias("chunk_ids"))
+
+
+# -- evaluation -----------------------------------------------------------------------
+
+
+def _judged(spark, sf_dir, k: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Ranking by document, the relevant documents of each query, queries."""
+    q = questions(spark, sf_dir)
+    good = relevant(spark, sf_dir)
+    hits = lexical.search_bm25(q, the_index(spark, sf_dir), k, "exact").select("query_id", "rank", "document_id")
+    # relevant to a query: good documents among its hits
+    qrels = hits.select("query_id", "document_id").distinct().join(good, "document_id", "left_semi")
+    return hits, qrels, q
+
+
+def retrieval_metrics(spark, sf_dir):
+    rows = evaluation.metrics(*_judged(spark, sf_dir), 4, item="document_id")
+    return rows.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "reciprocal_rank", "ndcg")])
+
+
+def macro_metrics(spark, sf_dir):
+    rows = evaluation.metrics(*_judged(spark, sf_dir), 4, item="document_id")
+    split = F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")
+    means = evaluation.macro(rows.withColumn("split", split), "split")
+    return means.select("split", "n_queries", *[F.round(c, 6).alias(c) for c in ("precision", "reciprocal_rank", "ndcg")])
+
+
+def rank_positions(spark, sf_dir):
+    hits, qrels, _ = _judged(spark, sf_dir)
+    return evaluation.rank_positions(hits, qrels, 4, "document_id")
+
+
+def bm25_sweep(spark, sf_dir):
+    q, i = questions(spark, sf_dir), the_index(spark, sf_dir)
+    grid = [(k1, b) for k1 in evaluation.GRID_K1 for b in evaluation.GRID_B]
+    best = lexical.sweep_bm25(q, i, grid, 4).select("k1", "b", "query_id", "rank", "chunk_id", "score")
+    return best.groupBy("k1", "b").agg(F.count("*").alias("n"), F.round(F.sum(F.round("score", 6)), 4).alias("score_sum"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("rank") == 1, F.struct("query_id", "chunk_id")))), lambda x: x["chunk_id"]), ",").alias("first_ids"))
+
+
+# -- views ----------------------------------------------------------------------------
+
+
+def _hits(spark, sf_dir) -> DataFrame:
+    return _once(spark, sf_dir, "hits", lambda: written(lexical.search_bm25(questions(spark, sf_dir), the_index(spark, sf_dir), K, "exact"), "hits"))
+
+
+def heat_map(spark, sf_dir):
+    return views.heat_map(_hits(spark, sf_dir)).select("query_id", "document_id", "term", F.round("value", 6).alias("value"), F.round("share", 6).alias("share"), "bucket")
+
+
+def document_scores(spark, sf_dir):
+    return views.document_scores(_hits(spark, sf_dir)).select("query_id", "document_id", F.round("score", 6).alias("score"), F.size("matched_terms").alias("n_terms"))
+
+
+def relation_graph_lexical(spark, sf_dir):
+    return views.graph_edges(views.document_scores(_hits(spark, sf_dir)))
+
+
+def relation_graph_semantic(spark, sf_dir):
+    rows = views.graph_edges(views.document_scores(_hits(spark, sf_dir)), "semantic")
+    return rows.withColumn("weight", F.round("weight", 6))
+
+
+def relation_graph_nodes(spark, sf_dir):
+    rows = views.graph_nodes(views.document_scores(_hits(spark, sf_dir)))
+    return rows.select("query_id", "document_id", "place", (F.round("x", 4) + 0.0).alias("x"), (F.round("y", 4) + 0.0).alias("y"))
+
+
+def contribution_chart(spark, sf_dir):
+    rows = views.contribution_chart(_hits(spark, sf_dir))
+    return rows.select("query_id", "chunk_id", "term", "place", F.round("contribution", 6).alias("contribution"), F.round("width", 4).alias("width"))
+
+
+def graded_terms(spark, sf_dir):
+    return views.graded_terms(_hits(spark, sf_dir)).select("query_id", "chunk_id", "term", F.round("intensity", 6).alias("intensity"), "bucket")
+
+
+# -- catalog and text -----------------------------------------------------------------
+
+
+def listing_page(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return catalog.page_of(rows, 20, 40, ("n_chars", "doc_id"))
+
+
+def dedup_sha256(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    fresh, twice = catalog.split_duplicates(rows, rows.limit(0), "doc_id")
+    return fresh.select("doc_id", "sha256", F.lit(False).alias("duplicate")).unionByName(twice.select("doc_id", "sha256", F.lit(True).alias("duplicate")))
+
+
+def upsert_vectors(spark, sf_dir):
+    """Every vector under its label as document; those of labels 0 to 4 are replaced by the ones with even ids."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("document_id"))
+    after, stale = dense.upserted(rows, rows.filter("document_id < 5 and chunk_id % 2 = 0"))
+    return after.select("chunk_id", "document_id", F.lit("kept").alias("state")).unionByName(stale.select("chunk_id", F.lit(None).cast("int").alias("document_id"), F.lit("stale").alias("state")))
+
+
+def delete_cascade(spark, sf_dir):
+    """Chunks and postings per document once documents labelled toxic are deleted."""
+    gone = table(spark, sf_dir, "labels").filter("toxic = 1").select(F.col("doc_id").cast("string").alias("document_id")).distinct()
+    i = the_index(spark, sf_dir)
+    left = chunks(spark, sf_dir).join(gone, "document_id", "left_anti").groupBy("document_id").agg(F.count("*").alias("n_chunks"))
+    posted = i.postings.join(gone, "document_id", "left_anti").groupBy("document_id").agg(F.count("*").alias("n_postings"))
+    return left.join(posted, "document_id", "left").select("document_id", "n_chunks", F.coalesce("n_postings", F.lit(0)).alias("n_postings"))
+
+
+def page_hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", X.host(F.col("url")).alias("host"), F.octet_length("html").alias("download_bytes"))
+
+
+def page_texts(spark, sf_dir):
+    return web.read_pages(table(spark, sf_dir, "pages")).select("page_id", "title", "host", "sha256", F.length("text").alias("n_chars"), "error")
+
+
+def public_urls(spark, sf_dir):
+    return web.public_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "problem")
+
+
+def normalised_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(X.normalised(F.col("text")), 256).alias("sha256"))
+
+
+def segment_offsets(spark, sf_dir):
+    """Each conversation as a document whose turns are segments: their places in the joined text."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", F.lit(0).alias("char_start")))).alias("s"))
+    rows = turns.select("conv_id", F.explode(X.assembled(F.col("s"))).alias("s"))
+    return rows.select("conv_id", "s.turn", "s.char_start", F.length("s.text").alias("n_chars"))
+
+
+def citation_markers(spark, sf_dir):
+    """Texts with markers put after each line: what strips them and what reads them."""
+    marked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" [1] [n2][1]  end [12] <think>a\nb</think> ")).alias("t"))
+    return marked.select("conv_id", "turn", F.sha2(X.without_markers(F.col("t")), 256).alias("stripped_sha256"), F.array_join(F.transform(X.cited_numbers(F.col("t")), lambda x: x.cast("string")), ",").alias("numbers"), X.has_citation(F.col("t")).alias("has_citation"), F.length(X.without_thinking(F.col("t"))).alias("n_chars"))
+
+
+def labels_and_formats(spark, sf_dir):
+    """The small formatters over documents and conversations."""
+    rows = table(spark, sf_dir, "documents").withColumn("p", (F.col("doc_id") % 3).cast("int"))
+    first, last = F.when(F.col("p") > 0, F.col("p")), F.when(F.col("p") > 0, F.col("p") * 2 - 1)
+    return rows.select(
+        "doc_id", X.page_label(first, last).alias("page"), X.short_title(F.concat(F.lit("Document number "), F.col("doc_id").cast("string"))).alias("title"),
+        X.file_label(F.lit("application/octet-stream"), F.concat("source", F.lit(".PDF")), F.lit("upload")).alias("kind"), X.score_text(F.when(F.col("p") > 0, F.col("n_chars") / 1000.0)).alias("score"),
+        X.latency_text(F.col("n_chars") * 1.0).alias("latency"), X.heat_bucket(F.col("p") / 3.0).alias("heat"), X.abstention_text(F.when(F.col("p") == 1, "low_relevance")).alias("said"),
+    )
+
+
+def highlighted_hits(spark, sf_dir):
+    hits = _hits(spark, sf_dir).join(chunks(spark, sf_dir).select("chunk_id", "text"), "chunk_id")
+    return hits.select("query_id", "chunk_id", F.size(F.regexp_extract_all(X.highlighted(F.col("text"), F.col("matched_terms")), F.lit("<mark>"), F.lit(0))).alias("n_marks"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        tokenize_terms, chunk_windows, chunk_rules, term_frequency, chunk_lengths, document_frequency, collection_stats, tfidf_norms, champion_lists,
+        tfidf_topk, bm25_topk, champion_tfidf_topk, champion_bm25_topk, champion_diagnostics, champion_overlap, prf_expansion, prf_tfidf_topk, prf_bm25_topk,
+        bm25_stemmed_topk, porter_vocabulary, vector_knn, vector_normalised, hybrid_topk, lexical_coverage, pinned_context, relevance_gate, reranked_topk,
+        rag_outcomes, rag_contexts, retrieval_metrics, macro_metrics, rank_positions, bm25_sweep, heat_map, document_scores, relation_graph_lexical,
+        relation_graph_semantic, relation_graph_nodes, contribution_chart, graded_terms, listing_page, dedup_sha256, upsert_vectors, delete_cascade,
+        page_hosts, page_texts, public_urls, normalised_text, segment_offsets, citation_markers, labels_and_formats, highlighted_hits,
+    )
+}
+
+ORACLES = oracles.ORACLES

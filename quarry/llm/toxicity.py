@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_arrow, pick, small_batches, table
+from quarry.llm.common import map_arrow, materialize, pick, released, small_batches, table
 from quarry.llm.quality import in_fold, training_rows
 
 #: Labelled rows that are fitted on, at most.
@@ -31,9 +31,9 @@ THRESHOLD = 0.3
 TERMS, CANDIDATES = 2_000, 20_000
 STEM = range(4, 13)
 #: The least log odds of a term, and the least documents and share of toxic documents with it.
-LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 3.0, 5, 0.004
-#: Terms at least this long are also found at an edit distance of 1.
-FUZZY_LENGTH = 5
+LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 2.7, 5, 0.004
+#: Words, and stems, at least this long are also found at an edit distance of 1.
+FUZZY_LENGTH, FUZZY_STEM = 5, 6
 #: Words on each side of a match that tell its context.
 WINDOW = 6
 
@@ -52,6 +52,11 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _shortened(letters: str) -> list[str]:
+    """The letters, and each string with one of them left out."""
+    return [letters, *[letters[:i] + letters[i + 1 :] for i in range(len(letters))]]
+
+
 @dataclass
 class Lexicon:
     """A trie of terms with weights, matched by Levenshtein automata."""
@@ -60,26 +65,27 @@ class Lexicon:
     spelled: frozenset[str] = frozenset()  # spellings near a term that clean documents use
     memo: dict[str, tuple[float, int]] = field(default_factory=dict, repr=False)
 
-    MEMO = 200_000  # words remembered at once; more are looked up again
+    MEMO = 500_000  # words remembered at once; more are looked up again
 
     def __post_init__(self) -> None:
         self.root: dict = {}
         self.exact: dict[str, float] = {}
         self.stems: dict[str, float] = {}
-        self.heads: set[str] = set()
-        self.middles: set[tuple[int, str]] = set()
+        self.whole_short: set[str] = set()
+        self.stem_short: set[str] = set()
         for letters, stem, weight in self.terms:
             (self.stems if stem else self.exact)[letters] = weight
-            if len(letters) >= FUZZY_LENGTH:
+            if len(letters) >= (FUZZY_STEM if stem else FUZZY_LENGTH):
                 node = self.root
                 for letter in letters:
                     node = node.setdefault(letter, {})
                 node[""] = (stem, weight)
-                # one edit leaves the term's first half in place or its second half within a place
-                half = len(letters) // 2
-                self.heads.add(letters[:2])
-                self.middles |= {(half + d, letters[half : half + 2]) for d in (-1, 0, 1)}
+                (self.stem_short if stem else self.whole_short).update(_shortened(letters))
         self.sizes = sorted({len(x) for x in self.stems})
+        fuzzy = {len(x) for x in self.stems if len(x) >= FUZZY_STEM}
+        self.prefixes = sorted({n + d for n in fuzzy for d in (-1, 0, 1)})
+        lengths = [len(x) for x in self.exact if len(x) >= FUZZY_LENGTH]
+        self.shortest, self.longest = min(lengths, default=99) - 1, max(lengths, default=-9) + 1
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "memo": {}}
@@ -98,12 +104,17 @@ class Lexicon:
             best = max(best, self.stems.get(word[:n], 0.0) if n <= len(word) else 0.0)
         if best:
             return best, 0
-        if len(word) < FUZZY_LENGTH - 1 or word in self.spelled:
-            return 0.0, 0
-        if word[:2] not in self.heads and not any((i, word[i : i + 2]) in self.middles for i in range(1, len(word) - 1)):
+        if word in self.spelled or not self._may_be_near(word):
             return 0.0, 0
         return self.near(word), 1
 
+    def _may_be_near(self, word: str) -> bool:
+        """Two strings within one edit become equal by leaving out a letter of each at most: most words fail this."""
+        size = len(word)
+        if self.shortest <= size <= self.longest and not self.whole_short.isdisjoint(_shortened(word)):
+            return True
+        return any(n <= size and not self.stem_short.isdisjoint(_shortened(word[:n])) for n in self.prefixes)
+
     def near(self, word: str) -> float:
         """The largest weight of a term within one edit of the word (a stem: of the word's start)."""
         best, size = 0.0, len(word)
@@ -198,7 +209,7 @@ def learn_terms(rows: DataFrame) -> tuple[tuple[tuple[str, bool, float], ...], D
 
     totals = rows.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
     n_toxic, n_clean = totals["toxic"] or 0, totals["clean"] or 0
-    by_word = map_arrow(rows, count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    by_word = materialize(map_arrow(rows, count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")), "by_word")
     stems = by_word.select(F.explode(F.array_distinct(F.concat(F.transform(F.array(*map(F.lit, STEM)), lambda n: F.substring("word", 1, n)), F.array("word")))).alias("letters"), "word", "toxic", "clean").filter(F.length("letters") >= STEM[0])
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     by_stem = stems.groupBy("letters").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("forms"), F.max(F.when(F.col("word") == F.col("letters"), F.col("toxic"))).alias("own")).withColumn("odds", odds)
@@ -233,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = training_rows(docs, labels, "toxic", FOLDS, HELD, sample).persist()
+    rows = materialize(training_rows(docs, labels, "toxic", FOLDS, HELD, sample), "labelled")
     terms, by_word = learn_terms(rows)
     bare = Lexicon(terms)
 
@@ -249,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         return pa.RecordBatch.from_arrays([pa.array([features(x or "", lexicon) for x in batch.column(0).to_pylist()], pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
     got = sorted((r["label"], r["x"]) for r in map_arrow(rows, measure, "x array<double>, label int").collect())
-    rows.unpersist()
+    released(rows, by_word)
     return Model(lexicon, fit(np.array([x for _, x in got]), np.array([y for y, _ in got], float)))
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 STEP_2 = "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log fulli:ful"
 STEP_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
 STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-IRREGULAR = {"skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "outings": "outing", "cannings": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
+IRREGULAR = {"sky": "sky", "skies": "sky", "inning": "inning", "outing": "outing", "canning": "canning", "dying": "die", "lying": "lie", "tying": "tie", "news": "news", "innings": "inning", "outings": "outing", "cannings": "canning", "howe": "howe", "proceed": "proceed", "exceed": "exceed", "succeed": "succeed"}
 
 
 def _table(said: str) -> list[tuple[str, str]]:

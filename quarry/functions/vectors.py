@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import urllib.request
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -13,7 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import let, tokens
+#: As the analyzer's tokens: letters and digits, with one apostrophe suffix.
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -54,13 +56,48 @@ def checked_unit(vector: list[float], dims: int | None = None) -> list[float]:
     return [x / size for x in vector]
 
 
-def hash_embedding(text: Column, dims: int = 8) -> Column:
+class HashEmbedder:
     """The offline embedder: each token counts in the bin of its code points' sum; unit length, or zeros."""
-    points = F.transform(tokens(text), lambda t: F.aggregate(F.split(t, ""), F.lit(0), lambda s, c: s + F.ascii(c)))
-    bins = F.transform(points, lambda p: F.pmod(p, F.lit(dims)))
-    zeros = F.array(*[F.lit(0.0)] * dims)
-    counts = F.aggregate(bins, zeros, lambda held, b: F.transform(held, lambda x, k: F.when(k == b, x + 1).otherwise(x)))
-    return let(counts, lambda c: let(norm(c), lambda size: F.transform(c, lambda x: F.when(size > 0, x / size).otherwise(F.lit(0.0)))))
+
+    def __init__(self, dims: int = 8) -> None:
+        self.dims, self.bins = dims, {}
+
+    def _bin(self, token: str) -> int:
+        if (got := self.bins.get(token)) is None:
+            if len(self.bins) >= 200_000:  # a memory of tokens, not a limit on them
+                self.bins.clear()
+            got = self.bins[token] = sum(map(ord, token.lower().replace("ß", "ss"))) % self.dims
+        return got
+
+    def embed_documents(self, texts: list[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            counts = [0.0] * self.dims
+            for token in _TOKEN.findall(text):
+                counts[self._bin(token)] += 1
+            size = math.sqrt(sum(x * x for x in counts))
+            out.append([x / size for x in counts] if size else counts)
+        return out
+
+    def embed_query(self, text: str) -> list[float]:
+        return self.embed_documents([text])[0]
+
+
+def hash_embedding(text: Column, dims: int = 8) -> Column:
+    """The offline embedder as a column, in Arrow batches."""
+    from pyspark.sql import SparkSession
+
+    from quarry.sources.work import python_ready
+
+    python_ready(SparkSession.active())
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = HashEmbedder(dims)
+        for texts in batches:
+            yield pd.Series(model.embed_documents([t or "" for t in texts]))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return F.pandas_udf(run, "array<double>")(text)
 
 
 class Embedder(Protocol):
@@ -114,7 +151,7 @@ class HttpEmbedder:
         return self._one(text, "query")
 
 
-_makers: dict[str, Callable[[], Embedder]] = {"vocabulary": VocabularyEmbedder}
+_makers: dict[str, Callable[[], Embedder]] = {"hash": HashEmbedder, "vocabulary": VocabularyEmbedder}
 
 
 def register_embedder(name: str, make: Callable[[], Embedder]) -> None:

@@ -77,7 +77,7 @@ def read_docx(data: bytes) -> tuple[str | None, list[dict], dict[str, str]]:
 
 
 _STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>")
-_SHOWN = re.compile(rb"(\[(?:\\.|\((?:\\.|[^\\()])*\)|[^\]])*\]|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(TJ|Tj|'|\")|(T\*|Td|TD|ET|Tm)\b")
+_SHOWN = re.compile(rb"(\[(?:\\.|\((?:\\.|[^\\()])*\)|[^\]])*\]|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(TJ|Tj|'|\")|(T\*|\b(?:Td|TD|ET|Tm)\b)")
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
 
 

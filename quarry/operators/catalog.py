@@ -217,7 +217,7 @@ class Store:
         """Adds documents whose digest is new; the first of equal ones in a batch. The digest names the document."""
         known = self.table("documents").select("sha256")
         fresh, twice = split_duplicates(read, known, name)
-        fresh = fresh.withColumn("document_id", F.substring("sha256", 1, 32)).persist()
+        fresh = fresh.dropDuplicates(["sha256"]).withColumn("document_id", F.substring("sha256", 1, 32)).persist()
         if not fresh.isEmpty():
             chunks = I.chunk_extracted(fresh, self.config.chunk_size, self.config.chunk_overlap).withColumnRenamed("metadata", "extra_metadata")
             self.add(fresh.withColumnRenamed("metadata", "extra_metadata"), chunks)

@@ -7,16 +7,23 @@ and the mean length count chunks, those without a single term included.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from quarry.config import CHAMPION_SIZE, CHUNK_OVERLAP, CHUNK_SIZE, check_chunking, require
 from quarry.functions import text as X
+from quarry.functions.stem import stem as porter
 from quarry.functions.stem import stemmed
-from quarry.sources.work import written
+from quarry.sources.work import python_ready, written
+
+#: The analyzer's tokens, as X.TOKEN has them.
+_TOKEN = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 
 
 def chunk_documents(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, key: str = "document_id") -> DataFrame:
@@ -78,13 +85,57 @@ class Index:
 
 
 def postings_of(chunks: DataFrame, stem: bool = False) -> DataFrame:
-    rows = terms_of(chunks, stem)
-    return rows.groupBy("term", "chunk_id", "document_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    """term, chunk_id, document_id, tf, positions: a row per term of a chunk.
+
+    A chunk is one row, so its terms are counted where it is: Arrow batches go through
+    `Analyzer`, which follows `functions.text.analyzed`, and nothing is shuffled.
+    """
+    python_ready(chunks.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        analyzer = Analyzer(stem)
+        for batch in batches:
+            out = [(term, chunk, document, len(places), places) for chunk, document, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for term, places in analyzer.places(text or "").items()]
+            if out:
+                kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["term", "chunk_id", "document_id", "tf", "positions"])
+
+    narrow = chunks.select(F.col("chunk_id").cast("string"), F.col("document_id").cast("string"), F.col("text").cast("string"))
+    return narrow.mapInArrow(run, "term string, chunk_id string, document_id string, tf int, positions array<int>")
+
+
+class Analyzer:
+    """Terms and their places in a text, each distinct token looked at once."""
+
+    MEMO = 300_000  # tokens remembered; others are looked at again
+
+    def __init__(self, stem: bool = False, min_length: int = 2) -> None:
+        self.stem, self.min_length, self.memo, self.stops = stem, min_length, {}, frozenset(X.STOP_WORDS)
+
+    def _term(self, token: str) -> str:
+        folded = token.lower().replace("ß", "ss")
+        if len(folded) < self.min_length or folded in self.stops:
+            return ""
+        return porter(folded) if self.stem else folded
+
+    def places(self, text: str) -> dict[str, list[int]]:
+        if len(self.memo) > self.MEMO:
+            self.memo.clear()
+        out: dict[str, list[int]] = {}
+        for place, token in enumerate(_TOKEN.findall(text)):
+            if (term := self.memo.get(token)) is None:
+                term = self.memo[token] = self._term(token)
+            if term:
+                out.setdefault(term, []).append(place)
+        return out
 
 
-def lengths_of(chunks: DataFrame) -> DataFrame:
+def lengths_of(chunks: DataFrame, postings: DataFrame | None = None) -> DataFrame:
     """Terms per chunk; chunks without any have length 0 and stay."""
-    return chunks.select("chunk_id", "document_id", F.size(X.analyzed(F.col("text"))).alias("length"))
+    if postings is None:
+        return chunks.select("chunk_id", "document_id", F.size(X.analyzed(F.col("text"))).alias("length"))
+    counted = postings.groupBy("chunk_id").agg(F.sum("tf").alias("n"))
+    return chunks.select("chunk_id", "document_id").join(counted, "chunk_id", "left").select("chunk_id", "document_id", F.coalesce("n", F.lit(0)).cast("int").alias("length"))
 
 
 def tfidf_idf(df: Column, n: Column) -> Column:
@@ -125,9 +176,9 @@ def collection_stats(postings: DataFrame, lengths: DataFrame) -> DataFrame:
 
 
 def build(chunks: DataFrame, stem: bool = False, champion_size: int = CHAMPION_SIZE) -> Index:
-    """The whole index, its tables written once; texts are analysed once for postings and once for lengths."""
+    """The whole index, its tables written once; texts are analysed once."""
     postings = written(postings_of(chunks, stem), "postings", ("term",))
-    lengths = written(lengths_of(chunks), "lengths")
+    lengths = written(lengths_of(chunks, postings), "lengths")
     return derive(postings, lengths, stem, champion_size)
 
 

@@ -17,7 +17,7 @@ from quarry.functions.vectors import cosine_distance, hash_embedding, normalised
 from quarry.operators import catalog, dense, evaluation, feedback, fusion, index, lexical, rag, rerank, views
 from quarry.plans import oracles
 from quarry.sources import web
-from quarry.sources.work import written
+from quarry.sources.work import spread, written
 
 FLAGSHIP = "bm25_topk"
 K = 10
@@ -34,7 +34,7 @@ def _once(spark: SparkSession, sf_dir: str, what: str, make: Callable):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

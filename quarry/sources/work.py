@@ -23,6 +23,12 @@ def work_dir(spark: SparkSession) -> str:
     return own
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, if it was read as fewer partitions than there are: one small file is one task otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame, label: str, sort: tuple[str, ...] = ()) -> DataFrame:
     """df as Parquet in the work folder, reread; sorted within files by `sort`, so scans can skip row groups."""
     spark = df.sparkSession

@@ -196,3 +196,12 @@ def abstention_text(reason: Column) -> Column:
 
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^(?i)https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)", 1))
+
+
+def error_text(detail: object, fallback: str = "The request failed.") -> str:
+    """One line for what a service says went wrong: a string, a list of entries with msg, or an object with message."""
+    if isinstance(detail, dict):
+        detail = detail.get("detail", detail.get("message"))
+    if isinstance(detail, list):
+        detail = "; ".join(str(x["msg"]) for x in detail if isinstance(x, dict) and x.get("msg"))
+    return detail.strip() or fallback if isinstance(detail, str) else fallback

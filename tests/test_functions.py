@@ -119,3 +119,8 @@ def test_settings():
     assert bm25_parameters("default", 9, 0.1) == (1.5, 0.75) and bm25_parameters("finetuned", None, None, (2.0, 0.3)) == (2.0, 0.3) and bm25_parameters(None, 1.0, None) == (1.0, 0.75)
     assert prf_options(EngineConfig(), max_expansion_terms=3, expansion_terms=4)["expansion_terms"] == 3
     assert collection_name("local", "org/All-Mini-L6", 384) == "local_all_mini_l6_384"
+
+
+def test_error_text():
+    assert X.error_text({"detail": "no"}) == "no" and X.error_text({"detail": [{"msg": "a"}, {"msg": "b"}]}) == "a; b"
+    assert X.error_text({"message": "m"}) == "m" and X.error_text(None) == "The request failed."

@@ -8,9 +8,9 @@ window share an anchor in it at the same offset.
 
 1. Texts are packed into compressed blocks, written once.
 2. Anchor hashes, once per block, meet by hash range; those of one document only go.
-3. Around each anchor that is left a block sends its context, 32 bytes to either side:
-   every window with this anchor lies in it. Contexts are kept once per block. An anchor
-   found in very many blocks sends its windows themselves instead, keyed by their whole
+3. Around each anchor that is left a block sends its context, 32 bytes to either side at
+   most: the windows whose least hash it has. Contexts are kept once per block. An anchor
+   found in very many blocks sends these windows themselves instead, keyed by their whole
    content, so a passage in a third of all documents is many small groups that each block
    has already reduced.
 4. Contexts of an anchor range are suffix-sorted: multikey quicksort over 8-byte
@@ -43,9 +43,11 @@ ANCHOR = 18
 SIDE = WINDOW - ANCHOR
 BLOCK_BYTES = 4 << 20
 #: An anchor in more blocks than this sends windows instead of contexts.
-HOT_BLOCKS = 64
+HOT_BLOCKS = 512
 #: Bytes of a sort key: anchor, right side, reversed left side, both lengths, zero padding.
 ROW = 88
+#: Windows that are sorted at once.
+WINDOW_ROWS = 1 << 18
 SHALLOW = 2  # 8-byte characters that multikey quicksort looks at
 LAST_ID = np.iinfo(np.int64).max  # a null doc_id counts as this one, larger than any
 
@@ -273,8 +275,8 @@ def contexts(payload: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray
     plain, hot = shared & ~np.uint64(1), (shared & np.uint64(1)).astype(bool)
     rows, keys, occurrences = [], [], []
     for k, text in enumerate(texts):
-        at, hashes, least = anchors(text)
-        hashes = hashes & ~np.uint64(1)
+        at, full, least = anchors(text)
+        hashes = full & ~np.uint64(1)
         place = np.searchsorted(plain, hashes)
         place[place == len(plain)] = 0
         known = plain[place] == hashes if len(plain) else np.zeros(len(at), bool)
@@ -283,24 +285,26 @@ def contexts(payload: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray
         is_hot = known & hot[place]
         n = len(text)
         padded = np.concatenate([np.zeros(SIDE, np.uint8), text, np.zeros(SIDE, np.uint8)])
-        p, h = at[known & ~is_hot], hashes[known & ~is_hot]
+        chosen = known & ~is_hot
+        p, h = at[chosen], hashes[chosen]
         if len(p):
-            left, right = np.minimum(p, SIDE), np.minimum(n - p - ANCHOR, SIDE)
+            w, own = _windows_of(p, full[chosen], least)
+            left, right = SIDE - own.argmax(1), SIDE - own[:, ::-1].argmax(1)
             around = np.lib.stride_tricks.sliding_window_view(padded, 2 * SIDE + ANCHOR)[p]
             row = np.zeros((len(p), ROW), np.uint8)
             row[:, :WINDOW] = around[:, SIDE:]
             row[:, WINDOW : WINDOW + SIDE] = around[:, SIDE - 1 :: -1]
+            reach = np.arange(SIDE)
+            row[:, ANCHOR:WINDOW][reach >= right[:, None]] = 0
+            row[:, WINDOW : WINDOW + SIDE][reach >= left[:, None]] = 0
             row[:, WINDOW + SIDE], row[:, WINDOW + SIDE + 1] = left, right
             rows.append(row)
             keys.append(h)
             occurrences.append(np.stack([np.full(len(p), k), p - left, p + ANCHOR + right, np.full(len(p), ids[k])], 1))
-        p, h = at[is_hot], (hashes | np.uint64(1))[is_hot]
+        p = at[is_hot]
         if len(p):
-            # the windows whose least hash this anchor has
-            w = p[:, None] + np.arange(-SIDE, 1)
-            fits = (w >= 0) & (w <= n - WINDOW)
-            fits &= (least[np.clip(w, 0, n - WINDOW)] | np.uint64(1)) == h[:, None]
-            w = np.unique(w[fits])
+            w, own = _windows_of(p, full[is_hot], least)
+            w = np.unique(w[own])
             row = np.zeros((len(w), ROW), np.uint8)
             row[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(text, WINDOW)[w]
             row[:, WINDOW + SIDE] = 255  # a window, not a context
@@ -317,6 +321,13 @@ def contexts(payload: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return row[once], key[once], np.concatenate([kind[:, None], found], 1)
 
 
+def _windows_of(at: np.ndarray, hashes: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the windows around each anchor, and which have its hash as their least: a run of them."""
+    w = at[:, None] + np.arange(-SIDE, 1)
+    inside = np.clip(w, 0, len(least) - 1)
+    return w, (w == inside) & (least[inside] == hashes[:, None])
+
+
 def _window_hash(rows: np.ndarray) -> np.ndarray:
     words = np.ascontiguousarray(rows).view("<u8").reshape(len(rows), -1)
     h = np.zeros(len(rows), np.uint64)
@@ -398,15 +409,19 @@ def _by_windows(content: np.ndarray, group: np.ndarray, least: np.ndarray, which
     left, right = content[:, WINDOW + SIDE].astype(np.int64), content[:, WINDOW + SIDE + 1].astype(np.int64)
     whole = np.concatenate([content[:, WINDOW : WINDOW + SIDE][:, ::-1], content[:, :WINDOW]], 1)
     earliest = np.full((len(content), SIDE + 1), LAST_ID)
-    owner, shift = np.nonzero((SIDE - np.arange(SIDE + 1) <= left[:, None]) & (np.arange(SIDE + 1) <= right[:, None]))
-    # column j: the window that starts SIDE - j bytes before the anchor
-    rows = np.zeros((len(owner), 8 + WINDOW + 6), np.uint8)
-    rows[:, :8] = (group[owner] * (SIDE + 1) + shift).astype(">u8")[:, None].view(np.uint8)
-    rows[:, 8 : 8 + WINDOW] = np.lib.stride_tricks.sliding_window_view(whole, WINDOW, axis=1)[owner, shift]
-    order, same = suffix_order(rows)
-    if len(order):
-        starts = np.flatnonzero(~same)
-        low = np.minimum.reduceat(least[owner[order]], starts)
+    slab = max(1, WINDOW_ROWS // len(content))
+    for first in range(0, SIDE + 1, slab):
+        # column j: the window that starts SIDE - j bytes before the anchor
+        columns = np.arange(first, min(first + slab, SIDE + 1))
+        owner, shift = np.nonzero((SIDE - columns <= left[:, None]) & (columns <= right[:, None]))
+        shift = columns[shift]
+        if not len(owner):
+            continue
+        rows = np.zeros((len(owner), 8 + WINDOW + 6), np.uint8)
+        rows[:, :8] = (group[owner] * (SIDE + 1) + shift).astype(">u8")[:, None].view(np.uint8)
+        rows[:, 8 : 8 + WINDOW] = np.lib.stride_tricks.sliding_window_view(whole, WINDOW, axis=1)[owner, shift]
+        order, same = suffix_order(rows)
+        low = np.minimum.reduceat(least[owner[order]], np.flatnonzero(~same))
         earliest[owner[order], shift[order]] = low[np.cumsum(~same) - 1]
     out = []
     for a in range(0, len(which), 65536):

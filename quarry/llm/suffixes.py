@@ -560,7 +560,9 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: DuckDB: every window as hex text, judged by the least doc_id that has it.
 ORACLE_SQL = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-w AS (SELECT doc_id, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS p FROM d WHERE length(x) >= 100)),
+b AS (SELECT doc_id, o, length(x) // 2 - 49 - o AS n, substr(x, 2 * o + 1, 2 * (512 + 49)) AS y
+  FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49, 512)) AS o FROM d WHERE length(x) >= 100)),
+w AS (SELECT doc_id, o + q AS p, substr(y, 2 * q + 1, 100) AS s FROM (SELECT doc_id, o, y, unnest(range(0, least(n, 512))) AS q FROM b)),
 m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING count(*) > 1),
 gone AS (SELECT w.doc_id, w.p FROM w JOIN m USING (s) WHERE m.least < w.doc_id),
 runs AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM (

@@ -32,6 +32,8 @@ TERMS, CANDIDATES = 2_000, 20_000
 STEM = range(4, 13)
 #: The least log odds of a term, and the least documents and share of toxic documents with it.
 LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 2.7, 5, 0.004
+#: How many different terms of the lexicon a toxic document is to meet, and the least new documents for a term.
+COVER, LEAST_GAIN = 5, 3
 #: Words, and stems, at least this long are also found at an edit distance of 1.
 FUZZY_LENGTH, FUZZY_STEM = 5, 6
 #: Words on each side of a match that tell its context.
@@ -52,11 +54,6 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _shortened(letters: str) -> list[str]:
-    """The letters, and each string with one of them left out."""
-    return [letters, *[letters[:i] + letters[i + 1 :] for i in range(len(letters))]]
-
-
 @dataclass
 class Lexicon:
     """A trie of terms with weights, matched by Levenshtein automata."""
@@ -71,8 +68,10 @@ class Lexicon:
         self.root: dict = {}
         self.exact: dict[str, float] = {}
         self.stems: dict[str, float] = {}
-        self.whole_short: set[str] = set()
-        self.stem_short: set[str] = set()
+        # one edit leaves a term's first half where it was, or its second half within a place
+        self.heads: dict[int, set[str]] = {}
+        self.ends: dict[int, set[str]] = {}
+        self.middles: dict[tuple[int, int], set[str]] = {}
         for letters, stem, weight in self.terms:
             (self.stems if stem else self.exact)[letters] = weight
             if len(letters) >= (FUZZY_STEM if stem else FUZZY_LENGTH):
@@ -80,12 +79,15 @@ class Lexicon:
                 for letter in letters:
                     node = node.setdefault(letter, {})
                 node[""] = (stem, weight)
-                (self.stem_short if stem else self.whole_short).update(_shortened(letters))
+                half = len(letters) // 2
+                tail = letters[half:]
+                self.heads.setdefault(half, set()).add(letters[:half])
+                if stem:
+                    for at in (half - 1, half, half + 1):
+                        self.middles.setdefault((at, at + len(tail)), set()).add(tail)
+                else:
+                    self.ends.setdefault(-len(tail), set()).add(tail)
         self.sizes = sorted({len(x) for x in self.stems})
-        fuzzy = {len(x) for x in self.stems if len(x) >= FUZZY_STEM}
-        self.prefixes = sorted({n + d for n in fuzzy for d in (-1, 0, 1)})
-        lengths = [len(x) for x in self.exact if len(x) >= FUZZY_LENGTH]
-        self.shortest, self.longest = min(lengths, default=99) - 1, max(lengths, default=-9) + 1
 
     def __getstate__(self) -> dict:
         return {**self.__dict__, "memo": {}}
@@ -98,6 +100,10 @@ class Lexicon:
             got = self.memo[word] = self._find(word)
         return got
 
+    def terms_of(self, word: str) -> list[str]:
+        """The terms that the word is, or begins with."""
+        return [t for t in (word, *(word[:n] for n in self.sizes if n <= len(word))) if (t in self.stems or (t == word and t in self.exact))]
+
     def _find(self, word: str) -> tuple[float, int]:
         best = self.exact.get(word, 0.0)
         for n in self.sizes:
@@ -109,11 +115,17 @@ class Lexicon:
         return self.near(word), 1
 
     def _may_be_near(self, word: str) -> bool:
-        """Two strings within one edit become equal by leaving out a letter of each at most: most words fail this."""
-        size = len(word)
-        if self.shortest <= size <= self.longest and not self.whole_short.isdisjoint(_shortened(word)):
-            return True
-        return any(n <= size and not self.stem_short.isdisjoint(_shortened(word[:n])) for n in self.prefixes)
+        """Whether the word has a half of some term in its place: most words have none."""
+        for n, known in self.heads.items():
+            if word[:n] in known:
+                return True
+        for n, known in self.ends.items():
+            if word[n:] in known:
+                return True
+        for (a, b), known in self.middles.items():
+            if word[a:b] in known:
+                return True
+        return False
 
     def near(self, word: str) -> float:
         """The largest weight of a term within one edit of the word (a stem: of the word's start)."""
@@ -237,6 +249,30 @@ def choose(found: list) -> tuple[tuple[str, bool, float], ...]:
     return tuple(sorted(best))
 
 
+def needed(terms: tuple[tuple[str, bool, float], ...], rows: DataFrame) -> tuple[tuple[str, bool, float], ...]:
+    """The terms that it takes to meet every toxic document COVER times, most new documents first.
+
+    Words that merely come with toxic documents, such as those of a text with many copies,
+    add nothing to what the others meet, and go.
+    """
+    bare = Lexicon(terms)
+
+    def meet(batch: pa.RecordBatch) -> pa.RecordBatch:
+        met = [sorted({t for w in set(words(x or "")) for t in bare.terms_of(w)}) for x in batch.column(0).to_pylist()]
+        return pa.RecordBatch.from_arrays([pa.array(met, pa.list_(pa.string()))], names=["met"])
+
+    # a list of terms for each toxic document of the sample
+    lists = sorted(r["met"] for r in map_arrow(rows.filter("label = 1").select("text"), meet, "met array<string>").collect())
+    left, taken = [COVER] * len(lists), set()
+    while True:
+        gain = Counter(t for k, met in enumerate(lists) if left[k] for t in met if t not in taken)
+        best = min(gain, key=lambda t: (-gain[t], t), default=None)
+        if best is None or gain[best] < LEAST_GAIN:
+            return tuple(t for t in terms if t[0] in taken)
+        taken.add(best)
+        left = [n - 1 if n and best in met else n for n, met in zip(left, lists, strict=True)]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Lexicon and weights from labels outside the held fold; reads text only of the documents.
 
@@ -246,6 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     small_batches(spark)
     rows = materialize(training_rows(docs, labels, "toxic", FOLDS, HELD, sample), "labelled")
     terms, by_word = learn_terms(rows)
+    terms = needed(terms, rows)
     bare = Lexicon(terms)
 
     def near(batch: pa.RecordBatch) -> pa.RecordBatch:

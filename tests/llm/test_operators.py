@@ -115,7 +115,7 @@ def test_topk_matches_brute_force(spark, monkeypatch, clusters):
     centres = rng.normal(size=(clusters, 6)) * 3
     v = centres[rng.integers(0, clusters, 500)] + rng.normal(size=(500, 6)) * 0.2
     v[100:130] = v[100]
-    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(600, None), (650, [1.0, None, 0, 0, 0, 0]), (700, [float("nan")] * 6), (None, [0.0] * 6), (750, [])]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(600, None), (650, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (700, [float("nan")] * 6), (None, [0.0] * 6), (750, [])]
     q = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")))
     got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(q, q.filter("vec_id % 50 = 0 and size(v) > 0")).orderBy("query_id", "rank").collect()]
     z = np.floor(256 * v).astype(np.int64)

@@ -134,9 +134,17 @@ def sweep_bm25(queries: DataFrame, index: Index, grid: list[tuple[float, float]]
         check_bm25(k1, b)
     weights = _small(known_terms(queries, index).withColumn("w", F.col("qtf").cast("double")))
     met = index.postings.select("term", "chunk_id", "document_id", "tf").join(weights, "term").join(index.lengths.select("chunk_id", "length"), "chunk_id").join(F.broadcast(index.stats))
-    cells = F.array(*[F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b")) for k1, b in grid])
-    cells = met.withColumn("cell", F.explode(cells)).select("*", "cell.k1", "cell.b").withColumn("c", _bm25_part(F.col("k1"), F.col("b")))
-    scored = cells.groupBy("k1", "b", "query_id", "chunk_id", "document_id").agg(in_order("c", "term").alias("score"))
+    met = met.withColumn("base", F.col("w") * bm25_idf(F.col("df"), F.col("n_chunks")))
+    parts = F.array_sort(F.collect_list(F.struct("term", "base", F.col("tf").cast("double").alias("tf"))))
+    grouped = met.groupBy("query_id", "chunk_id", "document_id").agg(parts.alias("parts"), (F.first("length") / F.first("avg_length")).alias("share"))
+
+    def cell(k1: float, b: float) -> Column:
+        spread = k1 * (1 - b + b * F.col("share"))
+        score = F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["base"] * x["tf"] * (k1 + 1) / (x["tf"] + spread))
+        return F.struct(F.lit(float(k1)).alias("k1"), F.lit(float(b)).alias("b"), score.alias("score"))
+
+    # postings are grouped once; each pair of parameters only adds up the same parts anew
+    scored = grouped.select("query_id", "chunk_id", "document_id", F.explode(F.array(*[cell(k1, b) for k1, b in grid])).alias("cell")).select("query_id", "chunk_id", "document_id", "cell.*")
     order = W.partitionBy("k1", "b", "query_id").orderBy(F.desc(F.round("score", TIE_DECIMALS)), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k)
 

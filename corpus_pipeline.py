@@ -19,8 +19,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: that of the smallest id."""
-    return neardup.keep_one(docs)
+    """One document of each group of near duplicates, from similarity 0.8 on, stays: that of the smallest id."""
+    return neardup.keep_one(docs, neardup.STAGE_LINK)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

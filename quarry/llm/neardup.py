@@ -27,12 +27,13 @@ from pyspark.sql import Window as W
 from quarry.llm.common import map_arrow, materialize, parts_for, pick, released, small_batches, table, utf8
 
 SHINGLE = 5
-#: Documents are linked at 100 * intersection >= LINK * union.
-LINK = 85
-TREES, REGION_DEPTH = 16, 3
-VALUES = TREES * REGION_DEPTH
-#: Least agreeing signature values of a candidate pair: 0.85 misses it with odds of about 1 to a million.
-AGREE = 29
+#: Documents are linked at 100 * intersection >= similarity * union: op7's contract, and the pipeline's stage.
+LINK, STAGE_LINK = 85, 80
+REGION_DEPTH = 3
+#: Trees of a similarity, and the least agreeing signature values of a candidate pair. A pair right at
+#: 0.85 misses them with odds of about 8 in a million, one right at 0.8 with odds of 1.4 in a million.
+FORESTS = {LINK: (16, 29), STAGE_LINK: (20, 32)}
+VALUES = REGION_DEPTH * max(trees for trees, _ in FORESTS.values())
 #: A region of more nodes is followed deeper.
 REGION = 64
 HELD = 4096  # rows of a region that are looked at together
@@ -91,10 +92,10 @@ def shingle_set(text: bytes) -> np.ndarray:
     return np.unique(h)
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    least = np.full(VALUES, np.iinfo(np.uint64).max, np.uint64)
+def signature(shingles: np.ndarray, size: int = VALUES) -> np.ndarray:
+    least = np.full(size, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(shingles), 4096):
-        least = np.minimum(least, ((shingles[a : a + 4096, None] ^ _MASKS) * _ODDS).min(0))
+        least = np.minimum(least, ((shingles[a : a + 4096, None] ^ _MASKS[:size]) * _ODDS[:size]).min(0))
     return _mixed(least)
 
 
@@ -103,7 +104,7 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, trees: int) -> DataFrame:
     """doc_id, n_shingles, node, regions, values for each row; no node where there are no words."""
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -114,8 +115,8 @@ def sketches(docs: DataFrame) -> DataFrame:
             if not len(own):
                 nodes.append(None), regions.append(None), values.append(None)
                 continue
-            least = signature(own)
-            folded = np.zeros(TREES, np.uint64)
+            least = signature(own, REGION_DEPTH * trees)
+            folded = np.zeros(trees, np.uint64)
             for k in range(REGION_DEPTH):
                 folded = _mixed(folded * np.uint64(0x2545F4914F6CDD1D) + least[k::REGION_DEPTH])
             nodes.append(node_of(own))
@@ -151,9 +152,9 @@ class _Links:
         return i != j
 
 
-def region_links(nodes: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+def region_links(nodes: np.ndarray, values: np.ndarray, agree: int) -> list[tuple[int, int]]:
     """Candidate links that join a region's nodes; values: the others in the tree's order, sorted."""
-    links, out, need = _Links(len(nodes)), [], AGREE - REGION_DEPTH
+    links, out, need = _Links(len(nodes)), [], agree - REGION_DEPTH
 
     def offer(rows: np.ndarray, to: np.ndarray) -> None:
         alike = (values[rows][:, None, :] == values[to][None, :, :]).sum(2) >= need
@@ -182,20 +183,20 @@ def region_links(nodes: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]
     return out
 
 
-def forest_links(classes: DataFrame) -> DataFrame:
+def forest_links(classes: DataFrame, trees: int, agree: int) -> DataFrame:
     """(a, b): candidate links from all sorted orders."""
     spark = classes.sparkSession
-    parts = parts_for(spark, classes.count() * TREES, 200_000)
+    parts = parts_for(spark, classes.count() * trees, 200_000)
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, trees, keys = [], [], []
+        nodes, orders, keys = [], [], []
         for node, regions, values in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            for t in range(TREES):
+            for t in range(trees):
                 at = REGION_DEPTH * t
                 nodes.append(node)
-                trees.append(t)
+                orders.append(t)
                 keys.append(regions[8 * t : 8 * t + 8] + values[at + REGION_DEPTH :] + values[:at])
-        return pa.RecordBatch.from_arrays([pa.array(trees, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64())], names=["tree", "key", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(orders, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64())], names=["tree", "key", "node"])
 
     def walk(batches: Iterator[pa.RecordBatch], mark: bool) -> Iterator[pa.RecordBatch]:
         """Links of each region; with mark also the partition's outer rows, as its regions may go on elsewhere."""
@@ -204,7 +205,7 @@ def forest_links(classes: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
                 values = np.frombuffer(b"".join(k[8:] for _, k, _ in held), np.uint8).reshape(len(held), -1)
-                if out := region_links(np.array([n for _, _, n in held]), values):
+                if out := region_links(np.array([n for _, _, n in held]), values, agree):
                     yield _edges(out)
 
         for batch in batches:
@@ -259,7 +260,8 @@ def components(links: DataFrame) -> DataFrame:
 class Index:
     """Full shingle sets of a cell; the exact links of any set to them."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
+    def __init__(self, sets: list[np.ndarray], similarity: int) -> None:
+        self.similarity = similarity
         self.sizes = np.array([len(s) for s in sets])
         every = np.concatenate([*sets, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(sets)), self.sizes)
@@ -278,12 +280,12 @@ class Index:
         counts = self.starts[at + 1] - self.starts[at]
         where = np.arange(counts.sum()) + np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts)
         common = np.bincount(self.owner[where], minlength=len(self.sizes))
-        return (100 * common >= LINK * (self.sizes + len(own) - common)) & (common > 0)
+        return (100 * common >= self.similarity * (self.sizes + len(own) - common)) & (common > 0)
 
 
-def cell_components(sets: list[np.ndarray]) -> np.ndarray:
+def cell_components(sets: list[np.ndarray], similarity: int) -> np.ndarray:
     """The smallest member that exact links lead to, for each member."""
-    index, root = Index(sets), np.full(len(sets), -1)
+    index, root = Index(sets, similarity), np.full(len(sets), -1)
     for start in range(len(sets)):
         if root[start] < 0:
             root[start], todo = start, [start]
@@ -315,7 +317,7 @@ def _with_texts(members: DataFrame, docs: DataFrame, *columns: str) -> DataFrame
     return members.join(texts, "doc").select(*columns, "node", "text")
 
 
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _resolve(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
     """(node, root) in each cell."""
     for rows in _cells(batches, 2):
         nodes, sets = [], []
@@ -325,11 +327,11 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 nodes.append(row["node"])
                 sets.append(own)
         if nodes:
-            root = cell_components(sets)
+            root = cell_components(sets, similarity)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([nodes[r] for r in root], pa.int64())], names=["a", "b"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
     """Links between classes in a cell: each row that is apart with every row of another class."""
     for rows in _cells(batches, 3):
         sets, fit = [], []
@@ -339,7 +341,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fit.append(row)
                 sets.append(own)
         member = [i for i, r in enumerate(fit) if not r["apart"]]
-        index, out = Index([sets[i] for i in member]), set()
+        index, out = Index([sets[i] for i in member], similarity), set()
         classes = np.array([fit[i]["class"] for i in member], np.int64)
         for i, row in enumerate(fit):
             if row["apart"] and member:
@@ -350,7 +352,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame) -> DataFrame:
+def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     """(node, label) by exact links within candidate groups."""
     spark = docs.sparkSession
     members = materialize(groups.join(classes, "node").select("label", "node", "doc", "values"), "members")
@@ -369,7 +371,7 @@ def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame) ->
         leaders = many.join(_top(scores), ["label", "node"], "left_semi").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
         few = few.unionByName(many).unionByName(leaders).distinct()
     texts = _with_texts(few, docs, "label", "cell").repartition(parts, "label", "cell").sortWithinPartitions("label", "cell", "node")
-    found = materialize(texts.mapInArrow(_resolve, "a long, b long"), "resolved")
+    found = materialize(texts.mapInArrow(lambda b: _resolve(b, similarity), "a long, b long"), "resolved")
     labels = found.select(F.col("a").alias("node"), F.col("b").alias("label"))
     if not any_big:
         return labels
@@ -389,7 +391,7 @@ def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame) ->
     columns = ["label", "cell", "row", "apart", "class", "node", "doc"]
     pairs = asked.withColumn("apart", F.lit(True)).select(columns).unionByName(against.withColumn("apart", F.lit(False)).select(columns))
     met = _with_texts(pairs, docs, "label", "cell", "row", "apart", "class").repartition(parts, "label", "cell", "row").sortWithinPartitions("label", "cell", "row", "apart", "node")
-    more = materialize(met.mapInArrow(_compare, "a long, b long"), "compared")
+    more = materialize(met.mapInArrow(lambda b: _compare(b, similarity), "a long, b long"), "compared")
     final = components(more)
     merged = classes_now.join(final.withColumnRenamed("node", "class").withColumnRenamed("label", "last"), "class", "left").select("node", F.coalesce("last", "class").alias("label"))
     return labels.join(in_big, "node", "left_anti").unionByName(merged)
@@ -404,20 +406,21 @@ def _top(scores: DataFrame) -> DataFrame:
     return first.unionByName(materialize(best(rest), "leader"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, similarity: int = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
-    Reads doc_id and text only. Null and empty texts, and texts of blanks, have no
+    Links documents from this similarity on, in hundredths: one of FORESTS. Reads doc_id and text only. Null and empty texts, and texts of blanks, have no
     shingles and are linked with nothing. A row with a null doc_id takes no part: it has
     no component and is kept. Rows that repeat are linked like other equal texts; where
     rows share a doc_id but not a text, each has its own links. Texts are taken whole.
     An empty table gives no rows.
     """
-    rows = materialize(sketches(docs), "sketches")
+    trees, agree = FORESTS[similarity]
+    rows = materialize(sketches(docs, trees), "sketches")
     known = rows.filter("node is not null and doc_id is not null")
     classes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("regions").alias("regions"), F.first("values").alias("values")), "classes")
-    groups = components(forest_links(classes))
-    labels = exact_components(classes, groups, docs)
+    groups = components(forest_links(classes, trees, agree))
+    labels = exact_components(classes, groups, docs, similarity)
     # roots: the smallest doc_id of each label; nodes without candidates are their own
     own = classes.join(labels, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
     own = materialize(own, "own")
@@ -428,9 +431,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, similarity: int = LINK) -> DataFrame:
     """The rows whose document is its component's smallest, all columns; of equal ids one."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
     once = W.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary")))
     with_id = docs.filter("doc_id is not null")
     found = with_id.join(kept, with_id["doc_id"] == kept["kept_id"], "left_semi")

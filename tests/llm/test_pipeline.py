@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import corpus_pipeline
@@ -5,7 +6,7 @@ import numpy as np
 import zlib
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, toxicity
+from quarry.llm import mixing, neardup, packing, toxicity
 from quarry.llm.common import materialize
 from quarry.llm.queries import ORACLES, QUERIES
 
@@ -53,3 +54,16 @@ def test_stages_match_brute_force(spark, tmp_path):
         for a in range(0, len(ids), packing.SEQUENCE):
             want[d, a, zlib.crc32(ids[a : a + packing.SEQUENCE].tobytes())] += 1
     assert Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in packed) == want
+
+
+def test_stage_links_from_four_fifths(spark, tmp_path):
+    """Pairs from 0.8 on lose one document in the stage, those below none; op7 links from 0.85 on."""
+    rng, rows, want = random.Random(80), [], {}
+    for k in range(60):
+        words, n = [f"w{rng.randrange(50_000)}" for _ in range(104)], rng.randint(8, 15)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:-n], *(f"x{rng.randrange(50_000)}" for _ in range(n))]))]
+        want[2 * k + 1] = (100 - n) / (100 + n)  # n of 100 shingles differ
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for near, gone in ((0.8, dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path))), (0.85, neardup.keep_one(docs))):
+        lost = {d for d, _ in rows} - {r["doc_id"] for r in gone.collect()}
+        assert lost == {d for d, s in want.items() if s >= near} and 0 < len(lost) < len(want)

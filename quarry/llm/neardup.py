@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -104,12 +104,17 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
+def _digest() -> Column:
+    """Tells a row's text from others; empty for a null text."""
+    return F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
+
+
 def sketches(docs: DataFrame, trees: int) -> DataFrame:
-    """doc_id, n_shingles, node, regions, values for each row; no node where there are no words."""
+    """doc_id, digest, n_shingles, node, regions, values for each row; no node where there are no words."""
 
     def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, nodes, regions, values = [], [], [], []
-        for text in utf8(batch.column(1)):
+        for text in utf8(batch.column(2)):
             own = shingle_set(text)
             sizes.append(len(own))
             if not len(own):
@@ -123,10 +128,11 @@ def sketches(docs: DataFrame, trees: int) -> DataFrame:
             regions.append(folded.astype(">u8").tobytes())
             values.append((least >> np.uint64(56)).astype(np.uint8).tobytes())
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip((sizes, nodes, regions, values), kinds, strict=True))], names=["doc_id", "n_shingles", "node", "regions", "values"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip((sizes, nodes, regions, values), kinds, strict=True))], names=["doc_id", "digest", "n_shingles", "node", "regions", "values"])
 
     small_batches(docs.sparkSession)
-    return map_arrow(pick(docs, doc_id="long", text="string"), sketch, "doc_id long, n_shingles long, node long, regions binary, values binary")
+    texts = pick(docs, doc_id="long", text="string").select("doc_id", _digest().alias("digest"), "text")
+    return map_arrow(texts, sketch, "doc_id long, digest string, n_shingles long, node long, regions binary, values binary")
 
 
 def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -415,6 +421,11 @@ def near_duplicates(docs: DataFrame, similarity: int = LINK) -> DataFrame:
     rows share a doc_id but not a text, each has its own links. Texts are taken whole.
     An empty table gives no rows.
     """
+    return _traced(docs, similarity).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _traced(docs: DataFrame, similarity: int) -> DataFrame:
+    """near_duplicates with each row's digest and label; equal labels where links lead, null without shingles."""
     trees, agree = FORESTS[similarity]
     rows = materialize(sketches(docs, trees), "sketches")
     known = rows.filter("node is not null and doc_id is not null")
@@ -425,18 +436,23 @@ def near_duplicates(docs: DataFrame, similarity: int = LINK) -> DataFrame:
     own = classes.join(labels, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
     own = materialize(own, "own")
     least = own.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_node = materialize(own.join(least, "label").select("node", "component_id"), "of_node")
+    of_node = materialize(own.join(least, "label").select("node", "label", "component_id"), "of_node")
     out = rows.join(of_node, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "digest", "n_shingles", "label", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame, similarity: int = LINK) -> DataFrame:
-    """The rows whose document is its component's smallest, all columns; of equal ids one."""
-    kept = near_duplicates(docs, similarity).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    once = W.partitionBy("doc_id").orderBy(F.md5(F.col("text").cast("binary")))
+    """The rows whose document is its component's smallest, all columns.
+
+    Of rows with an id, those of equal texts and those that links join are one; rows that
+    share an id only all stay.
+    """
+    kept = _traced(docs, similarity).filter("kept and doc_id is not null")
+    kept = kept.groupBy(F.col("doc_id").alias("kept_id"), F.coalesce(F.col("label").cast("string"), "digest").alias("group")).agg(F.min("digest").alias("kept_digest")).select("kept_id", "kept_digest")
+    once = W.partitionBy("doc_id", _digest()).orderBy(_digest())
     with_id = docs.filter("doc_id is not null")
-    found = with_id.join(kept, with_id["doc_id"] == kept["kept_id"], "left_semi")
+    found = with_id.join(kept, (with_id["doc_id"] == kept["kept_id"]) & (_digest() == kept["kept_digest"]), "left_semi")
     found = found.withColumn("copy_number", F.row_number().over(once)).filter("copy_number = 1").drop("copy_number")
     return found.unionByName(docs.filter("doc_id is null"))
 

@@ -297,6 +297,14 @@ def test_near_duplicates_odd(odd, none):
     assert neardup.near_duplicates(none).isEmpty()
 
 
+def test_rows_that_share_an_id_keep_their_texts(spark):
+    """Rows of one id: those linked with a smaller id go, those linked with each other are one, others all stay."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (7, a), (7, a.upper()), (7, b), (7, b), (7, b.upper()), (7, c), (7, ""), (7, ""), (7, " "), (7, None), (8, c), (9, None)]
+    got = [(r["doc_id"], r["text"] and r["text"].lower()) for r in neardup.keep_one(texts(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (7, b), (7, c), (7, ""), (7, " "), (7, None), (9, None)], key=str)
+
+
 # -- 8 chat ---------------------------------------------------------------------------
 
 

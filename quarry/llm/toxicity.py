@@ -289,8 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         hits = [w for w in batch.column(0).to_pylist() if (got := bare.find(w))[0] and got[1]]
         return pa.RecordBatch.from_arrays([pa.array(hits, pa.string())], names=["word"])
 
-    # words one edit away from a term that clean documents use twice: as many as the lexicon has neighbours
-    spelled = map_arrow(by_word.filter("clean >= 2").select("word"), near, "word string").limit(CANDIDATES).collect()
+    # all words one edit away from a term that clean documents of the sample use twice
+    spelled = map_arrow(by_word.filter("clean >= 2").select("word"), near, "word string").collect()
     lexicon = Lexicon(terms, frozenset(r["word"] for r in spelled))
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:

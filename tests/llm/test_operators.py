@@ -180,6 +180,16 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, toxicity.train(docs, labels.limit(0))).count() == len(ROWS)
 
 
+def test_all_clean_spellings_count(spark, monkeypatch):
+    """However many there are."""
+    monkeypatch.setattr(toxicity, "CANDIDATES", 5)
+    spellings = [f"{x}ermin" for x in "abcdefgh"]
+    rows = [(d, f"some words {'vermin' if d % 4 == 0 else spellings[d % 8]} and others") for d in range(200)]
+    rows += [(d, f"some words {' '.join(spellings)} and others") for d in range(200, 260)]
+    model = toxicity.train(texts(spark, rows), spark.createDataFrame([(d, int(d < 200 and d % 4 == 0)) for d, _ in rows], "doc_id long, toxic int"))
+    assert [t for t, _, _ in model.lexicon.terms] == ["vermin"] and model.lexicon.spelled == set(spellings)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

@@ -253,7 +253,8 @@ def needed(terms: tuple[tuple[str, bool, float], ...], rows: DataFrame) -> tuple
     """The terms that it takes to meet every toxic document COVER times, most new documents first.
 
     Words that merely come with toxic documents, such as those of a text with many copies,
-    add nothing to what the others meet, and go.
+    add nothing to what the others meet, and go. A term whose odds hold in the documents
+    that have none of the others stays, however few those are.
     """
     bare = Lexicon(terms)
 
@@ -261,16 +262,26 @@ def needed(terms: tuple[tuple[str, bool, float], ...], rows: DataFrame) -> tuple
         met = [sorted({t for w in set(words(x or "")) for t in bare.terms_of(w)}) for x in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays([pa.array(met, pa.list_(pa.string()))], names=["met"])
 
-    # a list of terms for each toxic document of the sample
-    lists = sorted(r["met"] for r in map_arrow(rows.filter("label = 1").select("text"), meet, "met array<string>").collect())
-    left, taken = [COVER] * len(lists), set()
+    def lists(label: int) -> list[list[str]]:
+        """The terms of each document of the sample that has this label and any term."""
+        met_by = map_arrow(rows.filter(F.col("label") == label).select("text"), meet, "met array<string>")
+        return sorted(r["met"] for r in met_by.filter("size(met) > 0").collect())
+
+    toxic = lists(1)
+    left, taken = [COVER] * len(toxic), set()
     while True:
-        gain = Counter(t for k, met in enumerate(lists) if left[k] for t in met if t not in taken)
+        gain = Counter(t for k, met in enumerate(toxic) if left[k] for t in met if t not in taken)
         best = min(gain, key=lambda t: (-gain[t], t), default=None)
         if best is None or gain[best] < LEAST_GAIN:
-            return tuple(t for t in terms if t[0] in taken)
+            break
         taken.add(best)
-        left = [n - 1 if n and best in met else n for n, met in zip(left, lists, strict=True)]
+        left = [n - 1 if n and best in met else n for n, met in zip(left, toxic, strict=True)]
+    alone = Counter(t for met in toxic if taken.isdisjoint(met) for t in met)
+    if alone:
+        clean = Counter(t for met in lists(0) if taken.isdisjoint(met) for t in met)
+        total = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+        taken |= {t for t, n in alone.items() if math.log((n + 0.5) / (total[1] + 1)) - math.log((clean[t] + 0.5) / (total.get(0, 0) + 1)) >= LEAST_ODDS}
+    return tuple(t for t in terms if t[0] in taken)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:

@@ -180,6 +180,16 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, toxicity.train(docs, labels.limit(0))).count() == len(ROWS)
 
 
+def test_terms_that_hold_alone_stay(spark):
+    """A rare term that mostly comes with frequent ones stays, one that clean documents have or that never is alone goes."""
+    frequent = ["vermin", "dimwit", "scoundrel", "wretch", "lout"]
+    rows = [(" ".join(frequent), 1)] * 20 + [(" ".join([*frequent, "rascal", "copied"]), 1)] * 4 + [("a rascal and a chair", 1)] * 2
+    rows += [("some clean words", 0)] * 190 + [("a chair and a table", 0)] * 10
+    terms = tuple((t, False, 3.0) for t in sorted([*frequent, "rascal", "copied", "chair"]))
+    kept = toxicity.needed(terms, spark.createDataFrame(rows, "text string, label int"))
+    assert [t for t, _, _ in kept] == sorted([*frequent, "rascal"])
+
+
 def test_all_clean_spellings_count(spark, monkeypatch):
     """However many there are."""
     monkeypatch.setattr(toxicity, "CANDIDATES", 5)

@@ -180,6 +180,13 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score(odd, toxicity.train(docs, labels.limit(0))).count() == len(ROWS)
 
 
+@pytest.mark.parametrize("apart", [20, 21, 22, 23, 24])
+def test_repeated_fives_at_any_distance(apart):
+    words = [b"w%d" % i for i in range(100)]
+    words[apart + 30 : apart + 45] = words[30:45]
+    assert quality.features(b" ".join(words))[quality.NAMES.index("repeated_fives")] == pytest.approx(11 / 96)
+
+
 def test_terms_that_hold_alone_stay(spark):
     """A rare term that mostly comes with frequent ones stays, one that clean documents have or that never is alone goes."""
     frequent = ["vermin", "dimwit", "scoundrel", "wretch", "lout"]

@@ -346,7 +346,11 @@ def removed_runs(rows: np.ndarray, found: np.ndarray) -> np.ndarray:
     kind_of_row = np.empty(len(order), np.int64)
     kind_of_row[order] = np.cumsum(~same) - 1
     content = rows[order[~same]]  # distinct, in suffix order
-    kind = kind_of_row[found[:, 0]]
+    # contexts before windows, which would part the contexts of an anchor that they begin with
+    apart = np.argsort(content[:, WINDOW + SIDE] == 255, kind="stable")
+    content, place = content[apart], np.empty(len(apart), np.int64)
+    place[apart] = np.arange(len(apart))
+    kind = place[kind_of_row[found[:, 0]]]
     start, end, doc = found[:, 2], found[:, 3], found[:, 4]
     least = np.full(len(content), LAST_ID)
     np.minimum.at(least, kind, doc)

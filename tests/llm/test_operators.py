@@ -86,6 +86,19 @@ def test_suffixes_match_brute_force(spark, monkeypatch, hot, size):
     assert got == brute_removed(rows)
 
 
+@pytest.mark.parametrize("n", [2, 3])
+def test_windows_do_not_part_the_contexts_of_an_anchor(n):
+    """A window of another anchor that begins with this one's bytes sorts between contexts that share bytes."""
+    rows = np.zeros((n + 1, suffixes.ROW), np.uint8)
+    rows[:, :18], rows[:, 18:50] = ord("A"), ord("r")
+    rows[:n, 50:82], rows[:n, 82:84] = ord("l"), 32  # contexts share the anchor and 32 bytes to the left
+    rows[:, 18] = [ord("b"), *[ord("f") + k for k in range(1, n)], ord("d")]
+    rows[n, 82] = 255
+    found = np.array([(k, k, 100, 182, k) for k in range(n)] + [(n, n, 0, 50, n)])
+    got = {tuple(r) for r in suffixes.removed_runs(rows, found).tolist()}
+    assert got == {(k, 100, 150) for k in range(1, n)}
+
+
 def test_suffix_order_is_sorted():
     rng = np.random.default_rng(3)
     for _ in range(60):

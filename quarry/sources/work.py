@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -11,6 +13,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _local_folder(prefix: str) -> str:
+    """A folder of this machine that goes with the process."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def work_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir, the folder all executors share; a folder of our own in local mode only."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
@@ -18,11 +27,16 @@ def work_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if (own := spark.conf.get("quarry.work.dir", None)) is None:
-        own = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
+        own = f"file://{_local_folder('quarry-')}"
         spark.conf.set("quarry.work.dir", own)
     return own
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the work folder that nothing has."""
+    return f"{work_dir(spark)}/quarry-{uuid.uuid4().hex}-{re.sub('[^A-Za-z0-9]+', '_', label)}"
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores, if it was read as fewer partitions than there are: one small file is one task otherwise."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -32,7 +46,7 @@ def spread(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, label: str, sort: tuple[str, ...] = ()) -> DataFrame:
     """df as Parquet in the work folder, reread; sorted within files by `sort`, so scans can skip row groups."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/quarry-{uuid.uuid4().hex}-{re.sub('[^A-Za-z0-9]+', '_', label)}"
+    path = fresh_path(spark, label)
     (df.sortWithinPartitions(*sort) if sort else df).write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -43,7 +57,7 @@ def python_ready(spark: SparkSession) -> None:
     if spark.conf.get("quarry.shipped", None) != sc.applicationId:
         spark.conf.set("quarry.shipped", sc.applicationId)
         root = Path(__file__).parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="quarry-code-")) / "quarry.zip"
+        archive = Path(_local_folder("quarry-code-")) / "quarry.zip"
         with zipfile.ZipFile(archive, "w") as out:
             for file in sorted(root.rglob("*.py")):
                 out.write(file, file.relative_to(root.parent))

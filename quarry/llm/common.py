@@ -1,52 +1,41 @@
-"""Shared plumbing: table access, shared-folder materialisation, Arrow mapping."""
+"""Shared plumbing: table access, shared-folder tables and their removal, Arrow mapping."""
 
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.sources.work import fresh_path, python_ready, spread
+
 #: Raw text that one task is meant to hold; only sets how many partitions there are.
 PARTITION_BYTES = 16 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows of an Arrow batch, for every operator: texts may be long, and a batch is what a worker holds.
+BATCH = 128
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+#: Tables written and not yet deleted, a list for each open `scratch`.
+_open: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder; one that is read as fewer partitions than there are cores is dealt out over them."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a folder of our own only in local mode."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if (own := spark.conf.get("quarry.work.dir", None)) is None:
-        own = f"file://{tempfile.mkdtemp(prefix='quarry-')}"
-        spark.conf.set("quarry.work.dir", own)
-    return own
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write df as Parquet to the shared folder and reread it: lineage ends there.
 
-    A lost executor then costs only the tasks it ran; the written files stay. `released`
-    deletes the files once nothing reads them.
+    A lost executor then costs only the tasks it ran; the written files stay until the
+    `scratch` around the call ends.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/quarry-{uuid.uuid4().hex}-{re.sub('[^A-Za-z0-9]+', '_', label)}"
+    path = fresh_path(spark, label)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")  # what was shuffled to make the files is not needed once they are written
     try:
@@ -55,6 +44,8 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
         spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
+    if _open:
+        _open[-1].append(out)
     return out
 
 
@@ -68,13 +59,33 @@ def released(*frames: DataFrame) -> None:
             target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what was materialized inside, but for frames given to what it yields."""
+    _open.append([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _open.pop()
+        released(*[df for df in made if not any(df is k for k in kept)])
+        if _open:
+            _open[-1] += kept
+
+
 def map_arrow(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """One Arrow batch in, one out; rows stream, so memory is a batch at a time."""
+    """One Arrow batch in, one out, of BATCH rows at most; rows stream, so memory is a batch at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := make(batch)) is not None and out.num_rows:
-                yield out
+            for start in range(0, batch.num_rows, BATCH):
+                if (out := make(batch.slice(start, BATCH))) is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
@@ -84,23 +95,11 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
-    sc = spark.sparkContext
-    if spark.conf.get("quarry.shipped", None) != sc.applicationId:
-        spark.conf.set("quarry.shipped", sc.applicationId)
-        root = Path(__file__).parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="quarry-code-")) / "quarry.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for file in sorted(root.rglob("*.py")):
-                out.write(file, file.relative_to(root.parent))
-        sc.addPyFile(str(archive))
-
-
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Make executors ready for Python and cap Arrow batches: texts may be long, and a batch is what a worker holds."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+def small_batches(spark: SparkSession) -> None:
+    """Make executors ready for Python and cap Arrow batches, at the same size for all operators, as frames run later."""
+    python_ready(spark)
+    if int(spark.conf.get(_BATCH_SETTING)) != BATCH:
+        spark.conf.set(_BATCH_SETTING, BATCH)
 
 
 def parts_for(spark: SparkSession, rows: int, per_part: int) -> int:
@@ -113,6 +112,16 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+def as_row(df: DataFrame) -> Column:
+    """All columns of df in one struct, so that no name of theirs meets one of ours."""
+    return F.struct(*[F.col(f"`{name}`") for name in df.columns])
+
+
+def text_digest(text: str = "text") -> Column:
+    """Tells a row's text from others; empty for a null text."""
+    return F.coalesce(F.md5(F.col(text).cast("string").cast("binary")), F.lit(""))
+
+
 def vocabulary_path(path: str | None, default: str = "byte_bpe_50k.json") -> str:
     if path:
         return path

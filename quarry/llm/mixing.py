@@ -16,22 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm.common import map_arrow, materialize, pick, small_batches, table, utf8
+from quarry.llm.common import as_row, map_arrow, materialize, pick, scratch, small_batches, table, text_digest, utf8
 
-#: Code points that separate words.
-BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 #: Rows that one key range of a source is meant to hold.
 RANGE_ROWS = 20_000
-#: Hex digits of the key that name its range: 16 to the power of 4 ranges at most.
-RANGE_DIGITS = 4
-
-
-def word_count(text: Column) -> Column:
-    """Runs of characters other than space and U+0009 to U+000D; 0 for null."""
-    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), BLANKS, " ")
-    trimmed = F.trim(squeezed)
-    spaces = F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit("")))
-    return F.when(F.length(trimmed) == 0, F.lit(0)).otherwise(spaces + 1).cast("long")
+#: Hex digits of the key that name its range: more ranges than any corpus needs.
+RANGE_DIGITS = 12
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -64,64 +54,87 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size of every row; size as `word_count` has it."""
+    """doc_id, source, digest of the text, size of every row.
+
+    Size is how many runs of characters other than space and U+0009 to U+000D the text has; 0 for null.
+    """
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         # bytes.split() parts at the same six characters
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x.split()) for x in utf8(batch.column(2))], pa.int64())], names=["doc_id", "source", "size"])
+        found = pa.array([len(x.split()) for x in utf8(batch.column(3))], pa.int64())
+        return pa.RecordBatch.from_arrays([*batch.columns[:3], found], names=["doc_id", "source", "digest", "size"])
 
     small_batches(docs.sparkSession)
-    return map_arrow(pick(docs, doc_id="long", source="string", text="string"), count, "doc_id long, source string, size long")
+    rows = pick(docs, doc_id="long", source="string", text="string").select("doc_id", "source", text_digest().alias("digest"), "text")
+    return map_arrow(rows, count, "doc_id long, source string, digest string, size long")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
     """How many words of each document the mix takes.
 
     Reads doc_id, text and source; any other column is ignored. Returns one row per input
-    row: doc_id, source, size, source_size, target, taken. A null text has size 0, a null
-    source is a source of its own, rows that repeat (also a doc_id) each count, a null
-    doc_id has a key like any other. Rows of equal key follow doc_id, then size; rows equal
-    in these too share the cut by their order, which changes nothing in the result as a
-    set. An empty table gives no rows.
+    row: doc_id, source, digest (of the text), size, source_size, target, taken. A null text
+    has size 0, a null source is a source of its own, rows that repeat (also a doc_id) each
+    count, a null doc_id has a key like any other. Rows of equal key follow doc_id, size,
+    then digest; rows equal in these too share the cut by their order, which changes nothing
+    in the result as a set. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    sized = materialize(sizes(docs), "sizes")  # the texts are read once; the rest works on these short rows
-    sized = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
-    sized = sized.withColumn("range", F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("int"))
+    with scratch() as keep:
+        sized = keep(materialize(sizes(docs), "sizes"))  # the texts are read once; the rest works on these short rows
     ranges = _ranges(spark, sized)
-    sized = sized.withColumn("range", F.floor(F.col("range") * ranges / 16**RANGE_DIGITS).cast("int"))
+    sized = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    first = F.conv(F.substring("key", 1, RANGE_DIGITS), 16, 10).cast("long")
+    sized = sized.withColumn("range", F.floor(first / F.lit(16.0**RANGE_DIGITS) * F.lit(ranges)).cast("long"))
     targets = source_targets(sized, weights, share, most)
     by_range = sized.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     starts = by_range.withColumn("start", F.coalesce(F.sum("in_range").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     plan = starts.alias("a").join(targets.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("a.source", "a.range", "start", "source_size", "target")
-    inside = W.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size", "digest").rowsBetween(W.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     joined = placed.alias("a").join(plan.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.range") == F.col("b.range")))
     budget = F.floor(F.col("target")).cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("start") - F.col("inside")
     taken = epochs * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest))
-    return joined.select("a.doc_id", "a.source", "size", "source_size", "target", taken.alias("taken"))
+    return joined.select("a.doc_id", "a.source", "digest", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mixed documents themselves, in the columns of documents.
+    """The mixed documents themselves, in the columns of documents, whatever these are named.
 
     A document taken whole k times gives k rows; the one at the cut gives a row with its
     first words only. Documents of which nothing is taken go. A document without words
-    goes, as it can add nothing to a budget.
+    goes, as it can add nothing to a budget. n_chars, if there, is counted again.
+
+    The plan's short rows meet each text once, by id, source and digest. Rows that agree in
+    all three are interchangeable but for other columns: the plan says how many of them get
+    how much, and their number among each other tells which.
     """
-    same = W.partitionBy("doc_id", "source", "size")
-    plan = mix(docs).withColumn("copy", F.row_number().over(same.orderBy("taken")))
-    sized = docs.withColumn("plan_words", word_count(F.col("text"))).withColumn("copy", F.row_number().over(W.partitionBy("doc_id", "source", "plan_words").orderBy(F.md5(F.col("text").cast("binary")))))
-    joined = sized.alias("a").join(plan.filter("taken > 0").alias("b"), F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("plan_words") == F.col("size")) & (F.col("a.copy") == F.col("b.copy")))
+    def key() -> Column:
+        """Never null, so the join and the numbering use one partitioning of the texts."""
+        return F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "digest", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
+
+    same = mix(docs).groupBy(key().alias("key"), "size", "taken").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("key").orderBy("taken"))
+    # rows of a key differ in at most three amounts: an epoch more, the cut, an epoch less
+    shares = same.withColumn("upto", upto).groupBy("key").agg(F.first("size").alias("size"), F.max("taken").alias("most"), F.array_sort(F.collect_list(F.struct("upto", "taken"))).alias("shares"))
+    rows = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), text_digest().alias("digest"))
+    joined = rows.select("row", key().alias("key")).join(shares.filter("most > 0").drop("most"), "key")
+    number = F.row_number().over(W.partitionBy("key").orderBy(F.lit(1)))
+    taken = F.get(F.filter("shares", lambda s: s["upto"] >= F.col("number")), F.lit(0))["taken"]
+    planned = joined.withColumn("number", number).withColumn("taken", taken).filter("taken > 0")
     epochs = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
     left = F.transform(epochs, lambda i: F.least(F.col("size"), F.col("taken") - (i.cast("long") - 1) * F.col("size")))
-    copies = joined.select(*[F.col(f"a.`{c}`").alias(c) for c in docs.columns], F.explode(left).alias("plan_left"), F.col("size").alias("plan_size"))
+    copies = planned.select("row", "size", F.explode(left).alias("left"))
     # pieces that end with a word each, white space in front kept
-    pieces = F.split(F.col("text"), "(?<=[^ \\t\\n\\x0B\\f\\r])(?=[ \\t\\n\\x0B\\f\\r])")
-    text = F.when(F.col("plan_left") >= F.col("plan_size"), F.col("text")).otherwise(F.array_join(F.slice(pieces, F.lit(1), F.col("plan_left").cast("int")), ""))
-    return copies.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    whole = F.col("row.text")
+    pieces = F.split(whole, "(?<=[^ \\t\\n\\x0B\\f\\r])(?=[ \\t\\n\\x0B\\f\\r])")
+    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("left").cast("int")), "")
+    copies = copies.withColumn("text", F.when(F.col("left") >= F.col("size"), whole).otherwise(cut))
+    kinds = dict(docs.dtypes)
+    changed = {"text": F.col("text"), "n_chars": F.char_length("text").cast(kinds.get("n_chars", "long"))}
+    return copies.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 #: DuckDB: targets by the level that the uncapped sources share, then a running sum in key order.
@@ -157,7 +170,7 @@ def _ranges(spark: SparkSession, sized: DataFrame) -> int:
     """Key ranges per source: enough that one holds RANGE_ROWS rows if all rows were one source's."""
     rows = sized.count()
     at_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(16**RANGE_DIGITS, max(at_least, -(-rows // RANGE_ROWS)))
+    return max(at_least, -(-rows // RANGE_ROWS))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,18 @@
 
 Texts with equal shingle sets are one node from the start. Every node is in several
 sorted orders, one per tree: by the hash of the tree's first signature values (its
-region), then by the others, starting at the tree's own. Nodes of a region are
-candidates of each other; a region too large for that is followed deeper, value by value,
-until what shares the longer prefix is small, and neighbours in the order link the parts.
-A signature estimate sorts out what only shares a prefix.
+region), then by the others, starting at the tree's own. Neighbours in an order are
+candidates first: a region is followed deeper, value by value, until what shares the
+longer prefix is small. Whatever a region still has apart is then compared, by a signature
+estimate, with the rest of the region. A region too large to be held, or cut by a
+partition, becomes one candidate group as a whole, so no pair that shares a region is lost.
 
 Candidate links are joined into groups, and a group's texts meet once: an inverted index
 over full shingle sets finds all exact links in it. Groups larger than a cell are split:
-its cells share the group's most typical members, and what these leave apart from the
-rest is compared with every cell. So no task gets more than a cell, and no link is lost.
+its cells share the group's most typical members. What these leave apart meets others by
+prefix filter: linked sets share one of their rarest shingles (rare among a few sampled
+members, then by hash; any one order is exact), so a text goes only to cells that have a
+holder of such a shingle, and never to a cell twice.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quarry.llm.common import map_arrow, materialize, parts_for, pick, released, small_batches, table, utf8
+from quarry.llm.common import as_row, map_arrow, materialize, parts_for, pick, released, scratch, small_batches, table, text_digest, utf8
 
 SHINGLE = 5
 #: Documents are linked at 100 * intersection >= similarity * union: op7's contract, and the pipeline's stage.
@@ -34,10 +37,12 @@ REGION_DEPTH = 3
 #: 0.85 misses them with odds of about 8 in a million, one right at 0.8 with odds of 1.4 in a million.
 FORESTS = {LINK: (16, 29), STAGE_LINK: (20, 32)}
 VALUES = REGION_DEPTH * max(trees for trees, _ in FORESTS.values())
-#: A region of more nodes is followed deeper.
+#: A part of a region of more nodes is followed deeper.
 REGION = 64
-HELD = 4096  # rows of a region that are looked at together
+HELD = 4096  # nodes of a region that are compared; a larger region is a candidate group as a whole
 CELL = 512
+#: Members of a split group whose shingles tell which are rare in it.
+SAMPLED = 32
 
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,11 +109,6 @@ def node_of(shingles: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(shingles.tobytes())).astype(np.int64))
 
 
-def _digest() -> Column:
-    """Tells a row's text from others; empty for a null text."""
-    return F.coalesce(F.md5(F.col("text").cast("string").cast("binary")), F.lit(""))
-
-
 def sketches(docs: DataFrame, trees: int) -> DataFrame:
     """doc_id, digest, n_shingles, node, regions, values for each row; no node where there are no words."""
 
@@ -131,13 +131,15 @@ def sketches(docs: DataFrame, trees: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip((sizes, nodes, regions, values), kinds, strict=True))], names=["doc_id", "digest", "n_shingles", "node", "regions", "values"])
 
     small_batches(docs.sparkSession)
-    texts = pick(docs, doc_id="long", text="string").select("doc_id", _digest().alias("digest"), "text")
+    texts = pick(docs, doc_id="long", text="string").select("doc_id", text_digest().alias("digest"), "text")
     return map_arrow(texts, sketch, "doc_id long, digest string, n_shingles long, node long, regions binary, values binary")
 
 
-def _edges(rows: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=["a", "b", "tree", "key"])
+def _edges(a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=_EDGE)
+
+
+_EDGE = ["a", "b", "tree", "region"]
 
 
 class _Links:
@@ -159,7 +161,7 @@ class _Links:
 
 
 def region_links(nodes: np.ndarray, values: np.ndarray, agree: int) -> list[tuple[int, int]]:
-    """Candidate links that join a region's nodes; values: the others in the tree's order, sorted."""
+    """Links that join what agrees in a region; values: the others in the tree's order, sorted."""
     links, out, need = _Links(len(nodes)), [], agree - REGION_DEPTH
 
     def offer(rows: np.ndarray, to: np.ndarray) -> None:
@@ -180,12 +182,19 @@ def region_links(nodes: np.ndarray, values: np.ndarray, agree: int) -> list[tupl
         else:
             cuts = [low, *(np.flatnonzero(values[low + 1 : high, depth] != values[low : high - 1, depth]) + low + 1).tolist(), high]
             todo += [(a, b, depth + 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-            for a in cuts[1:-1]:  # neighbours across the parts, and each part's first with the region's
-                near = np.arange(max(low, a - 4), min(high, a + 4))
-                offer(near, near)
-            firsts = np.array(cuts[:-1])
-            for a in range(0, len(firsts), 256):
-                offer(np.array([low]), firsts[a : a + 256])
+    if len(nodes) > REGION:
+        # each node with those after it that are still apart from it
+        root = np.array([links.root(i) for i in range(len(nodes))])
+        for i in range(len(nodes)):
+            rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+            if not len(rest):
+                if (root == root[0]).all():
+                    break
+                continue
+            for j in rest[(values[rest] == values[i]).sum(1) >= need].tolist():
+                if root[j] != root[i]:
+                    root[root == root[j]] = root[i]
+                    out.append((int(nodes[i]), int(nodes[j])))
     return out
 
 
@@ -204,39 +213,53 @@ def forest_links(classes: DataFrame, trees: int, agree: int) -> DataFrame:
                 keys.append(regions[8 * t : 8 * t + 8] + values[at + REGION_DEPTH :] + values[:at])
         return pa.RecordBatch.from_arrays([pa.array(orders, pa.int32()), pa.array(keys, pa.binary()), pa.array(nodes, pa.int64())], names=["tree", "key", "node"])
 
-    def walk(batches: Iterator[pa.RecordBatch], mark: bool) -> Iterator[pa.RecordBatch]:
-        """Links of each region; with mark also the partition's outer rows, as its regions may go on elsewhere."""
-        held, region, first, last = [], None, [], []
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Links of each region; the partition's first and last may go on elsewhere, so a node of each is marked."""
+        held, region, first, whole = [], None, None, True
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if len(held) > 1:
-                values = np.frombuffer(b"".join(k[8:] for _, k, _ in held), np.uint8).reshape(len(held), -1)
-                if out := region_links(np.array([n for _, _, n in held]), values, agree):
-                    yield _edges(out)
+        def link(closed: bool) -> pa.RecordBatch | None:
+            """Links of what is held; closed: the region is here from start to end."""
+            nodes = [n for n, _ in held]
+            if closed and not whole:
+                values = np.frombuffer(b"".join(k for _, k in held), np.uint8).reshape(len(held), -1)
+                found = region_links(np.array(nodes), values, agree)
+                return _edges(*map(list, zip(*found, strict=True))) if found else None
+            others = [n for n in nodes if n != first]
+            return _edges([first] * len(others), others) if others else None
+
+        def mark() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.nulls(1, pa.int64()), pa.array([region[0]], pa.int32()), pa.array([region[1]], pa.binary())], names=_EDGE)
 
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if (row[0], row[1][:8]) != region or len(held) >= HELD:
-                    yield from flush()
-                    held = held[-8:] if (row[0], row[1][:8]) == region else []
-                    region = row[0], row[1][:8]
-                held.append(row)
-                if len(first) < 4:
-                    first.append(row)
-                last = [*last[-3:], row]
-        yield from flush()
-        if mark and first:
-            tree, key, node = zip(*dict.fromkeys([*first, *last]), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.nulls(len(node), pa.int64()), pa.array(tree, pa.int32()), pa.array(key, pa.binary())], names=["a", "b", "tree", "key"])
-
-    schema = "a long, b long, tree int, key binary"
-    small_batches(spark, 2048)
+            for tree, key, node in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (tree, key[:8]) != region:
+                    if region is not None:
+                        if (found := link(True)) is not None:
+                            yield found
+                        whole = False
+                    held, first = [], node
+                    fresh, region = region is None, (tree, key[:8])
+                    if fresh:
+                        yield mark()
+                elif len(held) >= HELD:
+                    whole = True
+                    if (found := link(False)) is not None:
+                        yield found
+                    held = []
+                held.append((node, key[8:]))
+        if region is not None:
+            if (found := link(False)) is not None:
+                yield found
+            yield mark()
+
+    schema = "a long, b long, tree int, region binary"
+    small_batches(spark)
     placed = map_arrow(classes.select("node", "regions", "values"), place, "tree int, key binary, node long")
     in_order = placed.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    found = materialize(in_order.mapInArrow(lambda b: walk(b, True), schema), "links")
-    ends = found.filter("tree is not null").select("tree", "key", F.col("a").alias("node"))
-    again = ends.repartition("tree", F.substring("key", 1, 8)).sortWithinPartitions("tree", "key", "node").mapInArrow(lambda b: walk(b, False), schema)
-    return found.filter("b is not null").select("a", "b").unionByName(again.select("a", "b"))
+    found = materialize(in_order.mapInArrow(walk, schema), "links")
+    ends = found.filter("tree is not null").select("tree", "region", F.col("a").alias("node"))
+    across = ends.join(ends.groupBy("tree", "region").agg(F.min("node").alias("least")), ["tree", "region"]).filter("node != least")
+    return found.filter("b is not null").select("a", "b").unionByName(across.select(F.col("least").alias("a"), F.col("node").alias("b")))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -358,6 +381,26 @@ def _compare(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _prefixes(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
+    """(label, shingle, node) for the rarest shingles of each member of a cell, of which linked sets share one."""
+    for rows in _cells(batches, 2):
+        sets = {r["node"]: own for r in rows if node_of(own := shingle_set((r["text"] or "").encode())) == r["node"]}
+        sampled = sorted({r["node"] for r in rows if r["sampled"] and r["node"] in sets})
+        known, counts = np.unique(np.concatenate([*(sets[n] for n in sampled), np.zeros(0, np.uint64)]), return_counts=True)
+        shingles, holders = [], []
+        for node in sorted({r["node"] for r in rows if not r["sampled"] and r["node"] in sets}):
+            own = sets[node]
+            often = np.zeros(len(own), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                often = np.where(known[at] == own, counts[at], 0)
+            shingles.append(own[np.lexsort((own, often))][: len(own) + 1 - -(-similarity * len(own) // 100)].view(np.int64))
+            holders.append(np.full(len(shingles[-1]), node))
+        if holders:
+            found = np.concatenate(holders)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rows[0]["label"])), pa.array(np.concatenate(shingles)), pa.array(found)], names=["label", "shingle", "node"])
+
+
 def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     """(node, label) by exact links within candidate groups."""
     spark = docs.sparkSession
@@ -366,7 +409,7 @@ def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame, sim
     parts = parts_for(spark, members.count(), 4096)
     big = counts.filter(F.col("n") > CELL).withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
     any_big = not big.isEmpty()
-    small_batches(spark, 64)
+    small_batches(spark)
     few = members.join(counts.filter(F.col("n") <= CELL).select("label"), "label").withColumn("cell", F.lit(0)).withColumn("cells", F.lit(0))
     if any_big:
         many = materialize(members.join(big.select("label", "cells"), "label").withColumn("cell", F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")), "many")
@@ -387,22 +430,45 @@ def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame, sim
     joined = components(said)
     classes_now = many.join(joined.withColumnRenamed("label", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     classes_now = materialize(classes_now, "classes_now")
-    per_class = classes_now.groupBy("label", "class").agg(F.count("*").alias("n"))
-    main = per_class.groupBy("label").agg(F.max(F.struct("n", "class"))["class"].alias("main"))
-    apart = classes_now.join(main, "label").filter("class != main")
-    n_apart = apart.groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("int").alias("rows"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    asked = apart.join(n_apart, "label").withColumn("row", F.pmod(F.xxhash64("node", F.lit(3)), F.col("rows")).cast("int")).withColumn("cell", every("cells"))
-    against = classes_now.join(n_apart, "label").withColumn("row", every("rows"))
-    columns = ["label", "cell", "row", "apart", "class", "node", "doc"]
-    pairs = asked.withColumn("apart", F.lit(True)).select(columns).unionByName(against.withColumn("apart", F.lit(False)).select(columns))
-    met = _with_texts(pairs, docs, "label", "cell", "row", "apart", "class").repartition(parts, "label", "cell", "row").sortWithinPartitions("label", "cell", "row", "apart", "node")
-    more = materialize(met.mapInArrow(lambda b: _compare(b, similarity), "a long, b long"), "compared")
+    more = _links_apart(classes_now, docs, similarity, parts)
     final = components(more)
     merged = classes_now.join(final.withColumnRenamed("node", "class").withColumnRenamed("label", "last"), "class", "left").select("node", F.coalesce("last", "class").alias("label"))
     return labels.join(in_big, "node", "left_anti").unionByName(merged)
 
 
+def _links_apart(members: DataFrame, docs: DataFrame, similarity: int, parts: int) -> DataFrame:
+    """(a, b): links between classes of split groups, for all nodes outside their group's largest class.
+
+    members: label, node, doc, cell, cells, class. Who is apart has a row of the group's grid,
+    everyone a column; where the two hold a rare shingle in common, both go to that cell.
+    """
+    per_class = members.groupBy("label", "class").agg(F.count("*").alias("n"))
+    main = per_class.groupBy("label").agg(F.max(F.struct("n", "class"))["class"].alias("main"))
+    marked = members.join(main, "label").withColumn("apart", F.col("class") != F.col("main"))
+    n_apart = marked.filter("apart").groupBy("label").agg(F.ceil(F.count("*") / CELL).cast("int").alias("rows"))
+    # groups that are all one class by now need no more
+    placed = materialize(marked.join(n_apart, "label").withColumn("row", F.pmod(F.xxhash64("node", F.lit(3)), F.col("rows")).cast("int")).select("label", "node", "doc", "cell", "cells", "class", "apart", "row"), "placed")
+    if placed.isEmpty():
+        return placed.select(F.col("node").alias("a"), F.col("class").alias("b")).limit(0)
+    by_hash = W.partitionBy("label").orderBy(F.xxhash64("node", F.lit(5)), "node")
+    # some of each group, cut before the shuffle
+    sampled = placed.filter("apart").select("label", "node", "doc", "cells").withColumn("n", F.row_number().over(by_hash)).filter(F.col("n") <= SAMPLED).drop("n")
+    sampled = sampled.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("sampled", F.lit(True))
+    columns = ["label", "cell", "sampled", "node", "doc"]
+    asked = placed.withColumn("sampled", F.lit(False)).select(columns).unionByName(sampled.select(columns))
+    texts = _with_texts(asked, docs, "label", "cell", "sampled").repartition(parts, "label", "cell").sortWithinPartitions("label", "cell", "node")
+    rare = texts.mapInArrow(lambda b: _prefixes(b, similarity), "label long, shingle long, node long")
+    holders = materialize(rare.join(placed.drop("label", "cells"), "node"), "holders")
+    shared = holders.groupBy("label", "shingle").agg(F.collect_set(F.when(F.col("apart"), F.col("row"))).alias("rows"), F.collect_set("cell").alias("columns"), F.min("class").alias("low"), F.max("class").alias("high"))
+    met = holders.join(shared.filter("size(rows) > 0 and low != high"), ["label", "shingle"])
+    columns = ["label", "cell", "row", "apart", "class", "node", "doc"]
+    looking = met.filter("apart").withColumn("cell", F.explode("columns")).select(columns)
+    looked_at = met.withColumn("row", F.explode("rows")).withColumn("apart", F.lit(False)).select(columns)
+    pairs = looking.unionByName(looked_at).distinct()
+    texts = _with_texts(pairs, docs, "label", "cell", "row", "apart", "class").repartition(parts, "label", "cell", "row").sortWithinPartitions("label", "cell", "row", "apart", "node")
+    return materialize(texts.mapInArrow(lambda b: _compare(b, similarity), "a long, b long"), "compared")
+
+
 def _top(scores: DataFrame) -> DataFrame:
     """The two best nodes of each group, by partial maxima; never a group in one task."""
     scores = materialize(scores, "scores")
@@ -415,13 +481,15 @@ def _top(scores: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similarity: int = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
-    Links documents from this similarity on, in hundredths: one of FORESTS. Reads doc_id and text only. Null and empty texts, and texts of blanks, have no
-    shingles and are linked with nothing. A row with a null doc_id takes no part: it has
+    Links documents from this similarity on, in hundredths: one of FORESTS. Reads doc_id and
+    text only. Null and empty texts, and texts of blanks, have no shingles and are linked
+    with nothing. A row with a null doc_id takes no part: it has
     no component and is kept. Rows that repeat are linked like other equal texts; where
     rows share a doc_id but not a text, each has its own links. Texts are taken whole.
     An empty table gives no rows.
     """
-    return _traced(docs, similarity).select("doc_id", "n_shingles", "component_id", "kept")
+    with scratch() as keep:
+        return keep(materialize(_traced(docs, similarity).select("doc_id", "n_shingles", "component_id", "kept"), "components"))
 
 
 def _traced(docs: DataFrame, similarity: int) -> DataFrame:
@@ -448,13 +516,14 @@ def keep_one(docs: DataFrame, similarity: int = LINK) -> DataFrame:
     Of rows with an id, those of equal texts and those that links join are one; rows that
     share an id only all stay.
     """
-    kept = _traced(docs, similarity).filter("kept and doc_id is not null")
-    kept = kept.groupBy(F.col("doc_id").alias("kept_id"), F.coalesce(F.col("label").cast("string"), "digest").alias("group")).agg(F.min("digest").alias("kept_digest")).select("kept_id", "kept_digest")
-    once = W.partitionBy("doc_id", _digest()).orderBy(_digest())
-    with_id = docs.filter("doc_id is not null")
-    found = with_id.join(kept, (with_id["doc_id"] == kept["kept_id"]) & (_digest() == kept["kept_digest"]), "left_semi")
-    found = found.withColumn("copy_number", F.row_number().over(once)).filter("copy_number = 1").drop("copy_number")
-    return found.unionByName(docs.filter("doc_id is null"))
+    with scratch() as keep:
+        kept = _traced(docs, similarity).filter("kept and doc_id is not null")
+        chosen = kept.groupBy("doc_id", F.coalesce(F.col("label").cast("string"), "digest").alias("group")).agg(F.min("digest").alias("digest")).select("doc_id", "digest")
+        chosen = keep(materialize(chosen, "chosen"))
+    rows = docs.select(as_row(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_digest().alias("digest"))
+    once = W.partitionBy("doc_id", "digest").orderBy(F.lit(1))
+    found = rows.filter("doc_id is not null").join(chosen, ["doc_id", "digest"], "left_semi").withColumn("number", F.row_number().over(once)).filter("number = 1")
+    return found.unionByName(rows.filter("doc_id is null"), allowMissingColumns=True).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -305,11 +305,12 @@ def brute_components(rows):
     return {d: (len(sets[i]), least[links.root(i)], d == least[links.root(i)]) for i, (d, _) in enumerate(rows)}
 
 
-@pytest.mark.parametrize("cell,region", [(512, 64), (9, 4)])
-def test_components_match_brute_force(spark, monkeypatch, cell, region):
-    """Also with groups that are split over cells, and regions that are followed deep."""
+@pytest.mark.parametrize("cell,region,held", [(512, 64, 4096), (9, 4, 4096), (9, 4, 10)])
+def test_components_match_brute_force(spark, monkeypatch, cell, region, held):
+    """Also with groups that are split over cells, regions that are followed deep, and regions too large to hold."""
     monkeypatch.setattr(neardup, "CELL", cell)
     monkeypatch.setattr(neardup, "REGION", region)
+    monkeypatch.setattr(neardup, "HELD", held)
     rng = random.Random(cell)
     word = lambda: f"w{rng.randrange(2000)}"
     base, rows = [word() for _ in range(200)], []
@@ -332,6 +333,7 @@ def test_near_duplicates_odd(odd, none):
     assert len(rows) == len(ROWS) and {r["component_id"] for r in rows if r["doc_id"] in (6, 7)} == {6}
     lost = next(r for r in rows if r["doc_id"] is None)
     assert lost["component_id"] is None and lost["kept"]
+    odd = odd.withColumns({"kept_id": F.lit(1), "copy_number": F.lit("c"), "digest": F.lit("d"), "number": F.lit(2), "row": F.lit(3), "group": F.lit(4)})
     kept = neardup.keep_one(odd)
     assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(["1", "2", "3", "4", "5", "6", "8", "None"])
     assert neardup.near_duplicates(none).isEmpty()
@@ -345,6 +347,57 @@ def test_rows_that_share_an_id_keep_their_texts(spark):
     assert sorted(got, key=str) == sorted([(1, a), (7, b), (7, c), (7, ""), (7, " "), (7, None), (9, None)], key=str)
 
 
+def template_pages(n, seed=5):
+    """Pages of one template, 0.56 alike, some with a near copy or a copy of it further on."""
+    rng = random.Random(seed)
+    template, rows, pairs = [f"t{i}" for i in range(150)], [], {}
+    for d in range(n):
+        rows.append((d, " ".join([*template, *(f"w{rng.randrange(10**7)}" for _ in range(58))])))
+    for k in range(40):
+        words = rows[k * (n // 40)][1].split()
+        words[-1 - k % 12] = f"x{k}"
+        rows.append((n + k, " ".join(words)))
+        pairs[n + k] = k * (n // 40)
+    rng.shuffle(rows)
+    return rows, pairs
+
+
+def test_template_pages_are_not_compared_with_each_other(spark, monkeypatch):
+    """One candidate group, hardly any links: texts go to cells with a holder of a rare shingle only, and all links are found."""
+    monkeypatch.setattr(neardup, "CELL", 64)
+    rows, pairs = template_pages(1500)
+    sent, with_texts = Counter(), neardup._with_texts
+
+    def counted(members, docs, *columns):
+        sent["cells" if "row" in columns else "sampled" if "sampled" in columns else "first"] += members.count()
+        return with_texts(members, docs, *columns)
+
+    monkeypatch.setattr(neardup, "_with_texts", counted)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(texts(spark, rows)).collect()}
+    assert got == {d: pairs.get(d, d) for d, _ in rows}
+    # a text once in its cell and once for its shingles, with the cells' leaders and samples; then where it shares a rare shingle
+    assert sent["first"] <= 1.1 * len(rows) and sent["sampled"] <= 2 * len(rows) and sent["cells"] <= 2 * len(rows)
+
+
+@pytest.mark.parametrize("nodes", [300, 4000])
+def test_regions_of_any_size_lose_no_candidate(nodes):
+    """All pairs that agree enough are joined, whatever lies between them in the order."""
+    rng = np.random.default_rng(nodes)
+    base = rng.integers(0, 256, 45).astype(np.uint8)
+    values = np.where(rng.random((nodes, 45)) < 0.45, base, rng.integers(0, 256, (nodes, 45)).astype(np.uint8))
+    for k in range(0, nodes // 2, 5):  # links at the limit: 29 of 48 agree
+        values[nodes // 2 + k] = np.where(np.isin(np.arange(45), rng.choice(45, 19, replace=False)), rng.integers(0, 256, 45), values[k])
+    order = np.lexsort(values.T[::-1])
+    values = values[order]
+    found, want = neardup._Links(nodes), neardup._Links(nodes)
+    for a, b in neardup.region_links(np.arange(nodes), values, 29):
+        found.join(a, b)
+    for i in range(nodes):
+        for j in np.flatnonzero((values[i + 1 :] == values[i]).sum(1) >= 26) + i + 1:
+            want.join(i, int(j))
+    assert [found.root(i) for i in range(nodes)] == [want.root(i) for i in range(nodes)]
+
+
 # -- 8 chat ---------------------------------------------------------------------------
 
 
@@ -397,6 +450,9 @@ def test_mixing(spark, odd, none):
         capped |= over
     assert targets == pytest.approx(want) and all(taken[s] == math.floor(targets[s] + 1e-9) for s in names)
     assert mixing.mix(odd).count() == len(ROWS) and mixing.mix(none).isEmpty()
+    named = df.withColumns({"copy": F.lit("c"), "plan_words": F.lit("p"), "plan_size": F.lit("s"), "row": F.lit("r"), "key": F.lit("k"), "size": F.lit("z"), "taken": F.lit("t"), "number": F.lit("n"), "left": F.lit("l"), "digest": F.lit("d")})
+    mixed = mixing.mix_documents(named)
+    assert mixed.columns == named.columns and mixed.select(*named.columns[3:]).distinct().collect() == [tuple("cpsrkztnld")]
     words = Counter()
     for r in mixing.mix_documents(df.withColumn("n_chars", F.lit(0).cast("long"))).collect():
         words[r["source"]] += len(r["text"].split())

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -27,8 +28,6 @@ from quarry.llm.quality import in_fold, training_rows
 SAMPLE = 30_000
 FOLDS, HELD = 4, 2
 THRESHOLD = 0.3
-#: Terms in the lexicon, at most; and candidates for it that are looked at, most documents first.
-TERMS, CANDIDATES = 2_000, 20_000
 STEM = range(4, 13)
 #: The least log odds of a term, and the least documents and share of toxic documents with it.
 LEAST_ODDS, LEAST_DOCS, LEAST_SHARE = 2.7, 5, 0.004
@@ -226,27 +225,29 @@ def learn_terms(rows: DataFrame) -> tuple[tuple[tuple[str, bool, float], ...], D
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
     by_stem = stems.groupBy("letters").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.count("*").alias("forms"), F.max(F.when(F.col("word") == F.col("letters"), F.col("toxic"))).alias("own")).withColumn("odds", odds)
     enough = max(LEAST_DOCS, LEAST_SHARE * n_toxic)
-    found = by_stem.filter((F.col("toxic") >= enough) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("toxic"), F.desc("odds"), F.desc(F.length("letters")), "letters").limit(CANDIDATES).collect()
+    # as many as the toxic documents of the sample have words, at most
+    found = by_stem.filter((F.col("toxic") >= enough) & (F.col("odds") >= LEAST_ODDS)).collect()
     return choose(found), by_word
 
 
 def choose(found: list) -> tuple[tuple[str, bool, float], ...]:
     """Of nested stems, the shortest whose odds hold, made as long as its documents allow."""
     known = {r["letters"]: r for r in found}
+    ordered = sorted(known)
     taken: dict[str, tuple[str, bool, float]] = {}
     for r in sorted(found, key=lambda r: (len(r["letters"]), r["letters"])):
         letters = r["letters"]
         if any(letters[:n] in taken for n in range(1, len(letters) + 1)):
             continue
         longer = letters
-        for other in sorted((x for x in known if x.startswith(letters)), key=len):
+        extensions = ordered[bisect_left(ordered, letters) : bisect_left(ordered, letters + chr(0x10FFFF))]
+        for other in sorted(extensions, key=len):
             if known[other]["toxic"] >= 0.97 * r["toxic"] and known[other]["clean"] <= r["clean"]:
                 longer = other
         row = known[longer]
         word_only = (row["own"] or 0) >= 0.97 * row["toxic"]
         taken[letters] = (longer, not word_only, float(row["odds"]))
-    best = sorted(taken.values(), key=lambda x: (-x[2], x[0]))[:TERMS]
-    return tuple(sorted(best))
+    return tuple(sorted(taken.values()))
 
 
 def needed(terms: tuple[tuple[str, bool, float], ...], rows: DataFrame) -> tuple[tuple[str, bool, float], ...]:

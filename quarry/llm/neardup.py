@@ -160,8 +160,11 @@ class _Links:
         return i != j
 
 
-def region_links(nodes: np.ndarray, values: np.ndarray, agree: int) -> list[tuple[int, int]]:
-    """Links that join what agrees in a region; values: the others in the tree's order, sorted."""
+def region_links(nodes: np.ndarray, values: np.ndarray, agree: int, small: int) -> list[tuple[int, int]]:
+    """Links that join what agrees in a region; values: the others in the tree's order, sorted.
+
+    Parts of more than `small` nodes are followed deeper.
+    """
     links, out, need = _Links(len(nodes)), [], agree - REGION_DEPTH
 
     def offer(rows: np.ndarray, to: np.ndarray) -> None:
@@ -175,14 +178,14 @@ def region_links(nodes: np.ndarray, values: np.ndarray, agree: int) -> list[tupl
     while todo:
         low, high, depth = todo.pop()
         span = np.arange(low, high)
-        if high - low <= REGION:
+        if high - low <= small:
             offer(span, span)
         elif depth == values.shape[1]:
             offer(span[:1], span)  # all values agree
         else:
             cuts = [low, *(np.flatnonzero(values[low + 1 : high, depth] != values[low : high - 1, depth]) + low + 1).tolist(), high]
             todo += [(a, b, depth + 1) for a, b in zip(cuts, cuts[1:], strict=False)]
-    if len(nodes) > REGION:
+    if len(nodes) > small:
         # each node with those after it that are still apart from it
         root = np.array([links.root(i) for i in range(len(nodes))])
         for i in range(len(nodes)):
@@ -202,6 +205,7 @@ def forest_links(classes: DataFrame, trees: int, agree: int) -> DataFrame:
     """(a, b): candidate links from all sorted orders."""
     spark = classes.sparkSession
     parts = parts_for(spark, classes.count() * trees, 200_000)
+    small, most = REGION, HELD  # workers get them from here
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         nodes, orders, keys = [], [], []
@@ -222,7 +226,7 @@ def forest_links(classes: DataFrame, trees: int, agree: int) -> DataFrame:
             nodes = [n for n, _ in held]
             if closed and not whole:
                 values = np.frombuffer(b"".join(k for _, k in held), np.uint8).reshape(len(held), -1)
-                found = region_links(np.array(nodes), values, agree)
+                found = region_links(np.array(nodes), values, agree, small)
                 return _edges(*map(list, zip(*found, strict=True))) if found else None
             others = [n for n in nodes if n != first]
             return _edges([first] * len(others), others) if others else None
@@ -241,7 +245,7 @@ def forest_links(classes: DataFrame, trees: int, agree: int) -> DataFrame:
                     fresh, region = region is None, (tree, key[:8])
                     if fresh:
                         yield mark()
-                elif len(held) >= HELD:
+                elif len(held) >= most:
                     whole = True
                     if (found := link(False)) is not None:
                         yield found

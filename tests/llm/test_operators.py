@@ -390,7 +390,7 @@ def test_regions_of_any_size_lose_no_candidate(nodes):
     order = np.lexsort(values.T[::-1])
     values = values[order]
     found, want = neardup._Links(nodes), neardup._Links(nodes)
-    for a, b in neardup.region_links(np.arange(nodes), values, 29):
+    for a, b in neardup.region_links(np.arange(nodes), values, 29, neardup.REGION):
         found.join(a, b)
     for i in range(nodes):
         for j in np.flatnonzero((values[i + 1 :] == values[i]).sum(1) >= 26) + i + 1:

@@ -8,19 +8,21 @@ window share an anchor in it at the same offset.
 
 1. Texts are packed into compressed blocks, written once.
 2. Anchor hashes, once per block, meet by hash range; those of one document only go.
-3. Around each anchor that is left a block sends its context, 32 bytes to either side at
-   most: the windows whose least hash it has. Contexts are kept once per block. An anchor
-   found in very many blocks sends these windows themselves instead, keyed by their whole
-   content, so a passage in a third of all documents is many small groups that each block
-   has already reduced.
+3. Around each anchor that is left a block sees its contexts, 32 bytes to either side at
+   most: the windows whose least hash it has. A block sends each distinct context once,
+   with the least and the greatest doc_id that it has there; where they occur stays with
+   the block, in a few bytes each.
 4. Contexts of an anchor range are suffix-sorted: multikey quicksort over 8-byte
    characters to a shallow depth, then blind tries for what is still tied. Equal contexts
    show directly which bytes go; contexts that share an anchor but differ are compared, two
-   by their common extension, more by sorting their windows the same way.
-5. Removed runs return to their blocks, where texts are cut.
-
-No step holds more than a block, or the contexts of one hash range; hashes only bring
-candidates together, and bytes decide.
+   by their common extension, more by sorting their windows the same way. What returns to a
+   block is, for a context, bytes and the doc_id beyond which documents lose them.
+5. An anchor found in very many blocks sends its distinct windows instead, as rows that are
+   aggregated by content: partial least doc_ids first, then the least of these.
+6. A block resolves its own occurrences, and its texts are cut.
+
+No step holds more than a block, or the distinct contexts of one hash range; hashes only
+bring candidates together, and bytes decide.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import PARTITION_BYTES, materialize, released, small_batches, table
+from quarry.llm.common import PARTITION_BYTES, materialize, scratch, small_batches, table
 
 WINDOW = 50
 ANCHOR = 18
@@ -95,7 +97,7 @@ def suffix_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     the character that tells it apart; a branch with several members is such a group again.
     """
     n = len(rows)
-    words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64).reshape(n, -1)
+    words = np.ascontiguousarray(rows).view(">u8").astype(np.uint64).reshape(n, rows.shape[1] // 8)
     order = np.argsort(words[:, 0], kind="stable")
     group = _numbered(words[order, 0][:, None])
     for depth in range(1, min(SHALLOW, words.shape[1])):
@@ -162,6 +164,8 @@ def _arrays(blob: bytes, n: int) -> list[np.ndarray]:
 def pack_blocks(docs: DataFrame) -> DataFrame:
     """(block, n_bytes, payload): rows of docs, all columns, in compressed Arrow blocks."""
 
+    most = BLOCK_BYTES  # workers get it from here
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
@@ -169,7 +173,7 @@ def pack_blocks(docs: DataFrame) -> DataFrame:
             start = 0
             for i, s in enumerate(sizes.tolist()):
                 size += s
-                if size >= BLOCK_BYTES:
+                if size >= most:
                     yield _block(number, [*held, batch.slice(start, i + 1 - start)], size)
                     number, held, size, start = number + 1, [], 0, i + 1
             if start < batch.num_rows:
@@ -246,8 +250,8 @@ def anchor_hashes(payload: bytes) -> np.ndarray:
     return (hashes[first] & ~np.uint64(1)) | several.astype(np.uint64)
 
 
-def shared_hashes(parts: list[np.ndarray]) -> list[np.ndarray]:
-    """For each block's hashes, those in another block or several documents; the lowest bit: in very many blocks."""
+def shared_hashes(parts: list[np.ndarray], hot_blocks: int) -> list[np.ndarray]:
+    """For each block's hashes, those in another block or several documents; the lowest bit: in more than hot_blocks."""
     every = np.concatenate(parts)
     plain = every & ~np.uint64(1)
     order = np.argsort(plain, kind="stable")
@@ -259,7 +263,7 @@ def shared_hashes(parts: list[np.ndarray]) -> list[np.ndarray]:
     keep = np.empty(len(every), bool)
     keep[order] = ((count > 1) | several)[number]
     hot = np.empty(len(every), bool)
-    hot[order] = (count > HOT_BLOCKS)[number]
+    hot[order] = (count > hot_blocks)[number]
     out, at = [], 0
     for part in parts:
         mine = slice(at, at + len(part))
@@ -268,57 +272,86 @@ def shared_hashes(parts: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
-def contexts(payload: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows to sort, their hashes for dealing out, and (row, document, start, end, doc_id) of each occurrence."""
+def _among(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which hashes are among the known ones, which are sorted."""
+    if not len(known):
+        return np.zeros(len(hashes), bool)
+    return known[np.minimum(np.searchsorted(known, hashes), len(known) - 1)] == hashes
+
+
+def _extremes(of: np.ndarray, ids: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest id of each of n things."""
+    low, high = np.full(n, LAST_ID), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, of, ids)
+    np.maximum.at(high, of, ids)
+    return low, high
+
+
+def contexts(payload: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct contexts, their anchors' hashes, their least and greatest doc_ids, and (context, document, place) of each anchor."""
     ids, texts = _texts(_unpack(payload))
-    shared = np.sort(shared)
-    plain, hot = shared & ~np.uint64(1), (shared & np.uint64(1)).astype(bool)
-    rows, keys, occurrences = [], [], []
+    known = np.sort(shared[(shared & np.uint64(1)) == 0])
+    rows, keys, found = [np.zeros((0, ROW), np.uint8)], [np.zeros(0, np.uint64)], [np.zeros((0, 2), np.int64)]
     for k, text in enumerate(texts):
         at, full, least = anchors(text)
-        hashes = full & ~np.uint64(1)
-        place = np.searchsorted(plain, hashes)
-        place[place == len(plain)] = 0
-        known = plain[place] == hashes if len(plain) else np.zeros(len(at), bool)
-        if not known.any():
+        chosen = _among(full & ~np.uint64(1), known)
+        p, h = at[chosen], full[chosen]
+        if not len(p):
             continue
-        is_hot = known & hot[place]
-        n = len(text)
         padded = np.concatenate([np.zeros(SIDE, np.uint8), text, np.zeros(SIDE, np.uint8)])
-        chosen = known & ~is_hot
-        p, h = at[chosen], hashes[chosen]
-        if len(p):
-            w, own = _windows_of(p, full[chosen], least)
-            left, right = SIDE - own.argmax(1), SIDE - own[:, ::-1].argmax(1)
-            around = np.lib.stride_tricks.sliding_window_view(padded, 2 * SIDE + ANCHOR)[p]
-            row = np.zeros((len(p), ROW), np.uint8)
-            row[:, :WINDOW] = around[:, SIDE:]
-            row[:, WINDOW : WINDOW + SIDE] = around[:, SIDE - 1 :: -1]
-            reach = np.arange(SIDE)
-            row[:, ANCHOR:WINDOW][reach >= right[:, None]] = 0
-            row[:, WINDOW : WINDOW + SIDE][reach >= left[:, None]] = 0
-            row[:, WINDOW + SIDE], row[:, WINDOW + SIDE + 1] = left, right
-            rows.append(row)
-            keys.append(h)
-            occurrences.append(np.stack([np.full(len(p), k), p - left, p + ANCHOR + right, np.full(len(p), ids[k])], 1))
-        p = at[is_hot]
-        if len(p):
-            w, own = _windows_of(p, full[is_hot], least)
-            w = np.unique(w[own])
-            row = np.zeros((len(w), ROW), np.uint8)
-            row[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(text, WINDOW)[w]
-            row[:, WINDOW + SIDE] = 255  # a window, not a context
-            rows.append(row)
-            keys.append(_window_hash(row))
-            occurrences.append(np.stack([np.full(len(w), k), w, w + WINDOW, np.full(len(w), ids[k])], 1))
-    if not rows:
-        return np.zeros((0, ROW), np.uint8), np.zeros(0, np.uint64), np.zeros((0, 5), np.int64)
-    row, key, found = np.concatenate(rows), np.concatenate(keys), np.concatenate(occurrences)
+        _, own = _windows_of(p, h, least)
+        left, right = SIDE - own.argmax(1), SIDE - own[:, ::-1].argmax(1)
+        around = np.lib.stride_tricks.sliding_window_view(padded, 2 * SIDE + ANCHOR)[p]
+        row = np.zeros((len(p), ROW), np.uint8)
+        row[:, :WINDOW] = around[:, SIDE:]
+        row[:, WINDOW : WINDOW + SIDE] = around[:, SIDE - 1 :: -1]
+        reach = np.arange(SIDE)
+        row[:, ANCHOR:WINDOW][reach >= right[:, None]] = 0
+        row[:, WINDOW : WINDOW + SIDE][reach >= left[:, None]] = 0
+        row[:, WINDOW + SIDE], row[:, WINDOW + SIDE + 1] = left, right
+        rows.append(row)
+        keys.append(h & ~np.uint64(1))
+        found.append(np.stack([np.full(len(p), k), p], 1))
+    row, key, place = np.concatenate(rows), np.concatenate(keys), np.concatenate(found)
     order, same = suffix_order(row)
     kind = np.empty(len(order), np.int64)
     kind[order] = np.cumsum(~same) - 1
     once = order[~same]
-    return row[once], key[once], np.concatenate([kind[:, None], found], 1)
+    return row[once], key[once], *_extremes(kind, ids[place[:, 0]], len(once)), np.concatenate([kind[:, None], place], 1)
+
+
+def hot_windows(payload: bytes, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct windows around anchors of very many blocks, their least and greatest doc_ids, and where they are.
+
+    Windows are numbered as they first appear, so places are few runs (window, document,
+    place, length) of windows that follow each other.
+    """
+    ids, texts = _texts(_unpack(payload))
+    known = np.sort(shared[(shared & np.uint64(1)) == 1] & ~np.uint64(1))
+    rows, found = [np.zeros((0, WINDOW + 6), np.uint8)], [np.zeros((0, 2), np.int64)]
+    for k, text in enumerate(texts):
+        at, full, least = anchors(text)
+        chosen = _among(full & ~np.uint64(1), known)
+        if not chosen.any():
+            continue
+        w, own = _windows_of(at[chosen], full[chosen], least)
+        w = np.unique(w[own])
+        row = np.zeros((len(w), WINDOW + 6), np.uint8)
+        row[:, :WINDOW] = np.lib.stride_tricks.sliding_window_view(text, WINDOW)[w]
+        rows.append(row)
+        found.append(np.stack([np.full(len(w), k), w], 1))
+    row, place = np.concatenate(rows), np.concatenate(found)
+    order, same = suffix_order(row)
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(~same) - 1
+    first, _ = _extremes(kind, np.arange(len(kind)), int((~same).sum()))
+    number = np.empty(len(first), np.int64)
+    number[np.argsort(first)] = np.arange(len(first))
+    window = number[kind]
+    fresh = np.concatenate([[True], (window[1:] != window[:-1] + 1) | (place[1:, 0] != place[:-1, 0]) | (place[1:, 1] != place[:-1, 1] + 1)])[: len(window)]
+    starts = np.flatnonzero(fresh)
+    length = np.diff(np.append(starts, len(window)))
+    return row[np.sort(first), :WINDOW], *_extremes(window, ids[place[:, 0]], len(first)), np.concatenate([window[starts, None], place[starts], length[:, None]], 1)
 
 
 def _windows_of(at: np.ndarray, hashes: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -328,63 +361,45 @@ def _windows_of(at: np.ndarray, hashes: np.ndarray, least: np.ndarray) -> tuple[
     return w, (w == inside) & (least[inside] == hashes[:, None])
 
 
-def _window_hash(rows: np.ndarray) -> np.ndarray:
-    words = np.ascontiguousarray(rows).view("<u8").reshape(len(rows), -1)
-    h = np.zeros(len(rows), np.uint64)
-    for i in range(words.shape[1]):
-        h = (h ^ words[:, i]) * _MULTIPLIERS[i % 3]
-        h ^= h >> np.uint64(31)
-    return h
-
+def removals(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """(row, start, end, doc_id): bytes, counted from the anchor's start, that documents beyond this doc_id lose.
 
-def removed_runs(rows: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """(occurrence, start, end) of bytes to remove, from the contexts and windows of a hash range.
-
-    found: (row, document, start, end, doc_id) of each occurrence. A run may be part of another.
+    rows: contexts of a hash range as blocks sent them, each with its least and greatest
+    doc_id there. A run may be part of another.
     """
     order, same = suffix_order(rows)
-    kind_of_row = np.empty(len(order), np.int64)
-    kind_of_row[order] = np.cumsum(~same) - 1
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(~same) - 1
     content = rows[order[~same]]  # distinct, in suffix order
-    # contexts before windows, which would part the contexts of an anchor that they begin with
-    apart = np.argsort(content[:, WINDOW + SIDE] == 255, kind="stable")
-    content, place = content[apart], np.empty(len(apart), np.int64)
-    place[apart] = np.arange(len(apart))
-    kind = place[kind_of_row[found[:, 0]]]
-    start, end, doc = found[:, 2], found[:, 3], found[:, 4]
-    least = np.full(len(content), LAST_ID)
-    np.minimum.at(least, kind, doc)
-    out = []
-    whole = np.flatnonzero((doc > least[kind]) & (end - start >= WINDOW))
-    out.append(np.stack([whole, start[whole], end[whole]], 1))
+    least, _ = _extremes(kind, low, len(content))
+    left, right = content[:, WINDOW + SIDE].astype(np.int64), content[:, WINDOW + SIDE + 1].astype(np.int64)
+    whole = np.flatnonzero((high > least[kind]) & (left + right >= SIDE)[kind])
+    out = [np.stack([whole, -left[kind[whole]], ANCHOR + right[kind[whole]], least[kind[whole]]], 1)]
     # contexts that share an anchor but differ
-    is_context = content[:, WINDOW + SIDE] != 255
-    words = np.ascontiguousarray(content[:, :24]).view(">u8").astype(np.uint64).reshape(len(content), -1)
-    anchor = np.stack([words[:, 0], words[:, 1], words[:, 2] >> np.uint64(48), is_context.astype(np.uint64)], 1)
-    group = _numbered(anchor)
+    words = np.ascontiguousarray(content[:, :24]).view(">u8").astype(np.uint64).reshape(len(content), 3)
+    group = _numbered(np.stack([words[:, 0], words[:, 1], words[:, 2] >> np.uint64(48)], 1))
     size = np.bincount(group, minlength=1)[group] if len(group) else group
     by_kind = np.argsort(kind, kind="stable")
     firsts = np.searchsorted(kind[by_kind], np.arange(len(content) + 1))
 
-    def occurrences(kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Occurrences of these kinds, and for each the index of its kind in kinds."""
+    def for_rows(kinds: np.ndarray, start: np.ndarray, end: np.ndarray, doc: np.ndarray) -> None:
+        """What kinds lose, for each row of a kind that has a later document."""
         counts = firsts[kinds + 1] - firsts[kinds]
         index = np.repeat(np.arange(len(kinds)), counts)
         offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        return by_kind[firsts[kinds][index] + offset], index
+        row = by_kind[firsts[kinds][index] + offset]
+        later = high[row] > doc[index]
+        row, index = row[later], index[later]
+        out.append(np.stack([row, start[index], end[index], doc[index]], 1))
 
-    pair = np.flatnonzero(is_context & (size == 2))[::2]
+    pair = np.flatnonzero(size == 2)[::2]
     if len(pair):
-        right, left = _common(content[pair], content[pair + 1])
-        good = right + left >= SIDE
-        pair, right, left = pair[good], right[good], left[good]
+        to_right, to_left = _common(content[pair], content[pair + 1])
+        good = to_right + to_left >= SIDE
+        pair, to_right, to_left = pair[good], to_right[good], to_left[good]
         for a, b in ((pair, pair + 1), (pair + 1, pair)):
-            which, i = occurrences(a)
-            later = doc[which] > least[b][i]
-            which, i = which[later], i[later]
-            p = start[which] + content[a[i], WINDOW + SIDE]
-            out.append(np.stack([which, p - left[i], p + ANCHOR + right[i]], 1))
-    many = np.flatnonzero(is_context & (size > 2))
+            for_rows(a, -to_left, ANCHOR + to_right, least[b])
+    many = np.flatnonzero(size > 2)
     cuts = np.flatnonzero(np.diff(group[many]) != 0) + 1 if len(many) else []
     held: list[np.ndarray] = []
     for part in [*np.split(many, cuts), None]:
@@ -392,7 +407,8 @@ def removed_runs(rows: np.ndarray, found: np.ndarray) -> np.ndarray:
             held.append(part)
         if held and (part is None or sum(map(len, held)) >= 8192):
             kinds = np.concatenate(held)
-            out += _by_windows(content[kinds], group[kinds], least[kinds], *occurrences(kinds), start, doc)
+            of, start, end, doc = _by_windows(content[kinds], group[kinds], least[kinds])
+            for_rows(kinds[of], start, end, doc)
             held = []
     return np.concatenate(out)
 
@@ -408,8 +424,8 @@ def _common(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return run(a[:, ANCHOR:WINDOW], b[:, ANCHOR:WINDOW], lengths[:, 1]), run(a[:, WINDOW : WINDOW + SIDE], b[:, WINDOW : WINDOW + SIDE], lengths[:, 0])
 
 
-def _by_windows(content: np.ndarray, group: np.ndarray, least: np.ndarray, which: np.ndarray, index: np.ndarray, start: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-    """Runs for contexts of anchors with several: each window's least document, by sorting the windows."""
+def _by_windows(content: np.ndarray, group: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(context, start, end, doc_id) for contexts of anchors with several: each window's least document, by sorting the windows."""
     left, right = content[:, WINDOW + SIDE].astype(np.int64), content[:, WINDOW + SIDE + 1].astype(np.int64)
     whole = np.concatenate([content[:, WINDOW : WINDOW + SIDE][:, ::-1], content[:, :WINDOW]], 1)
     earliest = np.full((len(content), SIDE + 1), LAST_ID)
@@ -427,31 +443,107 @@ def _by_windows(content: np.ndarray, group: np.ndarray, least: np.ndarray, which
         order, same = suffix_order(rows)
         low = np.minimum.reduceat(least[owner[order]], np.flatnonzero(~same))
         earliest[owner[order], shift[order]] = low[np.cumsum(~same) - 1]
-    out = []
-    for a in range(0, len(which), 65536):
-        some, i = which[a : a + 65536], index[a : a + 65536]
-        gone = earliest[i] < doc[some][:, None]
-        any_gone = gone.any(1)
-        some, i, gone = some[any_gone], i[any_gone], gone[any_gone]
-        first, last = gone.argmax(1), SIDE - gone[:, ::-1].argmax(1)
-        p = start[some] + left[i]
-        out.append(np.stack([some, p - SIDE + first, p - SIDE + last + WINDOW], 1))
-    return out
-
-
-def kept_runs(size: int, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, int, int]:
-    """Which bytes stay; how many go, in how many runs."""
-    delta = np.bincount(starts, minlength=size + 1) - np.bincount(ends, minlength=size + 1)
-    gone = np.cumsum(delta[:size]) > 0
-    return ~gone, int(gone.sum()), int((gone & ~np.concatenate([[False], gone[:-1]])).sum())
+    # windows of one context that follow each other and have the same least document are one run
+    edge, change = np.ones((len(content), 1), bool), earliest[:, 1:] != earliest[:, :-1]
+    there = earliest < LAST_ID
+    of, first = np.nonzero(np.concatenate([edge, change], 1) & there)
+    _, last = np.nonzero(np.concatenate([change, edge], 1) & there)
+    return of, first - SIDE, last - SIDE + WINDOW, earliest[of, first]
+
+
+class Cuts:
+    """Which bytes of a block's texts go."""
+
+    AT_ONCE = 1 << 20  # occurrences
+
+    def __init__(self, ids: np.ndarray, sizes: list[int]) -> None:
+        self.ids = ids
+        self.offsets = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64) + 1)])  # a place after each text, where nothing goes
+        self.delta = np.zeros(int(self.offsets[-1]) + 1, np.int32)
+
+    def _gone(self, document: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        np.add.at(self.delta, self.offsets[document] + start, 1)
+        np.add.at(self.delta, self.offsets[document] + end, -1)
+
+    def contexts(self, found: np.ndarray, lost: np.ndarray) -> None:
+        """found: (context, document, place); lost: (context, start, end, doc_id)."""
+        found = found[np.argsort(found[:, 0], kind="stable")]
+        first = np.searchsorted(found[:, 0], lost[:, 0])
+        counts = np.searchsorted(found[:, 0], lost[:, 0], "right") - first
+        for some in _slices(counts, self.AT_ONCE):
+            index = np.repeat(np.arange(some.start, some.stop), counts[some])
+            at = found[first[index] + _ramps(counts[some])]
+            later = self.ids[at[:, 1]] > lost[index, 3]
+            at, index = at[later], index[later]
+            self._gone(at[:, 1], at[:, 2] + lost[index, 1], at[:, 2] + lost[index, 2])
+
+    def windows(self, runs: np.ndarray, lost: np.ndarray) -> None:
+        """runs: (window, document, place, length); lost: (window, doc_id)."""
+        earliest = np.full(int((runs[:, 0] + runs[:, 3]).max(initial=0)), LAST_ID)
+        earliest[lost[:, 0]] = lost[:, 1]
+        for some in _slices(runs[:, 3], self.AT_ONCE):
+            index = np.repeat(np.arange(some.start, some.stop), runs[some, 3])
+            step = _ramps(runs[some, 3])
+            later = self.ids[runs[index, 1]] > earliest[runs[index, 0] + step]
+            index, step = index[later], step[later]
+            place = runs[index, 2] + step
+            self._gone(runs[index, 1], place, place + WINDOW)
+
+    def kept(self) -> Iterator[tuple[np.ndarray, int, int]]:
+        """For each text: which bytes stay, how many go, in how many runs."""
+        gone = np.cumsum(self.delta) > 0
+        for a, b in zip(self.offsets[:-1].tolist(), (self.offsets[1:] - 1).tolist(), strict=True):
+            own = gone[a:b]
+            yield ~own, int(own.sum()), int((own & ~np.concatenate([[False], own[:-1]])[: len(own)]).sum())
+
+
+def _slices(counts: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches whose counts add up to about `most`, a single one beyond it included."""
+    whole = np.cumsum(counts)
+    start = 0
+    while start < len(counts):
+        before = whole[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(whole, before + most, "right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _ramps(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def _meet(blocks: DataFrame, said: DataFrame, parts: int) -> DataFrame:
-    """Each block with what was said of it, blocks first."""
-    both = blocks.selectExpr("block", "0 as kind", "payload as data").unionByName(said.selectExpr("block", "1 as kind", "data"))
+    """Each block with what was said of it (block, kind, data), blocks first."""
+    both = blocks.selectExpr("block", f"{BLOCK} as kind", "payload as data").unionByName(said.select("block", "kind", "data"))
     return both.repartition(parts, "block").sortWithinPartitions("block", "kind")
 
 
+#: Kinds of rows that meet a block: itself, hashes it shares, where its contexts are, what these lose; the same of windows.
+BLOCK, SHARED, PLACES, LOST, WINDOW_PLACES, WINDOWS_LOST = range(6)
+_SAID = "block long, kind int, data binary"
+
+
+def _said(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return _rows("block kind data", [pa.int64(), pa.int32(), pa.binary()], rows)
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """values in 32 bits where they fit."""
+    return values.astype(np.int32) if not len(values) or abs(values).max() < 1 << 31 else values
+
+
+def _pack_places(found: np.ndarray) -> bytes:
+    """(context, document, place) of a block, in text order: documents and places as steps."""
+    steps = np.diff(found[:, 1:], axis=0, prepend=np.zeros((1, 2), np.int64))
+    return _bytes(_narrow(found[:, 0]), _narrow(steps[:, 0]), _narrow(steps[:, 1]))
+
+
+def _unpack_places(data: bytes) -> np.ndarray:
+    kind, *steps = _arrays(data, 3)
+    return np.stack([kind.astype(np.int64), *(np.cumsum(x, dtype=np.int64) for x in steps)], 1)
+
+
 def dedup(docs: DataFrame, with_rows: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_rows: the rows themselves, cut.
 
@@ -462,14 +554,18 @@ def dedup(docs: DataFrame, with_rows: bool = False) -> DataFrame:
     the rest goes too, a text that is removed whole becomes empty, and n_chars, if there,
     is counted again.
     """
+    with scratch() as keep:
+        return keep(_dedup(docs, with_rows))
+
+
+def _dedup(docs: DataFrame, with_rows: bool) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     wanted = docs if with_rows else docs.select("doc_id", "text")
     blocks = pack_blocks(wanted)
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // PARTITION_BYTES))
-    buckets = 4 * parts
-    small_batches(spark)
+    buckets, hot_blocks = 4 * parts, HOT_BLOCKS
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
@@ -480,48 +576,46 @@ def dedup(docs: DataFrame, with_rows: bool = False) -> DataFrame:
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
-            got = shared_hashes([np.frombuffer(r["data"], np.uint64) for r in rows])
-            if out := [(r["block"], g.tobytes()) for r, g in zip(rows, got, strict=True) if len(g)]:
-                yield _rows("block data", [pa.int64(), pa.binary()], out)
+            got = shared_hashes([np.frombuffer(r["data"], np.uint64) for r in rows], hot_blocks)
+            if out := [(r["block"], SHARED, g.tobytes(), bool((g & np.uint64(1)).any())) for r, g in zip(rows, got, strict=True) if len(g)]:
+                yield _rows("block kind data hot", [pa.int64(), pa.int32(), pa.binary(), pa.bool_()], out)
 
     by_range = blocks.select("block", "payload").mapInArrow(hashes, "bucket long, block long, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    common = materialize(by_range.mapInArrow(shared, "block long, data binary"), "shared", "none")
+    common = materialize(by_range.mapInArrow(shared, f"{_SAID}, hot boolean"), "shared", "none")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct contexts to their hash range; places pass that step by, under a key of their own."""
         for block, rows in _groups(batches):
             if len(rows) > 1:
-                row, key, found = contexts(rows[0]["data"], np.concatenate([np.frombuffer(r["data"], np.uint64) for r in rows[1:]]))
-                by_kind = np.argsort(found[:, 0], kind="stable")
-                firsts = np.searchsorted(found[by_kind, 0], np.arange(len(row) + 1))
-                out = []
-                for b, part in _by_bucket(_bucket(key, buckets)):
-                    mine = np.concatenate([by_kind[firsts[k] : firsts[k + 1]] for k in part.tolist()])
-                    sub = found[mine].copy()
-                    sub[:, 0] = np.repeat(np.arange(len(part)), firsts[part + 1] - firsts[part])
-                    out.append((b, block, _bytes(row[part], np.asfortranarray(sub))))
-                if out:
-                    yield _rows("bucket block data", [pa.int64(), pa.int64(), pa.binary()], out)
+                row, key, low, high, found = contexts(rows[0]["data"], np.concatenate([np.frombuffer(r["data"], np.uint64) for r in rows[1:]]))
+                if len(row):
+                    out = [(b, block, SHARED, _bytes(row[part], _narrow(part), low[part], high[part])) for b, part in _by_bucket(_bucket(key, buckets))]
+                    yield _rows("bucket block kind data", [pa.int64(), pa.int64(), pa.int32(), pa.binary()], [*out, (-1 - block, block, PLACES, _pack_places(found))])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches):
-            parts_ = [_arrays(r["data"], 2) for r in rows]
-            offsets = np.cumsum([0, *(len(x) for x, _ in parts_)])
-            found = np.concatenate([np.concatenate([f[:, :1] + o, f[:, 1:]], 1) for (_, f), o in zip(parts_, offsets, strict=False)])
-            sender = np.repeat(np.arange(len(rows)), [len(f) for _, f in parts_])
-            runs = removed_runs(np.concatenate([x for x, _ in parts_]), found)
-            runs = runs[np.argsort(sender[runs[:, 0]], kind="stable")]
-            edges = np.searchsorted(sender[runs[:, 0]], np.arange(len(rows) + 1))
+        for bucket, rows in _groups(batches):
+            if bucket < 0:
+                yield _said([(r["block"], r["kind"], r["data"]) for r in rows])
+                continue
+            parts_ = [_arrays(r["data"], 4) for r in rows]
+            sender = np.repeat(np.arange(len(rows)), [len(x[0]) for x in parts_])
+            context = np.concatenate([x[1] for x in parts_])
+            lost = removals(*(np.concatenate([x[i] for x in parts_]) for i in (0, 2, 3)))
+            lost = lost[np.argsort(sender[lost[:, 0]], kind="stable")]
+            edges = np.searchsorted(sender[lost[:, 0]], np.arange(len(rows) + 1))
             out = []
             for i, r in enumerate(rows):
-                own = runs[edges[i] : edges[i + 1]]
+                own = lost[edges[i] : edges[i + 1]]
                 if len(own):
-                    out.append((r["block"], _bytes(np.asfortranarray(np.stack([found[own[:, 0], 1], own[:, 1], own[:, 2]], 1)))))
+                    out.append((r["block"], LOST, _bytes(_narrow(context[own[:, 0]]), own[:, 1].astype(np.int16), own[:, 2].astype(np.int16), own[:, 3])))
             if out:
-                yield _rows("block data", [pa.int64(), pa.binary()], out)
+                yield _said(out)
 
-    sent = _meet(blocks, common, parts).mapInArrow(send, "bucket long, block long, data binary")
-    sorted_ = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, "block long, data binary")
+    sent = _meet(blocks, common, parts).mapInArrow(send, "bucket long, block long, kind int, data binary")
+    sorted_ = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, _SAID)
     runs = materialize(sorted_, "runs", "none")
+    if not common.filter("hot").isEmpty():
+        runs = runs.unionByName(_hot_runs(blocks, common.filter("hot"), parts))
 
     figures = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema = wanted.schema if with_rows else figures
@@ -529,18 +623,17 @@ def dedup(docs: DataFrame, with_rows: bool = False) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
             whole = _unpack(rows[0]["data"])
-            _, texts = _texts(whole)
-            spans = np.concatenate([_arrays(r["data"], 1)[0] for r in rows[1:]] or [np.zeros((0, 3), np.int64)])
-            spans = spans[np.argsort(spans[:, 0], kind="stable")]
-            edges = np.searchsorted(spans[:, 0], np.arange(len(texts) + 1))
+            keys, texts = _texts(whole)
+            cuts, by_kind = Cuts(keys, [len(t) for t in texts]), {k: [r["data"] for r in rows if r["kind"] == k] for k in (PLACES, LOST, WINDOW_PLACES, WINDOWS_LOST)}
+            if by_kind[LOST]:
+                lost = np.concatenate([np.stack([x.astype(np.int64) for x in _arrays(d, 4)], 1) for d in by_kind[LOST]])
+                cuts.contexts(_unpack_places(by_kind[PLACES][0]), lost)
+            if by_kind[WINDOWS_LOST]:
+                lost = np.concatenate([np.stack(_arrays(d, 2), 1) for d in by_kind[WINDOWS_LOST]])
+                cuts.windows(_arrays(by_kind[WINDOW_PLACES][0], 1)[0], lost)
             ids, out = whole.column("doc_id").to_pylist(), []
-            for k, text in enumerate(texts):
-                own = spans[edges[k] : edges[k + 1]]
-                if len(own):
-                    keep, gone, n = kept_runs(len(text), own[:, 1], own[:, 2])
-                    kept = text[keep].tobytes()
-                else:
-                    gone, n, kept = 0, 0, text.tobytes()
+            for k, (text, (keep, gone, n)) in enumerate(zip(texts, cuts.kept(), strict=True)):
+                kept = text[keep].tobytes() if gone else text.tobytes()
                 out.append(kept.decode("utf-8", "ignore") if with_rows else (ids[k], len(text), gone, n, hashlib.sha256(kept).hexdigest()))
             if with_rows:
                 old = whole.column("text").to_pylist()
@@ -552,9 +645,33 @@ def dedup(docs: DataFrame, with_rows: bool = False) -> DataFrame:
             else:
                 yield _rows("doc_id n_bytes n_removed n_spans kept_sha256", [*[pa.int64()] * 4, pa.string()], out)
 
-    result = materialize(_meet(blocks, runs, parts).mapInArrow(cut, schema), "cut")
-    released(blocks, common, runs)
-    return result
+    return materialize(_meet(blocks, runs, parts).mapInArrow(cut, schema), "cut")
+
+
+def _hot_runs(blocks: DataFrame, common: DataFrame, parts: int) -> DataFrame:
+    """(block, kind, data): where windows of anchors in very many blocks are, and beyond which doc_id they go."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _groups(batches):
+            if len(rows) > 1:
+                window, low, high, runs = hot_windows(rows[0]["data"], np.concatenate([np.frombuffer(r["data"], np.uint64) for r in rows[1:]]))
+                for a in range(0, len(window), 4096):
+                    some = [w.tobytes() for w in window[a : a + 4096]]
+                    yield pa.RecordBatch.from_arrays([pa.array([block] * len(some), pa.int64()), pa.array(np.arange(a, a + len(some))), pa.array(some, pa.binary()), pa.array(low[a : a + 4096]), pa.array(high[a : a + 4096]), pa.nulls(len(some), pa.binary())], names=names)
+                if len(window):
+                    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([_bytes(np.asfortranarray(runs))], pa.binary())], names=names)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _groups(batches):
+            yield _said([(block, WINDOWS_LOST, _bytes(np.array([r["number"] for r in rows]), np.array([r["least"] for r in rows])))])
+
+    names = ["block", "number", "window", "low", "high", "data"]
+    hot = materialize(_meet(blocks, common, parts).mapInArrow(send, "block long, number long, window binary, low long, high long, data binary"), "windows", "none")
+    windows = hot.filter("window is not null")
+    least = windows.groupBy("window").agg(F.min("low").alias("least"))
+    lost = windows.join(least, "window").filter("least < high").select("block", "number", "least")
+    places = hot.filter("data is not null").select("block", F.lit(WINDOW_PLACES).alias("kind"), "data")
+    return places.unionByName(lost.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(packed, _SAID))
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,7 @@ def passages(seed):
     return rows
 
 
-@pytest.mark.parametrize("hot,size", [(512, 4 << 20), (0, 2000), (2, 1000)])
+@pytest.mark.parametrize("hot,size", [(512, 4 << 20), (512, 1000), (0, 2000), (2, 1000)])
 def test_suffixes_match_brute_force(spark, monkeypatch, hot, size):
     """Contexts, windows of anchors that are in very many blocks, and both."""
     monkeypatch.setattr(suffixes, "HOT_BLOCKS", hot)
@@ -86,17 +86,19 @@ def test_suffixes_match_brute_force(spark, monkeypatch, hot, size):
     assert got == brute_removed(rows)
 
 
-@pytest.mark.parametrize("n", [2, 3])
-def test_windows_do_not_part_the_contexts_of_an_anchor(n):
-    """A window of another anchor that begins with this one's bytes sorts between contexts that share bytes."""
-    rows = np.zeros((n + 1, suffixes.ROW), np.uint8)
-    rows[:, :18], rows[:, 18:50] = ord("A"), ord("r")
-    rows[:n, 50:82], rows[:n, 82:84] = ord("l"), 32  # contexts share the anchor and 32 bytes to the left
-    rows[:, 18] = [ord("b"), *[ord("f") + k for k in range(1, n)], ord("d")]
-    rows[n, 82] = 255
-    found = np.array([(k, k, 100, 182, k) for k in range(n)] + [(n, n, 0, 50, n)])
-    got = {tuple(r) for r in suffixes.removed_runs(rows, found).tolist()}
-    assert got == {(k, 100, 150) for k in range(1, n)}
+def test_a_passage_of_a_third_of_all_documents_is_sent_once_a_block(spark, monkeypatch):
+    """Blocks send a context once, with the least and greatest doc_id, however many documents have it."""
+    rng = random.Random(9)
+    passage = " ".join(f"p{i}" for i in range(150))
+    rows = [(d, f"{rng.random()} {rng.random()} {passage if d % 3 == 0 else rng.random()} {rng.random()}") for d in range(300)]
+    assert sorted((tuple(r) for r in suffixes.dedup(texts(spark, rows)).collect()), key=str) == brute_removed(rows)
+    blocks = [r["payload"] for r in suffixes.pack_blocks(texts(spark, rows)).collect()]
+    shared = suffixes.shared_hashes([suffixes.anchor_hashes(b) for b in blocks], 512)
+    for block, own in zip(blocks, shared, strict=True):
+        context, _, low, high, places = suffixes.contexts(block, own)
+        assert len(context) < 200 and (low <= high).all() and len(places) > 10 * len(context)
+        window, low, high, runs = suffixes.hot_windows(block, own | np.uint64(1))
+        assert (low <= high).all() and runs[:, 3].sum() > 10 * len(window) and len(runs) < 400
 
 
 def test_suffix_order_is_sorted():
@@ -368,9 +370,9 @@ def test_template_pages_are_not_compared_with_each_other(spark, monkeypatch):
     rows, pairs = template_pages(1500)
     sent, with_texts = Counter(), neardup._with_texts
 
-    def counted(members, docs, *columns):
+    def counted(members, every, *columns):
         sent["cells" if "row" in columns else "sampled" if "sampled" in columns else "first"] += members.count()
-        return with_texts(members, docs, *columns)
+        return with_texts(members, every, *columns)
 
     monkeypatch.setattr(neardup, "_with_texts", counted)
     got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(texts(spark, rows)).collect()}

@@ -40,7 +40,7 @@ VALUES = REGION_DEPTH * max(trees for trees, _ in FORESTS.values())
 #: A part of a region of more nodes is followed deeper.
 REGION = 64
 HELD = 4096  # nodes of a region that are compared; a larger region is a candidate group as a whole
-CELL = 512
+CELL = 256
 #: Members of a split group whose shingles tell which are rare in it.
 SAMPLED = 32
 
@@ -344,10 +344,15 @@ def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[dict]]
         yield held
 
 
-def _with_texts(members: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
-    """members (with doc, the id of a document of the node) with that document's text."""
+def _texts_of(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of each member by doc, the id of a document of the node: all texts are shuffled once, for this."""
     texts = pick(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "doc")
-    return members.join(texts, "doc").select(*columns, "node", "text")
+    return materialize(members.select("doc", "node").join(texts, "doc").select("node", "text").distinct(), "texts")
+
+
+def _with_texts(members: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """members with their node's texts: several, where an id stands for several."""
+    return members.select(*columns, "node").join(texts, "node").select(*columns, "node", "text")
 
 
 def _resolve(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa.RecordBatch]:
@@ -423,7 +428,8 @@ def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame, sim
         scores = split.join(met, ["label", "k", "value"]).groupBy("label", "node").agg(F.sum("met").alias("typical"))
         leaders = many.join(_top(scores), ["label", "node"], "left_semi").withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
         few = few.unionByName(many).unionByName(leaders).distinct()
-    texts = _with_texts(few, docs, "label", "cell").repartition(parts, "label", "cell").sortWithinPartitions("label", "cell", "node")
+    every = _texts_of(members, docs)
+    texts = _with_texts(few, every, "label", "cell").repartition(parts, "label", "cell").sortWithinPartitions("label", "cell", "node")
     found = materialize(texts.mapInArrow(lambda b: _resolve(b, similarity), "a long, b long"), "resolved")
     labels = found.select(F.col("a").alias("node"), F.col("b").alias("label"))
     if not any_big:
@@ -434,13 +440,13 @@ def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame, sim
     joined = components(said)
     classes_now = many.join(joined.withColumnRenamed("label", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     classes_now = materialize(classes_now, "classes_now")
-    more = _links_apart(classes_now, docs, similarity, parts)
+    more = _links_apart(classes_now, every, similarity, parts)
     final = components(more)
     merged = classes_now.join(final.withColumnRenamed("node", "class").withColumnRenamed("label", "last"), "class", "left").select("node", F.coalesce("last", "class").alias("label"))
     return labels.join(in_big, "node", "left_anti").unionByName(merged)
 
 
-def _links_apart(members: DataFrame, docs: DataFrame, similarity: int, parts: int) -> DataFrame:
+def _links_apart(members: DataFrame, every: DataFrame, similarity: int, parts: int) -> DataFrame:
     """(a, b): links between classes of split groups, for all nodes outside their group's largest class.
 
     members: label, node, doc, cell, cells, class. Who is apart has a row of the group's grid,
@@ -460,7 +466,7 @@ def _links_apart(members: DataFrame, docs: DataFrame, similarity: int, parts: in
     sampled = sampled.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).withColumn("sampled", F.lit(True))
     columns = ["label", "cell", "sampled", "node", "doc"]
     asked = placed.withColumn("sampled", F.lit(False)).select(columns).unionByName(sampled.select(columns))
-    texts = _with_texts(asked, docs, "label", "cell", "sampled").repartition(parts, "label", "cell").sortWithinPartitions("label", "cell", "node")
+    texts = _with_texts(asked, every, "label", "cell", "sampled").repartition(parts, "label", "cell").sortWithinPartitions("label", "cell", "node")
     rare = texts.mapInArrow(lambda b: _prefixes(b, similarity), "label long, shingle long, node long")
     holders = materialize(rare.join(placed.drop("label", "cells"), "node"), "holders")
     shared = holders.groupBy("label", "shingle").agg(F.collect_set(F.when(F.col("apart"), F.col("row"))).alias("rows"), F.collect_set("cell").alias("columns"), F.min("class").alias("low"), F.max("class").alias("high"))
@@ -469,7 +475,7 @@ def _links_apart(members: DataFrame, docs: DataFrame, similarity: int, parts: in
     looking = met.filter("apart").withColumn("cell", F.explode("columns")).select(columns)
     looked_at = met.withColumn("row", F.explode("rows")).withColumn("apart", F.lit(False)).select(columns)
     pairs = looking.unionByName(looked_at).distinct()
-    texts = _with_texts(pairs, docs, "label", "cell", "row", "apart", "class").repartition(parts, "label", "cell", "row").sortWithinPartitions("label", "cell", "row", "apart", "node")
+    texts = _with_texts(pairs, every, "label", "cell", "row", "apart", "class").repartition(parts, "label", "cell", "row").sortWithinPartitions("label", "cell", "row", "apart", "node")
     return materialize(texts.mapInArrow(lambda b: _compare(b, similarity), "a long, b long"), "compared")
 
 

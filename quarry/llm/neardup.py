@@ -347,7 +347,8 @@ def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[dict]]
 def _texts_of(members: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, text) of each member by doc, the id of a document of the node: all texts are shuffled once, for this."""
     texts = pick(docs, doc_id="long", text="string").withColumnRenamed("doc_id", "doc")
-    return materialize(members.select("doc", "node").join(texts, "doc").select("node", "text").distinct(), "texts")
+    # by shuffle whatever the members' number, so that cost grows with the corpus
+    return materialize(members.select("doc", "node").hint("merge").join(texts, "doc").select("node", "text").distinct(), "texts")
 
 
 def _with_texts(members: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:

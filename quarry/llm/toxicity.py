@@ -314,7 +314,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row; null texts are empty, null ids are not held out."""
+    """doc_id, held_out, score, predicted for every row, in any table order.
+
+    Null texts are empty; empty and very long texts are scored like others, whole; null ids
+    are not held out; rows that repeat get equal scores, each its row; a score at the
+    threshold counts as above it; other columns are ignored; an empty table gives no rows.
+    """
 
     def rate(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [model.score(x) for x in batch.column(2).to_pylist()]

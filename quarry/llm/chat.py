@@ -1,9 +1,10 @@
 """Chat formatting: a finite-state machine over roles, and segments with loss flags.
 
 A declarative template says how a turn opens and closes and which roles are learned from.
-Control strings inside texts are escaped, so the output can be read back exactly.
-Conversations stream in turn order: a worker holds one turn and running digests, never a
-whole conversation, however long one is.
+Control strings inside texts are escaped, so the output can be read back exactly. The
+segments are written first; what is reported of a conversation is read from them, turn
+boundaries found anew in the joined text. Conversations stream in turn order: a worker
+holds one turn and running digests, never a whole conversation, however long one is.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import pick, small_batches, table
+from quarry.llm.common import map_arrow, pick, small_batches, table
 
 # Which roles may follow which; "" is the start, None the end.
 TURN_ORDER = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user", None)}
@@ -47,11 +48,18 @@ class Template:
         before, after = self.opening.split("{role}")
         return [(before + self.escaped(role, (after.strip() or after,)) + after, False), (self.escaped(text), role in self.learned), (self.closing, False)]
 
+    def is_closed(self, formatted: str) -> bool:
+        """Whether the text ends with a closing that is none of a turn's words: an even run of escapes stands before it."""
+        body = formatted.removesuffix(self.closing)
+        escapes = len(body) - len(body.rstrip(self.escape))
+        return len(body) < len(formatted) and escapes % 2 == 0
+
     def read(self, formatted: str) -> Iterator[tuple[str, str]]:
-        """(role, text) of each turn in formatted output."""
+        """(role, text) of each turn in formatted output; ValueError where a control string stands in a text as it is."""
         before, after = self.opening.split("{role}")
-        unit = rf"(?:{re.escape(self.escape)}.|(?!{{stop}})[^{re.escape(self.escape)}])*"
-        turn = re.compile(re.escape(before) + f"({unit.format(stop=re.escape(after))})" + re.escape(after) + f"({unit.format(stop=re.escape(self.closing.strip()))})" + re.escape(self.closing), re.S)
+        controls = "|".join(map(re.escape, (self.closing.strip(), *self.controls)))
+        unit = rf"(?:{re.escape(self.escape)}(?:{controls}|.)|(?!{{stop}})[^{re.escape(self.escape)}])*"
+        turn = re.compile(re.escape(before) + f"({unit.format(stop=re.escape(after))})" + re.escape(after) + f"({unit.format(stop=controls)})" + re.escape(self.closing), re.S)
         at = 0
         while at < len(formatted):
             if not (found := turn.match(formatted, at)):
@@ -60,30 +68,44 @@ class Template:
             at = found.end()
 
 
-class _Digest:
-    """Running digests of a conversation, from what is read back of its formatted turns."""
+class Reader:
+    """Reads a conversation's formatted text as it comes, in pieces cut anywhere, and digests what it finds."""
 
     def __init__(self, template: Template) -> None:
         self.template, self.turns, self.loss = template, hashlib.sha256(), hashlib.sha256()
         self.n = self.loss_chars = self.chars = 0
         self.state, self.valid, self.first_bad = "", True, None
-
-    def add(self, role: str, text: str) -> None:
-        if role not in TURN_ORDER.get(self.state, ()) and self.valid:
-            self.valid, self.first_bad = False, self.n
-        self.state = role
-        parts = self.template.segments(role, text)
-        formatted = "".join(x for x, _ in parts)
-        for got_role, got_text in self.template.read(formatted):
-            self.turns.update(f"{got_role}\n{got_text}\n".encode())
+        self.pending: list[str] = []
+        self.learned: list[str] = []
+
+    def add(self, text: str, loss: bool) -> None:
+        """The next segment. Turns end where the closing stands unescaped, whatever the segments' own limits."""
+        self.chars += len(text)
+        self.pending.append(text)
+        if loss:
+            self.learned.append(text)
+        elif text.endswith(self.template.closing):
+            self._close()
+
+    def _close(self) -> None:
+        """Takes the turns that are whole out of what is pending."""
+        text = "".join(self.pending)
+        if not self.template.is_closed(text):
+            return
+        for role, said in self.template.read(text):
+            if role not in TURN_ORDER.get(self.state, ()) and self.valid:
+                self.valid, self.first_bad = False, self.n
+            self.state = role
+            self.turns.update(f"{role}\n{said}\n".encode())
             self.n += 1
-        for part in (x for x, loss in parts if loss):
-            plain = self.template.unescaped(part)
-            self.loss.update(plain.encode())
-            self.loss_chars += len(plain)
-        self.chars += len(formatted)
+        plain = self.template.unescaped("".join(self.learned))
+        self.loss.update(plain.encode())
+        self.loss_chars += len(plain)
+        self.pending, self.learned = [], []
 
     def row(self, conv: int | None) -> tuple:
+        if self.pending:
+            raise ValueError(f"conversation {conv} ends inside a turn")
         valid = self.valid and None in TURN_ORDER.get(self.state, ())
         return conv, self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars, valid, self.first_bad
 
@@ -104,51 +126,49 @@ def in_order(conversations: DataFrame) -> DataFrame:
 
 
 def segments(conversations: DataFrame, template: Template | None = None) -> DataFrame:
-    """The training text: a row per segment, in order, with its loss flag."""
+    """The training text: a row per segment, in order, with its loss flag; columns other than the four are ignored."""
     template = template or Template()
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(c, t, k, text, loss) for c, t, r, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) for k, (text, loss) in enumerate(template.segments(r, x))]
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(map(list, zip(*rows, strict=True)), kinds, strict=True)], names=[x.split()[0] for x in SEGMENT_COLUMNS.split(", ")])
+    def emit(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(c, t, k, text, loss) for c, t, r, x in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True) for k, (text, loss) in enumerate(template.segments(r, x))]
+        return _batch(rows, SEGMENT_COLUMNS)
 
     small_batches(conversations.sparkSession)
-    return in_order(conversations).mapInArrow(emit, SEGMENT_COLUMNS)
+    return map_arrow(in_order(conversations), emit, SEGMENT_COLUMNS)
+
+
+def _batch(rows: list[tuple], columns: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    named = [x.split() for x in columns.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(map(list, zip(*rows, strict=True)), named, strict=True)], names=[n for n, _ in named])
 
 
 def formatted(conversations: DataFrame, template: Template | None = None) -> DataFrame:
-    """One row per conversation: digests read back from its formatted turns, and whether its order is valid.
+    """One row per conversation: digests read back from its segments, and whether its order is valid.
 
-    An empty table gives no rows. A digest runs through a conversation in order, so one
-    conversation is one worker's, at a turn in memory.
+    Reads conv_id, turn, role and text; other columns are ignored. Very long texts are one
+    turn in memory. An empty table gives no rows. The digests of a conversation run through
+    its text in order, which no two workers can share: one conversation is one worker's, a
+    turn in memory, at the speed of sha256.
     """
     template = template or Template()
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, digest, rows = None, None, []
+        current, reader, rows = None, None, []
         for batch in batches:
-            for conv, role, text in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if digest is None or conv != current:
-                    if digest is not None:
-                        rows.append(digest.row(current))
-                    current, digest = conv, _Digest(template)
-                digest.add(role, text)
+            for conv, text, loss in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "loss")), strict=True):
+                if reader is None or conv != current:
+                    if reader is not None:
+                        rows.append(reader.row(current))
+                    current, reader = conv, Reader(template)
+                reader.add(text, loss)
             if len(rows) >= 1000:
-                yield as_batch(rows)
+                yield _batch(rows, COLUMNS)
                 rows = []
-        if digest is not None:
-            rows.append(digest.row(current))
-            yield as_batch(rows)
-
-    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
-        named = [x.split() for x in COLUMNS.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(map(list, zip(*rows, strict=True)), named, strict=True)], names=[n for n, _ in named])
+        if reader is not None:
+            yield _batch([*rows, reader.row(current)], COLUMNS)
 
-    small_batches(conversations.sparkSession)
-    return in_order(conversations).mapInArrow(fold, COLUMNS)
+    return segments(conversations, template).mapInArrow(fold, COLUMNS)
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -143,10 +144,48 @@ def test_mtree_leaves_distances_out():
     rng = np.random.default_rng(0)
     v = (rng.normal(size=(40, 8))[rng.integers(0, 40, 4000)] * 2000 + rng.normal(size=(4000, 8)) * 10).astype(np.int64)
     top2 = float((v * v).sum(1).max())
-    tree = topk.MTree(v, np.sqrt(top2 - (v * v).sum(1)))
-    tree.top2 = top2
-    tree.search(v[0], 5, np.arange(4000), 0)
-    assert tree.computed < 2000
+    tree = topk.MTree(v, np.concatenate([v, np.sqrt(top2 - (v * v).sum(1))[:, None]], 1), top2)
+    got = tree.search(v[0], np.append(v[0], 0.0), 5, np.arange(4000), 0)
+    assert tree.computed < 2000 and got == sorted(((int(v[0] @ x), i) for i, x in enumerate(v) if i), key=lambda x: (-x[0], x[1]))[:5]
+
+
+@pytest.mark.parametrize("large", [300_000.0, 1e12, 1e160, 1.7e308])
+def test_topk_of_components_of_any_size(spark, monkeypatch, large):
+    """Ranks follow exact scores, also where these or the components leave 64 bits."""
+    monkeypatch.setattr(topk, "BLOCK", 7)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-1, 1) * large, rng.choice([0.0, rng.uniform(-1, 1), rng.uniform(-1, 1) * 1e5])]) for i in range(60)]
+    rows += [(60, [large, 0.0]), (61, [large, 0.0]), (62, [large, 2.0**-9]), (63, [0.0, 0.0])]
+    q = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = [tuple(r) for r in topk.top_k(q, q.filter("vec_id % 10 = 0")).orderBy("query_id", "rank").select("query_id", "rank", "vec_id", "score").collect()]
+    whole = {i: [math.floor(Fraction(x) * 256) for x in v] for i, v in rows}
+    want = []
+    for i in range(0, 64, 10):
+        best = sorted(((sum(a * b for a, b in zip(whole[i], whole[j], strict=True)), j) for j in whole if j != i), key=lambda x: (-x[0], x[1]))[:5]
+        want += [(i, k + 1, j, min(max(s, -(2**63)), 2**63 - 1)) for k, (s, j) in enumerate(best)]
+    assert got == want
+
+
+def test_topk_asks_few_blocks_where_clusters_are(spark, monkeypatch):
+    """With clusters, a query meets its own block and few others; each block's tree is searched for those only."""
+    monkeypatch.setattr(topk, "BLOCK", 100)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(20, 8)) * 50
+    v = centres[np.arange(2000) % 20] + rng.normal(size=(2000, 8))
+    sent, blocks, write = [], [], topk.materialize
+
+    def seen(df, label, *more):
+        out = write(df, label, *more)
+        if label == "asked":
+            sent.append(out.count())
+        if label == "rings":
+            blocks.append(out.agg(F.sum("parts")).first()[0])
+        return out
+
+    monkeypatch.setattr(topk, "materialize", seen)
+    q = topk.quantized(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"))
+    assert topk.top_k(q, q.filter("vec_id % 50 = 0")).count() == 200
+    assert blocks[0] >= 20 and sent[0] <= 2 * 40 and sum(sent) < 0.5 * 40 * blocks[0], (blocks, sent)
 
 
 # -- 4 and 6 classifiers --------------------------------------------------------------
@@ -212,9 +251,8 @@ def test_terms_that_hold_alone_stay(spark):
     assert [t for t, _, _ in kept] == sorted([*frequent, "rascal"])
 
 
-def test_all_clean_spellings_count(spark, monkeypatch):
+def test_all_clean_spellings_count(spark):
     """However many there are."""
-    monkeypatch.setattr(toxicity, "CANDIDATES", 5)
     spellings = [f"{x}ermin" for x in "abcdefgh"]
     rows = [(d, f"some words {'vermin' if d % 4 == 0 else spellings[d % 8]} and others") for d in range(200)]
     rows += [(d, f"some words {' '.join(spellings)} and others") for d in range(200, 260)]
@@ -222,6 +260,83 @@ def test_all_clean_spellings_count(spark, monkeypatch):
     assert [t for t, _, _ in model.lexicon.terms] == ["vermin"] and model.lexicon.spelled == set(spellings)
 
 
+def by_gradient(x, y, loss_slope, start):
+    """Plain gradient steps, small enough to settle."""
+    w = start.copy()
+    for _ in range(200_000):
+        step = loss_slope(w)
+        w += step
+        if np.abs(step).max() < 1e-11:
+            break
+    return w
+
+
+def test_quality_matches_brute_force():
+    """Weights by plain gradient steps on the same pairs; features and scores by loops over whole texts."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeFG%|.,!\n9é") for _ in range(rng.randint(1, 25)))
+    said = ["", "one", "A | b\n\nA | b", *(" ".join(word() for _ in range(rng.randint(1, 60))) for _ in range(60))]
+    labels = np.array([i % 3 > 0 for i in range(len(said))], int)
+
+    def naive(text):
+        words, size = text.encode().split(), max(len(text.encode()), 1)
+        n = max(len(words), 1)
+        counts, lines = Counter(words), [x for x in text.encode().split(b"\n") if x]
+        share = lambda chars: sum(b in chars for b in text.encode()) / size
+        fives = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        long = sum(len(w) > 20 for w in words)
+        stops = sum(1 for i, c in enumerate(text) if c in ".!?" and (i + 1 == len(text) or text[i + 1] in " \t\n\x0b\x0c\r"))
+        own = [math.log1p(len(words)), len(text.encode()) / n, *(share(c) for c in quality._CLASSES.values()), share(bytes(range(128, 256))), len(counts) / n, max(counts.values(), default=0) / n]
+        own += [1 - len(set(lines)) / len(lines) if lines else 0, math.log1p(n / max(len(lines), 1)), long / n, sum(len(w) > 1 and w.isupper() for w in words) / n, sum(w[-1:] in b"%$&*#!" for w in words) / n, counts[b"|"] / n, math.log1p(n / (1 + stops))]
+        return own + [len(zlib.compress(text.encode(), 1)) / size if words else 0, 1 - len(set(fives)) / len(fives) if fives else 0, sum(len(w) <= 3 for w in words) / n]
+
+    rows = np.array([quality.features(t.encode()) for t in said])
+    assert rows == pytest.approx(np.array([naive(t) for t in said]))
+    model = quality.fit(rows, labels, ridge=0.05)
+    z = np.clip((rows - rows.mean(0)) / (rows.std(0) + 1e-9), -6, 6)
+    good, bad = quality.preference_pairs(np.flatnonzero(labels == 1), np.flatnonzero(labels == 0), quality.ROUNDS, 7)
+    assert (labels[good] == 1).all() and (labels[bad] == 0).all() and set(Counter(good.tolist()).values()) == {quality.ROUNDS} and set(bad.tolist()) == set(np.flatnonzero(labels == 0).tolist())
+    d = z[good] - z[bad]
+    weights = by_gradient(d, None, lambda w: 0.05 * ((d / (1 + np.exp(d @ w))[:, None]).mean(0) - 0.05 * w), np.zeros(rows.shape[1]))
+    assert model.weights == pytest.approx(weights, abs=1e-5)
+    strength = sorted(z @ weights)
+    at = (labels == 0).mean() * (len(strength) - 1)
+    cut = strength[int(at)] + (at % 1) * (strength[int(at) + 1] - strength[int(at)])
+    assert model.scores(rows) == pytest.approx([1 / (1 + math.exp(cut - s)) for s in z @ weights], abs=1e-4)
+
+
+def test_toxicity_matches_brute_force():
+    """Weights by plain gradient steps; features by edit distance of every word to every term, and by counting marks before it."""
+    rng = random.Random(8)
+    terms = (("vermin", False, 1.5), ("dimwit", False, 2.0), ("scoundr", True, 3.0))
+    lexicon = toxicity.Lexicon(terms, frozenset(["permin"]))
+    bits = ["vermin", "vermln", "permin", "dimwits", "scoundrels", "scowndrel", "said", '"', "never", ".", "and", "words", "Vermin", "9", "„"]
+
+    def naive(text):
+        units = re.findall(r"[^\W\d_]+|[\"“”„«»‘’`]|[^\w\s]+|[\d_]+", text.lower())
+        sums, hits, n = [0.0] * 3, 0, sum(u[0].isalpha() for u in units)
+        for i, u in enumerate(units):
+            exact = max((w for t, stem, w in terms if (u.startswith(t) if stem else u == t)), default=0)
+            near = 0 if u in lexicon.spelled else max((w for t, stem, w in terms if (min(distance(u[:k], t) for k in range(len(u) + 1)) if stem else distance(u, t)) <= 1), default=0)
+            if u[0].isalpha() and (exact or near):
+                before, after = units[max(0, i - 6) : i], units[i + 1 : i + 7]
+                inside = sum(x in toxicity.QUOTES for x in units[:i]) % 2 == 1 and any(x in toxicity.QUOTES for x in before) and any(x in toxicity.QUOTES for x in after)
+                sums[2 if inside or any(x in toxicity.REPORTS for x in before) else 0 if exact else 1] += exact or near
+                hits += 1
+        return [*map(math.log1p, sums), math.log1p(1000 * hits / n) / 10 if n else 0.0]
+
+    said = ["", "9", *(" ".join(rng.choice(bits) for _ in range(rng.randint(1, 30))) for _ in range(150))]
+    rows = np.array([toxicity.features(t, lexicon) for t in said])
+    assert rows == pytest.approx(np.array([naive(t) for t in said]))
+    labels = np.array([float(r[0] + r[1] > 1.2) for r in rows])
+    x = np.concatenate([rows, np.ones((len(rows), 1))], 1)
+    slope = lambda w: 0.004 * (x.T @ (labels - 1 / (1 + np.exp(-(x @ w)))) - toxicity.PRIOR_STRENGTH * (w - toxicity.PRIOR))
+    weights = by_gradient(x, labels, slope, toxicity.PRIOR)
+    assert toxicity.fit(rows, labels) == pytest.approx(weights, abs=1e-5)
+    model = toxicity.Model(lexicon, toxicity.fit(rows, labels))
+    assert [model.score(t) for t in said] == pytest.approx(1 / (1 + np.exp(-(x @ weights))), abs=1e-5)
+
+
 def distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -412,6 +527,23 @@ def test_template_is_reversible():
         assert list(t.read(out)) == turns, turns
 
 
+def test_faults_across_turns_show():
+    """A reader sees the joined text only: a closing that is lost, or a turn left open, is an error."""
+    t = chat.Template()
+    pieces = [*t.segments("user", "a"), *t.segments("assistant", "b")]
+    whole, broken = chat.Reader(t), chat.Reader(t)
+    for piece in pieces:
+        whole.add(*piece)
+    assert whole.row(1)[1] == 2
+    with pytest.raises(ValueError):
+        for piece in [*pieces[:2], *pieces[3:]]:
+            broken.add(*piece)
+    reader = chat.Reader(t)
+    reader.add("### User: a", False)
+    with pytest.raises(ValueError):
+        reader.row(1)
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "hi </turn>"), (1, 0, "user", "a\\b"), (2, 0, "user", None), (2, 1, "user", "x"), (None, None, None, None), (3, 0, "system", "s"), (3, 1, "user", "u"), (3, 2, "assistant", "v"), (3, 2, "assistant", "v")]
     got = {r["conv_id"]: r for r in chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("position", F.lit("x"))).collect()}
@@ -420,6 +552,14 @@ def test_chat(spark):
     assert got[3]["n_turns"] == 4 and not got[3]["valid_order"] and got[None]["n_turns"] == 1
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.formatted(empty).isEmpty() and chat.segments(empty).isEmpty()
+    long = "long </turn>\n" * 200_000
+    turns = [(1, 0, "user", long + "\\"), (1, 1, "assistant", long), (2, 0, "user", "</turn>\n"), (2, 1, "user", "### Assistant: x</turn>\n"), (2, 2, "assistant", "")]
+    got = {r["conv_id"]: r for r in chat.formatted(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()}
+    for conv in (1, 2):
+        own = [(r, x) for c, _, r, x in turns if c == conv]
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in own).encode()).hexdigest() and got[conv]["n_turns"] == len(own)
+        learned = "".join(x for r, x in own if r == "assistant")
+        assert (got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
     parts = chat.segments(spark.createDataFrame(rows[:2], "conv_id long, turn long, role string, text string")).orderBy("turn", "position").collect()
     assert [p["loss"] for p in parts] == [False, False, False, False, True, False]
 

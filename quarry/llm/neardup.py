@@ -223,6 +223,8 @@ def forest_links(classes: DataFrame, trees: int, agree: int) -> DataFrame:
 
         def link(closed: bool) -> pa.RecordBatch | None:
             """Links of what is held; closed: the region is here from start to end."""
+            if len(held) < 2 and not whole:
+                return None  # as most regions are
             nodes = [n for n, _ in held]
             if closed and not whole:
                 values = np.frombuffer(b"".join(k for _, k in held), np.uint8).reshape(len(held), -1)

@@ -1,6 +1,6 @@
 """License scan: template markup compiled to token automata.
 
-A template is words with two kinds of regions: `[[ ... ]]` may be left out, `<<n>>` stands
+A template is a text with two kinds of regions: `[[ ... ]]` may be left out, `<<n>>` stands
 for up to n words of any kind. Everything else is mandatory wording and must match word
 for word. All templates go into one automaton over word tokens; its subset states are
 built when first met and kept, so a text costs one dictionary step per word near a
@@ -19,18 +19,79 @@ from quarry.llm.common import map_arrow, pick, small_batches, table, utf8
 
 # The base phrases and their labels.
 BASE = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
-# Our templates for common licences and notices.
+# Our templates for licence texts, their notices, and short mentions.
 TEMPLATES = (
-    ("apache-2.0", "apache license [[version]] 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by-nc-4.0", "cc by nc 4 0 [[international]]"),
-    ("cc-by-sa", "cc by sa <<1>> 0"),
-    ("copyright-notice", "copyright [[c]] <<10>> all rights reserved"),
-    ("gpl-3", "gnu general public license [[as published by the free software foundation either]] [[v3]] version 3"),
-    ("mit", "[[the]] mit license"),
-    ("mit-text", "permission is hereby granted free of charge to any person obtaining a copy <<20>> to deal in the software without restriction"),
-    ("mpl-2.0", "mozilla public license [[v]] [[version]] 2 0"),
+    ("apache-2.0", "Apache License [[version]] 2.0"),
+    (
+        "apache-2.0-notice",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at [[http]] [[https]] www.apache.org/licenses/LICENSE-2.0 [[.html]] Unless required by applicable law or
+        agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
+        either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    (
+        "bsd-text",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        [[1.]] Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        [[2.]] Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the
+        documentation and/or other materials provided with the distribution.
+        [[[[3.]] Neither the name of <<12>> nor the names of its contributors may be used to endorse or promote products derived from this software
+        without specific prior written permission.]]
+        THIS SOFTWARE IS PROVIDED BY <<12>> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+        MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL <<12>> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL,
+        SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR
+        PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING
+        NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    ),
+    ("cc-by-nc-4.0", "CC BY NC 4.0 [[International]]"),
+    ("cc-by-sa", "CC BY SA <<1>> 0"),
+    ("copyright-notice", "Copyright [[(c)]] <<10>> All rights reserved"),
+    ("gpl-3", "GNU General Public License [[as published by the Free Software Foundation, either]] [[v3]] version 3"),
+    (
+        "gpl-notice",
+        """This program is free software[[;]] you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation; either version <<1>> of the License, or (at your option) any later version. This program is distributed in the
+        hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+        See the GNU General Public License for more details.""",
+    ),
+    (
+        "isc-text",
+        """Permission to use, copy, modify, and[[/or]] distribute this software for any purpose with or without fee is hereby granted, provided that the
+        above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND <<12>> DISCLAIMS ALL WARRANTIES WITH
+        REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<12>> BE LIABLE FOR ANY SPECIAL,
+        DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF
+        CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    ),
+    ("mit", "[[the]] MIT License"),
+    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy <<20>> to deal in the Software without restriction"),
+    (
+        "mit-text",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense,
+        and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+        The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or substantial portions
+        of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+        OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL <<12>> BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+        DEALINGS IN THE SOFTWARE.""",
+    ),
+    ("mpl-2.0", "Mozilla Public License [[v]] [[version]] 2.0"),
     ("public-domain", "[[released]] [[dedicated]] [[in]] [[into]] [[to]] the public domain"),
+    (
+        "unlicense-grant",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute
+        this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+    ),
+    (
+        "zlib-text",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising
+        from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to
+        alter it and redistribute it freely, subject to the following restrictions: [[1.]] The origin of this software must not be misrepresented; you must
+        not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be
+        appreciated but is not required. [[2.]] Altered source versions must be plainly marked as such, and must not be misrepresented as being the
+        original software. [[3.]] This notice may not be removed or altered from any source distribution.""",
+    ),
 )
 
 #: Bytes to word bytes: A-Z in lower case, all that isn't 0-9, a-z or above 0x7F a blank.
@@ -42,6 +103,12 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_WORDS).split()
 
 
+def units(markup: str) -> list[str]:
+    """A template's parts in order: "[[", "]]", "<<n>>" and words."""
+    parts = re.split(r"(\[\[|\]\]|<<\d+>>)", markup)
+    return [x for i, part in enumerate(parts) for x in ([part] if i % 2 else [w.decode() for w in words(part.encode())])]
+
+
 @dataclass
 class Automaton:
     """Words, "any" edges and ends of all templates; subset states are numbered as met."""
@@ -75,7 +142,7 @@ class Automaton:
     def _compile(self, k: int, markup: str) -> int:
         at = start = self._new()
         opened, count = [], 0
-        for part in re.findall(r"\[\[|\]\]|<<\d+>>|[^\s\[\]<>]+", markup):
+        for part in units(markup):
             if part == "[[":
                 opened.append(at)
             elif part == "]]":
@@ -176,7 +243,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _pattern(markup: str) -> str:
     """The markup as an RE2 pattern over ' word word ... ' with a blank after each word."""
     out = ""
-    for part in re.findall(r"\[\[|\]\]|<<\d+>>|[^\s\[\]<>]+", markup):
+    for part in units(markup):
         out += "(" if part == "[[" else ")?" if part == "]]" else f"([^ ]+ ){{0,{part[2:-2]}}}" if part.startswith("<<") else f"{part} "
     return f" {out}"
 
@@ -184,7 +251,7 @@ def _pattern(markup: str) -> str:
 def _sql() -> str:
     phrases = ", ".join(f"{{'label': '{label}', 'w': {phrase.split()!r}}}" for label, phrase in BASE)
     every = [*BASE, *TEMPLATES]
-    most = [sum(1 for _ in re.sub(r"\[\[[^\]]*\]\]|<<\d+>>", " ", markup).split()) for _, markup in every]
+    most = Automaton(tuple(every)).mandatory
     hits = ", ".join(f"CASE WHEN regexp_matches(line, '{_pattern(markup)}') THEN {{'label': '{label}', 'm': {m}}} END" for (label, markup), m in zip(every, most, strict=True))
     return f"""
 WITH w AS (

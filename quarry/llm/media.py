@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_arrow, materialize, pick, small_batches, table, utf8
+from quarry.llm.common import map_arrow, materialize, pick, scratch, small_batches, table, utf8
 
 #: Samples in a PNG row; a payload is filled with zero bytes to whole rows, one at least.
 WIDTH = 64
@@ -146,16 +146,20 @@ def parse_page(page: str | None) -> list[dict]:
     return parser.out
 
 
-def sequences(pages: DataFrame, key: str = "page_id", markup: str = "html") -> DataFrame:
-    """(key, segments): each page's ordered structs. One row per input row, null keys kept."""
-    narrow = pick(pages, **{key: "long", markup: "string"})
+SEGMENT = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
+
+
+def sequences(pages: DataFrame, key: str = "page_id", markup: str = "html", also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, also, segments): each page's ordered structs. One row per input row, null keys kept; `also` are columns of numbers."""
+    names = [key, *also]
+    narrow = pick(pages, **dict.fromkeys(names, "long"), **{markup: "string"})
 
     def parse(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({key: batch.column(0), "segments": pa.array([parse_page(x) for x in batch.column(1).to_pylist()], type=kind)}, schema=pa.schema([(key, pa.int64()), ("segments", kind)]))
+        found = pa.array([parse_page(x) for x in batch.column(len(names)).to_pylist()], type=SEGMENT)
+        return pa.RecordBatch.from_arrays([*batch.columns[: len(names)], found], names=[*names, "segments"])
 
-    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
     small_batches(pages.sparkSession)
-    return map_arrow(narrow, parse, f"{key} long, segments {SEGMENTS}")
+    return map_arrow(narrow, parse, "".join(f"{n} long, " for n in names) + f"segments {SEGMENTS}")
 
 
 def media_features(payload: bytes, media: bytes) -> tuple:
@@ -166,10 +170,11 @@ def media_features(payload: bytes, media: bytes) -> tuple:
 
 
 def store_payloads(docs: DataFrame) -> DataFrame:
-    """(digest, media) for every text, written to the shared folder and reread."""
+    """(digest, media) for every text and for the last row of its samples, written to the shared folder and reread."""
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = [padded(x) for x in utf8(batch.column(0))]
+        whole = [padded(x) for x in utf8(batch.column(0))]
+        data = [*whole, *{x[-WIDTH:] for x in whole}]
         return pa.RecordBatch.from_pydict({"digest": [hashlib.sha256(x).hexdigest() for x in data], "media": [encode_png(x) for x in data]})
 
     small_batches(docs.sparkSession)
@@ -192,10 +197,27 @@ def store_features(store: DataFrame) -> DataFrame:
     return read_back.dropDuplicates(["digest"])
 
 
-def media_page(text_bytes: bytes) -> str:
-    """A page that refers to a text's payload by digest, captioned with its size."""
-    digest = hashlib.sha256(padded(text_bytes)).hexdigest()
-    return f'<article><figure><img src="{MEDIA_SCHEME}{digest}"><figcaption>{html.escape(f"{len(text_bytes)} bytes")}</figcaption></figure></article>'
+def _figure(data: bytes, caption: str) -> str:
+    return f'<figure><img src="{MEDIA_SCHEME}{hashlib.sha256(data).hexdigest()}"><figcaption>{caption}</figcaption></figure>'
+
+
+def media_page(text: str | None) -> str:
+    """A text as a page: its paragraphs, after the first a figure of its whole payload, at the end one of the payload's last row."""
+    said = (text or "").encode("utf-8", "surrogatepass")
+    payload = padded(said)
+    first, _, rest = (text or "").partition("\n\n")
+    paragraphs = "".join(f"<p>{html.escape(x)}</p>" for x in rest.split("\n\n") if x)
+    return f"<article><p>{html.escape(first)}</p>{_figure(payload, f'all {len(said)} bytes')}{paragraphs}{_figure(payload[-WIDTH:], f'the last of {len(payload) // WIDTH} rows')}</article>"
+
+
+def as_pages(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, html) of every document."""
+
+    def page(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in utf8(batch.column(1))], pa.int64()), pa.array([media_page(x) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "n_bytes", "html"])
+
+    small_batches(docs.sparkSession)
+    return map_arrow(pick(docs, doc_id="long", text="string"), page, "doc_id long, n_bytes long, html string")
 
 
 def resolve(segments: DataFrame, features: DataFrame, key: str) -> DataFrame:
@@ -204,22 +226,30 @@ def resolve(segments: DataFrame, features: DataFrame, key: str) -> DataFrame:
     return refs.join(features, "digest", "left")
 
 
-def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a page that refers to its payload; see the module for the method.
+def aligned(docs: DataFrame) -> DataFrame:
+    """A row per document: its payload's and its payload's last row's features, with their places and captions in the sequence.
 
-    Null and empty texts give a payload of 64 zero bytes; very long texts are one payload
-    each; equal texts share a digest, and so all values; an empty table gives no rows.
+    Each document becomes a page, the page is parsed into its sequence of texts and
+    references, and the references' digests are joined to what the store reads back. Null
+    and empty texts give a payload of 64 zero bytes; very long texts are one payload each;
+    equal texts share a digest, and so all values; rows that repeat are a row each; a null
+    doc_id stays; other columns are ignored; an empty table gives no rows.
     """
-    docs = table(spark, sf_dir, "documents")
     # written first: with an exchange on both sides, the join can split a digest that many documents share
     features = materialize(store_features(store_payloads(docs)), "features")
+    found = sequences(as_pages(docs), "doc_id", "html", ("n_bytes",))
+    refs = F.filter("segments", lambda s: s["kind"] == "media")
+    columns = found.select("doc_id", "n_bytes", F.size("segments").alias("n_segments"), refs.alias("refs"))
+    first, last = F.get("refs", F.lit(0)), F.get("refs", F.size("refs") - 1)
+    short = columns.select("doc_id", "n_bytes", "n_segments", first["digest"].alias("digest"), first["position"].alias("position"), first["caption"].alias("caption"), last["digest"].alias("tail_digest"), last["position"].alias("tail_position"), last["caption"].alias("tail_caption"))
+    tails = features.select(F.col("digest").alias("tail_digest"), F.col("payload_sha256").alias("tail_sha256"), F.col("tail_crc32").alias("row_crc32"), F.col("intact").alias("tail_intact"))
+    rows = short.join(features, "digest", "left").join(tails, "tail_digest", "left")
+    # the last row is stored by itself too, and both must say the same
+    whole = F.col("intact") & F.col("tail_intact") & (F.col("tail_crc32") == F.col("row_crc32"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_segments", "position", "caption", "tail_position", "tail_caption", "tail_sha256", whole.alias("intact"))
 
-    def page(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data = utf8(batch.column(1))
-        return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_bytes": pa.array(map(len, data), pa.int64()), "segments": pa.array([parse_page(media_page(x)) for x in data], type=kind)})
-
-    kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("digest", pa.string()), ("caption", pa.string())]))
-    paged = map_arrow(pick(docs, doc_id="long", text="string"), page, f"doc_id long, n_bytes long, segments {SEGMENTS}")
-    with_size = paged.withColumn("key", F.struct("doc_id", "n_bytes"))
-    rows = resolve(with_size, features, "key")
-    return rows.select("key.doc_id", "key.n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "caption", "intact")
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """See `aligned`."""
+    with scratch() as keep:
+        return keep(materialize(aligned(table(spark, sf_dir, "documents")), "aligned"))

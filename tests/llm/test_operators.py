@@ -38,6 +38,20 @@ def test_templates():
     assert places("one one four") == [(0, 0), (0, 1)]
 
 
+def test_licence_texts():
+    """A whole text is accepted with other holders and without its optional parts, and refused with other wording."""
+    a = licenses.Automaton(licenses.TEMPLATES)
+    labels = lambda text: {licenses.TEMPLATES[k][0] for k, _ in a.places(licenses.words(text.encode()))}
+    for label, markup in licenses.TEMPLATES:
+        least = re.sub(r"\[\[(?:[^\[\]]|\[\[[^\]]*\]\])*\]\]", " ", markup)
+        short, full = re.sub(r"<<\d+>>", " ", least), re.sub(r"\[\[|\]\]", " ", re.sub(r"<<\d+>>", "Someone Else", markup))
+        assert label in labels(f"Before. {short} After.") and (label in ("cc-by-sa", "gpl-notice") or label in labels(full))
+        words = short.split()
+        assert label not in labels(" ".join([*words[: len(words) // 2], "surely", *words[len(words) // 2 :]]))
+    mit = dict(licenses.TEMPLATES)["mit-text"].replace("<<12>>", "The Authors Of This Thing")
+    assert {"mit-text", "mit-grant"} <= labels(mit) and labels(mit.replace("merge", "mangle")) == {"mit-grant"}
+
+
 # -- 2 repeated passages --------------------------------------------------------------
 
 
@@ -629,12 +643,33 @@ def test_sequences(spark):
     assert [(r["position"], r["n"]) for r in found] == [(2, None), (3, 3), (5, None)]
 
 
+def naive_page(text):
+    """What a text's sequence should be: its paragraphs, blanks squeezed, and the two figures."""
+    squeezed = [" ".join(x.split()) for x in (text or "").split("\n\n")]
+    payload = media.padded((text or "").encode())
+    first, rest = squeezed[0], [x for x in squeezed[1:] if x]
+    out = [("text", first)] * bool(first) + [("media", payload, f"all {len((text or '').encode())} bytes")]
+    return out + [("text", x) for x in rest] + [("media", payload[-64:], f"the last of {len(payload) // 64} rows")]
+
+
 def test_media(spark, tmp_path, odd, none):
-    odd.select("doc_id", "text", "size").write.parquet(f"{tmp_path}/documents.parquet")
+    more = [(20, "one\n\ntwo <b>&amp; three</b>\n\n\n\nfour", None, None), (21, "\n\nlater", None, None), (22, "a\x00b\x1fc", None, None)]
+    names = ("digest", "media", "segments", "caption", "position", "html", "intact", "refs", "tail_digest")
+    df = odd.select("doc_id", "text", "size").unionByName(spark.createDataFrame([(d, t, "x") for d, t, _, _ in more], "doc_id long, text string, size string")).withColumns({n: F.lit(n) for n in names})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
     rows = media.op10_media(spark, str(tmp_path)).collect()
-    assert len(rows) == len(ROWS) and all(r["intact"] for r in rows)
+    assert len(rows) == len(ROWS) + len(more) and all(r["intact"] for r in rows)
     for r in rows:
-        data = next((t or "").encode() for d, t, _, _ in ROWS if d == r["doc_id"])
+        text = next(t for d, t, _, _ in [*ROWS, *more] if d == r["doc_id"])
+        data = (text or "").encode()
         payload = media.padded(data)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r["media_sha256"] == hashlib.sha256(media.encode_png(payload)).hexdigest()
+        png = media.encode_png(payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(png), hashlib.sha256(png).hexdigest())
+        want = naive_page(text)
+        at = [k for k, x in enumerate(want) if x[0] == "media"]
+        assert (r["n_segments"], r["position"], r["tail_position"]) == (len(want), *at), r
+        assert (r["caption"], r["tail_caption"], r["tail_sha256"]) == (want[at[0]][2], want[at[1]][2], hashlib.sha256(want[at[1]][1]).hexdigest())
+        said = media.parse_page(media.media_page(text))
+        assert [x["text"] for x in said if x["kind"] == "text"] == [x[1] for x in want if x[0] == "text"]
+    assert media.aligned(none).isEmpty() and media.sequences(none.withColumn("html", F.lit("")), "doc_id").isEmpty()

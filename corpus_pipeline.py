@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import mixing, neardup, packing, suffixes, toxicity
-from quarry.llm.common import materialize, table
+from quarry.llm.common import materialize, released, scratch, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; rows of the last stage."""
+    """All stages over the documents table; rows of the last stage. What a stage leaves is deleted once the next has read it."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for name, stage in STAGES:
+        before = docs
+        with scratch() as keep:
+            docs = keep(materialize(stage(spark, before, sf_dir), name))
+        released(before)
+    return docs

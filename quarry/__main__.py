@@ -8,9 +8,10 @@ import sys
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry.config import EngineConfig
+from quarry.config import EngineConfig, prf_options
 from quarry.engine import Engine
-from quarry.operators import evaluation, index, lexical
+from quarry.functions.vectors import with_vectors
+from quarry.operators import dense, evaluation, feedback, index, lexical
 from quarry.sources import files
 
 
@@ -48,13 +49,25 @@ def main(argv: list[str] | None = None) -> int:
     return 0
 
 
-def evaluate_folder(spark: SparkSession, corpus: str, gold: str, out: str, sweep: bool, k: int = 4) -> None:
-    """Writes macro figures per method, and the sweep if asked, into a report."""
+def evaluate_folder(spark: SparkSession, corpus: str, gold: str, out: str, sweep: bool, k: int = 4, config: EngineConfig | None = None) -> dict[str, list[dict]]:
+    """Writes macro figures per split and method, and the sweep if asked, into a report; returns its tables."""
+    config = config or EngineConfig.from_env()
     texts = files.read_corpus(spark, corpus).withColumn("document_id", F.col("chunk_id"))
     queries, qrels = files.read_gold(spark, gold)
-    built = index.build(texts, stem=True)
-    rows = {"TF-IDF": lexical.search_tfidf(queries, built, k, "exact"), "BM25": lexical.search_bm25(queries, built, k, "exact")}
-    tables = {"Methods": [{"method": name} | evaluation.macro(evaluation.metrics(hits, qrels, queries, k, item="document_id")).first().asDict() for name, hits in rows.items()]}
+    built = index.build(texts, stem=config.stem)
+    embedded = lambda df: with_vectors(df, "text", config.embedder, config.embedding_dims)
+    near = dense.nearest(embedded(texts), embedded(queries), k).withColumn("document_id", F.col("chunk_id"))
+    methods = {
+        "TF-IDF": lexical.search_tfidf(queries, built, k, "exact"),
+        "TF-IDF + PRF": feedback.search_with_feedback(queries, built, k, **prf_options(config), mode="exact").hits,
+        "BM25": lexical.search_bm25(queries, built, k, "exact"),
+        "Semantic": near,
+    }
+    split = evaluation.splits(queries, qrels)
+    rows = [{"method": name} | r.asDict() for name, hits in methods.items() for r in evaluation.macro(evaluation.metrics(hits, qrels, queries, k, item="document_id").join(split, "query_id"), "split").collect()]
+    tables = {title: [{c: v for c, v in r.items() if c != "split"} for r in rows if r["split"] == name] for name, title in evaluation.SPLITS.items()}
+    ranks = evaluation.rank_positions(methods["BM25"], qrels, k, "document_id").first().asDict()
+    tables["Ranks of relevant texts, BM25"] = [ranks]
     if sweep:
         cells = [r.asDict() for r in evaluation.sweep(queries, built, qrels, k, item="document_id").orderBy("k1", "b").collect()]
         tables["BM25 sweep"] = cells
@@ -66,6 +79,7 @@ def evaluate_folder(spark: SparkSession, corpus: str, gold: str, out: str, sweep
         before = ""
     with open(out, "w") as new:
         new.write(evaluation.report(tables, before))
+    return tables
 
 
 if __name__ == "__main__":

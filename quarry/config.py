@@ -14,6 +14,7 @@ FEEDBACK_DOCS, EXPANSION_TERMS, ALPHA, BETA = 5, 10, 1.0, 0.75
 RRF_K, ARM_DEPTH = 60, 20
 DENSE_FLOOR, COVERAGE_FLOOR, IDF_COVERAGE_FLOOR, GROUP_SENTENCES = 0.30, 0.60, 0.40, 2
 RERANK_DEPTH = 25
+MOST_K1, MOST_FEEDBACK, MOST_EXPANSION, MOST_URL = 10.0, 50, 100, 2000
 MAX_UPLOAD_BYTES, MAX_PAGE_BYTES, MAX_REDIRECTS, FETCH_SECONDS = 25 << 20, 5 << 20, 5, 10
 
 
@@ -28,6 +29,7 @@ class EngineConfig:
     chunk_size: int = CHUNK_SIZE
     chunk_overlap: int = CHUNK_OVERLAP
     champion_size: int = CHAMPION_SIZE
+    stem: bool = True
     bm25_k1: float = K1
     bm25_b: float = B
     feedback_docs: int = FEEDBACK_DOCS
@@ -59,7 +61,7 @@ class EngineConfig:
         for f in fields(cls):
             raw = env.get(f"QUARRY_{f.name.upper()}")
             if raw is not None:
-                found[f.name] = type(f.default)(raw)
+                found[f.name] = raw.strip().lower() in ("1", "true", "yes", "on") if isinstance(f.default, bool) else type(f.default)(raw)
         return replace(cls(), **found, **overrides)
 
 
@@ -101,6 +103,7 @@ def bm25_parameters(mode: str | None, k1: float | None, b: float | None, tuned:
     check_choice("mode", mode or "tunable", ("default", "tunable", "finetuned"))
     got = (K1 if k1 is None else k1, B if b is None else b)
     check_bm25(*got)
+    require(got[0] <= MOST_K1, f"k1 must be at most {MOST_K1}")
     return got
 
 
@@ -115,6 +118,8 @@ def prf_options(config: EngineConfig, feedback_docs: int | None = None, max_expa
         "beta": config.prf_beta if beta is None else beta,
     }
     check_prf(**out)
+    require(out["feedback_docs"] <= MOST_FEEDBACK, f"feedback_docs must be at most {MOST_FEEDBACK}")
+    require(out["expansion_terms"] <= MOST_EXPANSION, f"expansion terms must be at most {MOST_EXPANSION}")
     return out
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.config import ARM_DEPTH, RERANK_DEPTH, EngineConfig, bm25_parameters, check_query, check_top_k, prf_options
-from quarry.functions.vectors import hash_embedding
+from quarry.functions.vectors import with_vectors
 from quarry.operators import catalog, dense, feedback, fusion, lexical, rag, rerank
 
 
@@ -55,11 +55,18 @@ class Engine:
         return {"chunk_count": self.store.table("vectors").count()}
 
     def reindex_vectors(self, overwrite: bool = False, embed: Callable[[DataFrame], DataFrame] | None = None) -> dict:
-        make = embed or (lambda df: df.withColumn("embedding", hash_embedding(F.col("text"), self.config.embedding_dims)))
+        make = embed or self._with_vectors
         vectors, report = dense.reindexed(self.store.table("chunks"), make, self.store.table("vectors").count(), overwrite)
         self.store.replace_vectors(vectors)
         return report
 
+    def reset_vectors(self) -> None:
+        """Takes all vectors out; the lexical index stays."""
+        self.store.reset_vectors()
+
+    def _with_vectors(self, df: DataFrame) -> DataFrame:
+        return with_vectors(df, "text", self.config.embedder, self.config.embedding_dims)
+
     # -- search -----------------------------------------------------------------------
 
     @cached_property
@@ -98,7 +105,7 @@ class Engine:
 
     def search_semantic(self, query: str, top_k: int = 10) -> DataFrame:
         check_top_k(top_k, 50)
-        asked = self._asked(query).select("query_id", hash_embedding(F.col("text"), self.config.embedding_dims).alias("embedding"))
+        asked = self._with_vectors(self._asked(query)).select("query_id", "embedding")
         return self._hydrated(dense.nearest(self.store.table("vectors"), asked, top_k).join(self.store.table("vectors").select("chunk_id", "document_id"), "chunk_id"))
 
     def rag(self, query: str, top_k: int = 4, provider: str | None = None, use_reranker: bool = False, use_query_rewrite: bool = False) -> dict:
@@ -108,10 +115,14 @@ class Engine:
         make = self.models.get(provider or "local") or (lambda: rag.choose_model(self.models, provider))
         rewritten = rag.rewrite(query, make()) if use_query_rewrite else None
         wanted = self._asked(rewritten) if rewritten else asked  # the rewritten query is for the dense arm only
-        vectors = wanted.select("query_id", hash_embedding(F.col("text"), self.config.embedding_dims).alias("embedding"))
+        vectors = self._with_vectors(wanted).select("query_id", "embedding")
         near = dense.nearest(self.store.table("vectors"), vectors, ARM_DEPTH)
-        found = lexical.search_bm25(asked, self.index, ARM_DEPTH, k1=self.config.bm25_k1, b=self.config.bm25_b)
-        pool = fusion.fused(near, found).join(self.store.table("chunks").select("chunk_id", "document_id"), "chunk_id")
+        if self.index.stats.first()["n_postings"]:
+            found = lexical.search_bm25(asked, self.index, ARM_DEPTH, k1=self.config.bm25_k1, b=self.config.bm25_b)
+            arms = fusion.fused(near, found)
+        else:
+            arms = fusion.dense_only(near)
+        pool = arms.join(self.store.table("chunks").select("chunk_id", "document_id"), "chunk_id")
         evidence = fusion.with_evidence(self._hydrated(pool), asked, self.index, self.config.coverage_min, self.config.idf_coverage_min)
         if use_reranker:
             evidence = rerank.rerank(evidence, asked, self.scorer, RERANK_DEPTH)

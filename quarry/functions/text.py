@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +26,20 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _folds() -> dict[str, str]:
+    """Characters that fold to something else than their lower case, by the Unicode tables of this Python."""
+    every = (chr(c) for c in range(0x80, 0x20000))
+    return {c: c.casefold() for c in every if c.casefold() != c.lower()} | {c.lower(): c.casefold() for c in "ẞ"}
+
+
+FOLDS = _folds()
+
+
 def casefold(text: Column) -> Column:
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding: lower case, and beyond ASCII what differs from it (sharp s, final sigma, ligatures)."""
+    table = F.from_json(F.lit(json.dumps(FOLDS)), "map<string,string>")  # one literal, which the planner folds
+    one_by_one = F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], F.lower(c))), "")
+    return F.when(text.rlike(f"[{''.join(FOLDS)}Σ]"), one_by_one).otherwise(F.lower(text))
 
 
 def tokens(text: Column) -> Column:

@@ -167,6 +167,15 @@ def embedder(name: str) -> Embedder:
     return _makers[name]()
 
 
+def with_vectors(df: DataFrame, text: str, name: str, dims: int, out: str = "embedding") -> DataFrame:
+    """df with vectors by the embedder of this name; the hash one has as many dimensions as asked, the others their own."""
+    if name == "hash":
+        return df.withColumn(out, hash_embedding(F.col(text), dims))
+    if name not in _makers:
+        raise ValueError(f"unknown embedder {name}")
+    return embedded(df, text, _makers[name], out=out)
+
+
 def embedded(df: DataFrame, text: str, make: Callable[[], Embedder], batch: int = 32, out: str = "embedding") -> DataFrame:
     """df with vectors from a model that each worker loads once and feeds in batches."""
     from quarry.sources.work import python_ready

@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from quarry.config import EngineConfig, check_choice, require
 from quarry.functions import text as X
-from quarry.functions.vectors import hash_embedding
+from quarry.functions.vectors import with_vectors
 from quarry.operators import index as I
 from quarry.sources.files import read_files
 from quarry.sources.web import read_pages
+from quarry.sources.work import written
 
 FORMAT = 1
+#: An ingest that leaves more segments folds them: a scan opens each, and streams make one per micro-batch.
+MOST_SEGMENTS = 64
 TABLES = ("documents", "chunks", "postings", "lengths", "vectors")
 SOURCE_TYPES, STATUSES = ("upload", "web"), ("pending", "processing", "indexed", "failed")
 DOCUMENT = (
@@ -73,9 +76,9 @@ class Store:
         require(isinstance(got.get("segments"), list) and isinstance(got.get("tombstones"), list), "the manifest is damaged")
         return got
 
-    def _commit(self, was: dict, segments: list[dict], tombstones: list[dict]) -> dict:
+    def _commit(self, was: dict, segments: list[dict], tombstones: list[dict], vectors: dict | None = None) -> dict:
         """The next manifest, under a temporary name first; two writers cannot both succeed."""
-        now = {"format": FORMAT, "version": was["version"] + 1, "segments": segments, "tombstones": tombstones}
+        now = {"format": FORMAT, "version": was["version"] + 1, "segments": segments, "tombstones": tombstones, "vectors": vectors}
         fs = self._fs()
         temporary, final = self._path("manifests", f".{uuid.uuid4().hex}.tmp"), self._path("manifests", f"{now['version']:09d}.json")
         out = fs.create(temporary, True)
@@ -93,16 +96,22 @@ class Store:
         found = self.versions()
         require(len(found) > 0, "there is nothing to go back to")
         was = self.manifest(found[-2]) if len(found) > 1 else {"segments": [], "tombstones": []}
-        return self._commit(self.manifest(), was["segments"], was["tombstones"])
+        return self._commit(self.manifest(), was["segments"], was["tombstones"], was.get("vectors"))
 
     # -- reading ----------------------------------------------------------------------
 
     def table(self, name: str, manifest: dict | None = None) -> DataFrame:
-        """The live rows of a table: all segments without what tombstones took."""
+        """The live rows of a table: all segments without what tombstones took.
+
+        Vectors that were made anew stand for those of all segments before.
+        """
         m = manifest or self.manifest()
         rows = self.spark.createDataFrame([], SCHEMAS[name]).withColumn("segment", F.lit(0))
-        for s in m["segments"]:
-            rows = rows.unionByName(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{s['path']}/{name}").withColumn("segment", F.lit(s["number"])))
+        paths = {s["number"]: f"{s['path']}/{name}" for s in m["segments"]}
+        if name == "vectors" and (anew := m.get("vectors")):
+            paths = {n: p for n, p in paths.items() if n >= anew["before"]} | {anew["before"] - 1: anew["path"]}
+        for number, path in sorted(paths.items()):
+            rows = rows.unionByName(self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{path}").withColumn("segment", F.lit(number)))
         if not m["tombstones"]:
             return rows.drop("segment")
         dead = self.spark.read.schema("document_id string, before int").parquet(*[f"{self.root}/{t['path']}" for t in m["tombstones"]]).groupBy("document_id").agg(F.max("before").alias("before"))
@@ -112,7 +121,7 @@ class Store:
     def index(self) -> I.Index:
         """The lexical index over live rows, its derived tables complete."""
         m = self.manifest()
-        return I.derive(self.table("postings", m), self.table("lengths", m), champion_size=self.config.champion_size)
+        return I.derive(self.table("postings", m), self.table("lengths", m), self.config.stem, self.config.champion_size)
 
     def get(self, document_id: str) -> DataFrame:
         return self.table("documents").filter(F.col("document_id") == document_id)
@@ -150,8 +159,8 @@ class Store:
         now = F.current_timestamp()
         ready = documents.drop("chunk_count").join(counts, "document_id").withColumns({"status": F.lit("indexed"), "chunk_count": F.col("n"), "keyword_indexed": F.lit(True), "vector_indexed": F.lit(True), "created_at": now, "updated_at": now, "indexed_at": now, "error_message": F.lit(None).cast("string")})
         if vectors is None:
-            vectors = chunks.withColumn("embedding", hash_embedding(F.col("text"), self.config.embedding_dims))
-        tables = {"documents": ready, "chunks": chunks, "postings": I.postings_of(chunks), "lengths": I.lengths_of(chunks), "vectors": vectors}
+            vectors = with_vectors(chunks, "text", self.config.embedder, self.config.embedding_dims)
+        tables = {"documents": ready, "chunks": chunks, "postings": I.postings_of(chunks, self.config.stem), "lengths": I.lengths_of(chunks), "vectors": vectors}
         try:
             for name, df in tables.items():
                 shaped(df, SCHEMAS[name]).sortWithinPartitions("term" if name == "postings" else "document_id").write.parquet(f"{self.root}/{path}/{name}")
@@ -159,7 +168,8 @@ class Store:
         except Exception:
             self._fs().delete(self._path(path), True)  # nothing refers to it yet
             raise
-        return self._commit(was, [*was["segments"], {"number": number, "path": path}], [*was["tombstones"], *stones])
+        now = self._commit(was, [*was["segments"], {"number": number, "path": path}], [*was["tombstones"], *stones], was.get("vectors"))
+        return self.compact() if len(now["segments"]) > MOST_SEGMENTS else now
 
     def _tombstones(self, ids: DataFrame, before: int, was: dict) -> list[dict]:
         if not was["segments"]:
@@ -175,7 +185,7 @@ class Store:
         was = self.manifest()
         before = max(s["number"] for s in was["segments"]) + 1
         stones = self._tombstones(self.spark.createDataFrame([(document_id,)], "document_id string"), before, was)
-        self._commit(was, was["segments"], [*was["tombstones"], *stones])
+        self._commit(was, was["segments"], [*was["tombstones"], *stones], was.get("vectors"))
         return True
 
     def compact(self) -> dict:
@@ -188,27 +198,29 @@ class Store:
         return self._commit(was, [{"number": number, "path": path}], [])
 
     def replace_vectors(self, vectors: DataFrame) -> dict:
-        """Swaps the vectors of all live documents, and nothing else."""
+        """Swaps the vectors of all live documents, and writes nothing else."""
         was = self.manifest()
-        number = max((s["number"] for s in was["segments"]), default=0) + 1
-        path = f"segments/{number:09d}-{uuid.uuid4().hex[:8]}"
-        for name in TABLES:
-            rows = shaped(vectors, SCHEMAS[name]) if name == "vectors" else self.table(name, was)
-            rows.write.parquet(f"{self.root}/{path}/{name}")
-        return self._commit(was, [{"number": number, "path": path}], [])
+        before = max((s["number"] for s in was["segments"]), default=0) + 1
+        path = f"vectors/{before:09d}-{uuid.uuid4().hex[:8]}"
+        shaped(vectors, SCHEMAS["vectors"]).write.parquet(f"{self.root}/{path}")
+        return self._commit(was, was["segments"], was["tombstones"], {"path": path, "before": before})
+
+    def reset_vectors(self) -> dict:
+        """Takes all vectors out; documents, chunks and the lexical index stay."""
+        return self.replace_vectors(self.spark.createDataFrame([], SCHEMAS["vectors"]))
 
     # -- ingest -----------------------------------------------------------------------
 
     def ingest_files(self, path: str) -> DataFrame:
         """Reads a folder of files into the store; returns what was refused: original_filename, reason."""
-        read = read_files(self.spark, path, self.config.max_upload_bytes).persist()
+        read = written(read_files(self.spark, path, self.config.max_upload_bytes), "read")
         good = read.filter("error is null").withColumn("source_type", F.lit("upload")).withColumn("source_url", F.lit(None).cast("string")).withColumn("mime_type", mime_of(F.col("source_format")))
         refused = read.filter("error is not null").select("original_filename", F.col("error").alias("reason"))
         return refused.unionByName(self._ingest(good, "original_filename"))
 
     def ingest_pages(self, pages: DataFrame) -> DataFrame:
         """Reads rows (page_id, url, html) into the store; returns what was refused: url as original_filename, reason."""
-        read = read_pages(pages).persist()
+        read = written(read_pages(pages), "read")
         good = read.filter("error is null").select(F.lit(None).cast("string").alias("original_filename"), F.col("download_bytes").cast("long").alias("file_size_bytes"), "sha256", "title", F.lit("html").alias("source_format"), F.array(F.struct(F.col("text"), F.lit(0).alias("char_start"), F.lit(None).cast("int").alias("page_number"), F.lit(None).cast("string").alias("section_title"), F.create_map(F.lit("source_url"), F.col("url")).alias("metadata"))).alias("segments"), "text", F.create_map(F.lit("source_url"), F.col("url"), F.lit("download_bytes"), F.col("download_bytes").cast("string")).alias("metadata"), F.lit("web").alias("source_type"), F.col("url").alias("source_url"), F.lit(MIME["html"]).alias("mime_type"))
         refused = read.filter("error is not null").select(F.col("url").alias("original_filename"), F.col("error").alias("reason"))
         return refused.unionByName(self._ingest(good, "source_url"))
@@ -217,7 +229,7 @@ class Store:
         """Adds documents whose digest is new; the first of equal ones in a batch. The digest names the document."""
         known = self.table("documents").select("sha256")
         fresh, twice = split_duplicates(read, known, name)
-        fresh = fresh.dropDuplicates(["sha256"]).withColumn("document_id", F.substring("sha256", 1, 32)).persist()
+        fresh = written(fresh.dropDuplicates(["sha256"]).withColumn("document_id", F.substring("sha256", 1, 32)), "fresh")
         if not fresh.isEmpty():
             chunks = I.chunk_extracted(fresh, self.config.chunk_size, self.config.chunk_overlap).withColumnRenamed("metadata", "extra_metadata")
             self.add(fresh.withColumnRenamed("metadata", "extra_metadata"), chunks)

@@ -33,6 +33,18 @@ def metrics(ranking: DataFrame, qrels: DataFrame, queries: DataFrame, k: int, ke
     return rows.select(*keys, F.coalesce(F.col("n_hit") / k, F.lit(0.0)).alias("precision"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"), F.when(F.col("n_relevant") > 0, F.coalesce(F.col("dcg"), F.lit(0.0)) / best).otherwise(0.0).alias("ndcg"))
 
 
+#: Names of the splits, and the titles of their sections.
+SPLITS = {"exact": "Exact vocabulary", "mismatch": "Vocabulary mismatch", "negative": "Nothing relevant"}
+
+
+def splits(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+    """query_id, split: negative without anything relevant, mismatch where the note begins with that word, else exact."""
+    some = qrels.select("query_id", F.lit(True).alias("some")).distinct()
+    mismatch = F.coalesce(F.lower("note").startswith("vocabulary mismatch"), F.lit(False))
+    split = F.when(F.col("some").isNull(), "negative").when(mismatch, "mismatch").otherwise("exact")
+    return queries.join(some, "query_id", "left").select("query_id", split.alias("split"))
+
+
 def macro(rows: DataFrame, *by: str) -> DataFrame:
     """Means over queries, per method, split or grid cell."""
     means = [F.avg(c).alias(c) for c in ("precision", "reciprocal_rank", "ndcg")]

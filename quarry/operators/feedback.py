@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from quarry.config import ALPHA, B, BETA, EXPANSION_TERMS, FEEDBACK_DOCS, K1, check_choice, check_prf
 from quarry.operators.index import Index, in_order, tf_weight, tfidf_idf
 from quarry.operators.lexical import TIE_DECIMALS, _small, search_bm25, search_tfidf, search_weighted_bm25, search_weighted_tfidf, tfidf_weights
+from quarry.sources.work import written
 
 
 def centroids(feedback: DataFrame, index: Index) -> DataFrame:
@@ -55,8 +56,8 @@ def search_with_feedback(
     check_choice("scoring", scoring, ("tfidf", "bm25"))
     check_prf(feedback_docs, expansion_terms, alpha, beta)
     first = search_tfidf(queries, index, feedback_docs, mode, fallback) if scoring == "tfidf" else search_bm25(queries, index, feedback_docs, mode, fallback, k1, b)
-    feedback = first.select("query_id", "rank", "chunk_id").persist()
-    terms = expanded(tfidf_weights(queries, index), feedback, index, expansion_terms, alpha, beta).persist()
+    feedback = written(first.select("query_id", "rank", "chunk_id"), "feedback")
+    terms = written(expanded(written(tfidf_weights(queries, index), "weights"), feedback, index, expansion_terms, alpha, beta), "widened")
     weights = terms.select("query_id", "term", "w")
     hits = search_weighted_tfidf(weights, index, top_k, mode, fallback) if scoring == "tfidf" else search_weighted_bm25(weights, index, top_k, mode, fallback, k1, b)
     return Widened(hits, terms.withColumn("added", F.col("added") & F.lit(beta > 0)), feedback)

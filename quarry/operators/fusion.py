@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from quarry.config import ARM_DEPTH, COVERAGE_FLOOR, DENSE_FLOOR, IDF_COVERAGE_FLOOR, RRF_K, require
 from quarry.functions import text as X
 from quarry.operators.index import Index, bm25_idf, in_order
-from quarry.operators.lexical import TIE_DECIMALS, ranked
+from quarry.operators.lexical import TIE_DECIMALS, as_indexed, ranked
 
 
 def first_ranks(hits: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def to_hydrate(fused_hits: DataFrame, dense: DataFrame) -> DataFrame:
 
 def evidence_terms(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, term, idf of distinct query terms of any length; terms outside the index have df 0, and so the largest idf."""
-    terms = queries.select("query_id", F.explode(F.array_distinct(X.terms(F.col("text"), 1))).alias("term"))
+    terms = as_indexed(queries.select("query_id", F.explode(F.array_distinct(X.terms(F.col("text"), 1))).alias("term")), index).distinct()
     rows = terms.join(index.terms, "term", "left").join(F.broadcast(index.stats.select("n_chunks")))
     return rows.select("query_id", "term", bm25_idf(F.coalesce(F.col("df"), F.lit(0)), F.col("n_chunks")).alias("idf"))
 
@@ -61,7 +61,7 @@ def coverage(queries: DataFrame, pool: DataFrame, index: Index) -> DataFrame:
     """
     wanted = evidence_terms(queries, index)
     totals = wanted.groupBy("query_id").agg(F.count("*").alias("n_terms"), in_order("idf", "term").alias("idf_sum"))
-    has = pool.select("query_id", "chunk_id", F.explode(F.array_distinct(X.terms(F.col("searchable"), 1))).alias("term"))
+    has = as_indexed(pool.select("query_id", "chunk_id", F.explode(F.array_distinct(X.terms(F.col("searchable"), 1))).alias("term")), index).distinct()
     met = has.join(wanted, ["query_id", "term"]).groupBy("query_id", "chunk_id").agg(F.count("*").alias("n_met"), in_order("idf", "term").alias("idf_met"))
     rows = pool.select("query_id", "chunk_id").join(totals, "query_id", "left").join(met, ["query_id", "chunk_id"], "left")
     usable = F.col("idf_sum") > 0

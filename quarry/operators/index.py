@@ -113,7 +113,7 @@ class Analyzer:
         self.stem, self.min_length, self.memo, self.stops = stem, min_length, {}, frozenset(X.STOP_WORDS)
 
     def _term(self, token: str) -> str:
-        folded = token.lower().replace("ß", "ss")
+        folded = token.casefold()
         if len(folded) < self.min_length or folded in self.stops:
             return ""
         return porter(folded) if self.stem else folded

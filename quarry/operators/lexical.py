@@ -24,11 +24,16 @@ BROADCAST_TERMS = 100_000
 TIE_DECIMALS = 9
 
 
+def as_indexed(rows: DataFrame, index: Index | None) -> DataFrame:
+    """Rows with a term, as the index has it: stemmed if the index is."""
+    if index is None or not index.stem:
+        return rows
+    return rows.join(stemmed(rows), "term").withColumn("term", F.col("stem")).drop("stem").filter("term != ''")
+
+
 def query_terms(queries: DataFrame, index: Index | None = None, min_length: int = 2) -> DataFrame:
     """query_id, term, qtf."""
-    rows = queries.select("query_id", F.explode(X.terms(F.col("text"), min_length)).alias("term"))
-    if index is not None and index.stem:
-        rows = rows.join(stemmed(rows), "term").select("query_id", F.col("stem").alias("term"))
+    rows = as_indexed(queries.select("query_id", F.explode(X.terms(F.col("text"), min_length)).alias("term")), index)
     return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 

@@ -6,9 +6,10 @@ Runs on distinct words only: `stemmed` joins stems back to a vocabulary.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The paper's suffix tables of steps 2, 3 and 4, and words stemmed by hand.
@@ -105,6 +106,24 @@ def stem(word: str) -> str:
     return word
 
 
+@lru_cache(100_000)
+def kept_stem(word: str) -> str:
+    return stem(word)
+
+
+def stems(spark: SparkSession, column: str = "term") -> Column:
+    """Stems of a column's words where they stand; a worker keeps what it has seen."""
+    from quarry.sources.work import python_ready
+
+    python_ready(spark)
+
+    @F.pandas_udf("string")
+    def run(words: pd.Series) -> pd.Series:
+        return words.map(kept_stem)
+
+    return run(column)
+
+
 def stemmed(vocabulary: DataFrame, column: str = "term") -> DataFrame:
     """(term, stem) of a vocabulary's distinct terms: Python sees each word once, in Arrow batches."""
     from quarry.sources.work import python_ready

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from quarry.config import B, K1, check_bm25, check_choice, check_top_k
 from quarry.functions import text as X
-from quarry.functions.stem import stemmed
+from quarry.functions.stem import stems
 from quarry.operators.index import Index, bm25_idf, in_order, tf_weight, tfidf_idf
 
 #: Query terms up to this many rows are broadcast; beyond, the join shuffles.
@@ -28,7 +28,7 @@ def as_indexed(rows: DataFrame, index: Index | None) -> DataFrame:
     """Rows with a term, as the index has it: stemmed if the index is."""
     if index is None or not index.stem:
         return rows
-    return rows.join(stemmed(rows), "term").withColumn("term", F.col("stem")).drop("stem").filter("term != ''")
+    return rows.withColumn("term", stems(rows.sparkSession))
 
 
 def query_terms(queries: DataFrame, index: Index | None = None, min_length: int = 2) -> DataFrame:

@@ -128,10 +128,9 @@ CELLS = "cells AS MATERIALIZED (SELECT query_id, t.chunk_id, t.document_id, term
 DOCS = "ds AS MATERIALIZED (SELECT t.query_id, t.document_id, greatest(max(t.score), 0) AS score, list_distinct(flatten(list(string_split(matched, ' ')))) AS terms FROM top t GROUP BY ALL)"
 JUDGED = ",\n".join([
     QTF, _bm25("qw", "s"), _top("s", 4),
-    "good AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS document_id FROM labels WHERE quality = 1 AND toxic = 0)",
-    "rel AS MATERIALIZED (SELECT DISTINCT query_id, document_id FROM top JOIN good USING (document_id))",
+    "rel AS MATERIALIZED (SELECT DISTINCT b.item_id AS query_id, CAST(d.doc_id AS VARCHAR) AS document_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))",
     "nrel AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id)",
-    "hit AS (SELECT query_id, rank FROM top JOIN rel USING (query_id, document_id))",
+    "hit AS (SELECT query_id, min(rank) AS rank FROM top JOIN rel USING (query_id, document_id) GROUP BY query_id, document_id)",
     "m AS MATERIALIZED (SELECT b.item_id AS query_id, count(h.rank) / 4 AS precision, coalesce(1.0 / min(h.rank), 0) AS reciprocal_rank, CASE WHEN any_value(nrel.n) > 0 THEN coalesce(list_sum(list(1 / log2(h.rank + 1) ORDER BY h.rank)), 0) / list_sum(list_transform(range(1, CAST(least(any_value(nrel.n), 4) AS BIGINT) + 1), lambda r: 1 / log2(r + 1))) ELSE 0 END AS ndcg FROM benchmark b LEFT JOIN nrel ON nrel.query_id = b.item_id LEFT JOIN hit h ON h.query_id = b.item_id GROUP BY b.item_id)",
 ])
 M6 = "round(precision, 6) AS precision, round(reciprocal_rank, 6) AS reciprocal_rank, round(ndcg, 6) AS ndcg"
@@ -140,7 +139,7 @@ _GRID = ", ".join(f"({k1}, {b})" for k1 in GRID_K1 for b in GRID_B)
 ORACLES = {
     "tokenize_terms": _with(f"t AS {_terms('documents', 'doc_id', 'text')}") + "SELECT term, count(*) AS n, count(DISTINCT doc_id) AS n_documents, CAST(min(position) AS INTEGER) AS first_position FROM t GROUP BY term",
     "chunk_windows": _with(CHUNKS) + "SELECT chunk_id, position, token_count, CAST(char_start AS INTEGER) AS char_start, CAST(char_start + length(text) AS INTEGER) AS char_end, sha256(text) AS text_sha256 FROM chunks",
-    "chunk_rules": _with(CHUNKS) + "SELECT document_id, position FROM chunks GROUP BY ALL HAVING count(*) > 1 OR min(length(text)) = 0 OR min(char_start) < 0",
+    "chunk_rules": _with(CHUNKS) + ", r AS (SELECT document_id, position, (char_start + token_count) % 8 AS r FROM chunks) SELECT 'x' || document_id AS document_id, CAST(CASE WHEN r = 0 THEN -1 - position ELSE position END AS INTEGER) AS position FROM r UNION SELECT 'd' || document_id, position FROM r WHERE r = 0 AND position = 0",
     "term_frequency": _with(INDEX) + "SELECT term, chunk_id, tf, CAST(p0 AS INTEGER) AS first_position, CAST(p1 AS INTEGER) AS last_position FROM post",
     "chunk_lengths": _with(INDEX) + "SELECT chunk_id, length FROM lens",
     "document_frequency": _with(INDEX) + "SELECT term, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS tfidf_idf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS bm25_idf FROM dfs, st",

@@ -1,7 +1,7 @@
 """Registered queries over the driver's tables.
 
 Documents become chunks and an index, written once per session and folder; the passages
-of `benchmark`, whole, are the batch of queries; `labels` says what is relevant.
+of `benchmark`, whole, are the batch of queries; documents that hold one are relevant to it.
 """
 
 from __future__ import annotations
@@ -58,9 +58,17 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(document_id): documents labelled good and clean, relevant wherever they are found."""
-    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select(F.col("doc_id").cast("string").alias("document_id"))
-    return good
+    """(query_id, document_id): documents that hold a passage as it is, whatever a ranking finds.
+
+    A passage's first eight words lead to the documents that have them, and these are looked at.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(\S+)"), F.lit(1))
+    run = lambda w, i: F.array_join(F.slice(w, i + 1, 8), " ")
+    q = questions(spark, sf_dir).select("query_id", F.col("text").alias("passage"), run(words("text"), F.lit(0)).alias("run"))
+    d = documents(spark, sf_dir).select("document_id", "text")
+    runs = d.select("document_id", words("text").alias("w")).filter("size(w) >= 8").select("document_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: run(F.col("w"), i)))).alias("run"))
+    found = runs.join(lexical._small(q.select("query_id", "run")), "run").select("query_id", "document_id")
+    return _once(spark, sf_dir, "relevant", lambda: written(found.join(d, "document_id").join(q, "query_id").filter(F.contains("text", "passage")).select("query_id", "document_id").distinct(), "relevant"))
 
 
 def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +92,18 @@ def chunk_windows(spark, sf_dir):
 
 
 def chunk_rules(spark, sf_dir):
-    return index.invalid_chunks(chunks(spark, sf_dir))
+    """What breaks the rules among all chunks, copies of them that break one each, and pairs of the same position."""
+    page = F.lit(None).cast("int")
+    rows = chunks(spark, sf_dir).select("document_id", "position", "token_count", "char_start", "char_end", "text", page.alias("page_start"), page.alias("page_end"))
+    rule = F.pmod(F.col("char_start") + F.col("token_count"), F.lit(8))
+    broken = rows.select(
+        F.concat(F.lit("x"), "document_id").alias("document_id"), F.when(rule == 0, -1 - F.col("position")).otherwise(F.col("position")).alias("position"),
+        F.when(rule == 1, -1).otherwise(F.col("token_count")).alias("token_count"), F.when(rule == 2, -1).otherwise(F.col("char_start")).alias("char_start"),
+        F.when(rule == 3, F.col("char_start") - 1).otherwise(F.col("char_end")).alias("char_end"), F.when(rule == 4, "").otherwise(F.col("text")).alias("text"),
+        F.when(rule == 5, 0).when(rule >= 6, 3).alias("page_start"), F.when(rule == 5, 0).when(rule == 7, 2).alias("page_end"),
+    )
+    twice = rows.filter((F.col("position") == 0) & (rule == 0)).withColumn("document_id", F.concat(F.lit("d"), "document_id"))
+    return index.invalid_chunks(rows.unionByName(broken).unionByName(twice).unionByName(twice))
 
 
 def term_frequency(spark, sf_dir):
@@ -240,11 +259,8 @@ def rag_contexts(spark, sf_dir):
 def _judged(spark, sf_dir, k: int = 4) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Ranking by document, the relevant documents of each query, queries."""
     q = questions(spark, sf_dir)
-    good = relevant(spark, sf_dir)
-    hits = lexical.search_bm25(q, the_index(spark, sf_dir), k, "exact").select("query_id", "rank", "document_id")
-    # relevant to a query: good documents among its hits
-    qrels = hits.select("query_id", "document_id").distinct().join(good, "document_id", "left_semi")
-    return hits, qrels, q
+    hits = lexical.search_bm25(q, the_index(spark, sf_dir), k, "exact")
+    return hits.groupBy("query_id", "document_id").agg(F.min("rank").alias("rank")), relevant(spark, sf_dir), q
 
 
 def retrieval_metrics(spark, sf_dir):

@@ -1,12 +1,15 @@
 import io
+import json
 import zipfile
 import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.config import EngineConfig
+from quarry.__main__ import evaluate_folder
+from quarry.config import EngineConfig, bm25_parameters, prf_options
 from quarry.engine import Engine
+from quarry.functions import vectors
 from quarry.operators import catalog, dense, evaluation, feedback, fusion, index, lexical, rag, rerank, views
 from quarry.sources import files, web
 
@@ -258,8 +261,93 @@ def test_store_and_engine(spark, tmp_path):
     engine.store.roll_back()
     engine._forget()
     assert not engine.search_bm25("bonus").isEmpty()
+    before = engine.store.stats()["vector_count"]
+    engine.reset_vectors()
+    assert before == 3 and engine.vector_stats()["chunk_count"] == 0 and engine.search_semantic("databases").isEmpty() and not engine.search_bm25("transaction").isEmpty()
+    engine.reindex_vectors()
     engine.store.compact()
-    assert engine.store.stats()["document_count"] == 3 and catalog.invalid_documents(engine.store.table("documents")).isEmpty() and index.invalid_chunks(engine.store.table("chunks")).isEmpty()
+    assert engine.vector_stats()["chunk_count"] == 3 and engine.store.stats()["document_count"] == 3 and catalog.invalid_documents(engine.store.table("documents")).isEmpty() and index.invalid_chunks(engine.store.table("chunks")).isEmpty()
+
+
+class Counted:
+    """Documents about ranks or about storage."""
+
+    def embed_documents(self, texts):
+        return [[1.0, 0.0] if "rank" in t else [0.0, 1.0] for t in texts]
+
+    def embed_query(self, text):
+        return self.embed_documents([text])[0]
+
+
+def test_engine_stems_and_embeds_as_configured(spark, tmp_path):
+    vectors.register_embedder("counted", Counted)
+    pages = [(1, "http://e.org/r", "<title>R</title><article><p>The RETRIEVAL systems are retrieving ranked documents.</p></article>"), (2, "http://e.org/s", "<title>S</title><article><p>Stored rows on disk.</p></article>")]
+    engine = Engine(spark, EngineConfig(root=f"file://{tmp_path}/a", embedder="counted"))
+    engine.ingest_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    hit = engine.search_bm25("retrieve").first()
+    assert hit["title"] == "R" and hit["matched_terms"] == ["retriev"] and engine.search_tfidf("storing").first()["title"] == "S"
+    assert engine.search_semantic("ranking", 1).first()["title"] == "R" and engine.search_semantic("disk", 1).first()["title"] == "S"
+    evidence = fusion.coverage(ask(spark, "retrieved system"), spark.createDataFrame([(0, "c", "retrieving systems")], "query_id long, chunk_id string, searchable string"), engine.index).first()
+    assert evidence["coverage"] == 1.0 and evidence["all_terms"]
+    plain = Engine(spark, EngineConfig(root=f"file://{tmp_path}/b", stem=False))
+    plain.ingest_pages(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert plain.search_bm25("retrieve").isEmpty() and not EngineConfig.from_env({"QUARRY_STEM": "false"}).stem
+    with pytest.raises(ValueError):
+        vectors.with_vectors(ask(spark, "x"), "text", "unknown", 8)
+
+
+def test_answers_without_a_lexical_index(spark, tmp_path):
+    """Where no chunk has a term, the dense arm alone is the pool."""
+    engine = Engine(spark, EngineConfig(root=f"file://{tmp_path}/c"))
+    engine.ingest_pages(spark.createDataFrame([(1, "http://e.org/", "<article><p>the of and to</p></article>")], "page_id long, url string, html string")).collect()
+    assert engine.keyword_stats()["posting_count"] == 0
+    got = engine.rag("the of and")
+    assert len(got["context_chunks"]) == 1
+
+
+@pytest.mark.parametrize("bad", [{"feedback_docs": 51}, {"expansion_terms": 101}, {"max_expansion_terms": 101}])
+def test_request_bounds(bad):
+    with pytest.raises(ValueError):
+        prf_options(EngineConfig(), **bad)
+    with pytest.raises(ValueError):
+        bm25_parameters(None, 10.5, None)
+
+
+GOLD = {
+    "ranking.txt": "Cosine similarity ranks documents by the angle between weighted term vectors. Length normalisation keeps long texts from winning.",
+    "probability.txt": "The probabilistic model saturates term frequency, and its two parameters tune saturation and length normalisation.",
+    "feedback.txt": "Pseudo relevance feedback widens a question with frequent words of the first hits, which helps against vocabulary mismatch.",
+    "champions.txt": "Champion lists keep the postings with the highest counts, so that candidates are few and ranking is fast.",
+}
+ASKED = [
+    ("cosine similarity of vectors", ["ranking.txt"], "exact vocabulary"), ("pseudo relevance feedback", ["feedback.txt"], "exact vocabulary match on vocabulary mismatch"), ("champion lists", ["champions.txt"], ""),
+    ("length normalisation", ["ranking.txt", "probability.txt"], ""), ("saturates term frequency", ["probability.txt"], ""),
+    ("ranked by angles", ["ranking.txt"], "vocabulary mismatch: other forms"), ("questions widened by hits", ["feedback.txt"], "vocabulary mismatch"), ("tuning a probabilistic parameter", ["probability.txt"], "vocabulary mismatch"),
+    ("posting with a high count", ["champions.txt"], "vocabulary mismatch"), ("normalising lengths", ["ranking.txt", "probability.txt"], "vocabulary mismatch"), ("candidate lists and the rankings of documents", ["champions.txt", "ranking.txt"], "vocabulary mismatch"),
+    ("zebra migration", [], "true negative"),
+]
+
+
+def test_evaluation_over_a_folder(spark, tmp_path):
+    """Four texts, twelve queries, three splits: lexical methods find all that is relevant first, and nothing where nothing is."""
+    (tmp_path / "texts").mkdir()
+    for name, text in GOLD.items():
+        (tmp_path / "texts" / name).write_text(text)
+    (tmp_path / "gold.json").write_text(json.dumps([{"query": q, "relevant_files": f, "note": n} for q, f, n in ASKED]))
+    tables = evaluate_folder(spark, f"{tmp_path}/texts", f"{tmp_path}/gold.json", f"{tmp_path}/report.md", True, config=EngineConfig())
+    for title, n, precision in (("Exact vocabulary", 5, 0.3), ("Vocabulary mismatch", 6, 1 / 3)):
+        rows = {r["method"]: r for r in tables[title]}
+        assert set(rows) == {"TF-IDF", "TF-IDF + PRF", "BM25", "Semantic"} and all(r["n_queries"] == n for r in rows.values())
+        assert rows["TF-IDF + PRF"]["precision"] == pytest.approx(precision) and rows["TF-IDF + PRF"]["ndcg"] > 0.9
+        for method in ("TF-IDF", "BM25"):
+            assert (rows[method]["precision"], rows[method]["reciprocal_rank"], rows[method]["ndcg"]) == pytest.approx((precision, 1.0, 1.0)), (title, method)
+    lexical_rows = [r for r in tables["Nothing relevant"] if r["method"] != "Semantic"]
+    assert all(r["precision"] == r["reciprocal_rank"] == r["ndcg"] == 0 for r in lexical_rows)
+    assert tables["Ranks of relevant texts, BM25"] == [{"rank_1": 11, "rank_2": 3, "rank_3": 0, "rank_4": 0, "missed": 0}]
+    assert len(tables["BM25 sweep"]) == 16 and tables["Selected"] == [{"k1": 1.5, "b": 0.75}]
+    standard = next(r for r in tables["BM25 sweep"] if (r["k1"], r["b"]) == (1.5, 0.75))
+    assert (standard["ndcg"], standard["reciprocal_rank"], standard["precision"]) == pytest.approx((11 / 12, 11 / 12, 14 / 48))
+    assert "## Vocabulary mismatch" in (tmp_path / "report.md").read_text()
 
 
 def test_empty_tables(spark):

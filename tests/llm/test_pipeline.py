@@ -3,6 +3,7 @@ from collections import Counter
 
 import corpus_pipeline
 import numpy as np
+import pytest
 import zlib
 from pyspark.sql import functions as F
 
@@ -67,3 +68,26 @@ def test_stage_links_from_four_fifths(spark, tmp_path):
     for near, gone in ((0.8, dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, str(tmp_path))), (0.85, neardup.keep_one(docs))):
         lost = {d for d, _ in rows} - {r["doc_id"] for r in gone.collect()}
         assert lost == {d for d, s in want.items() if s >= near} and 0 < len(lost) < len(want)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_rows(spark, tmp_path, odd, none, empty):
+    """Nulls in every column, empty and long texts, repeated rows, clashing names, and no rows at all, through all stages."""
+    clashing = ("row", "digest", "number", "group", "taken", "left", "copy", "plan_size", "shares", "kept_id", "text_digest", "payload", "kind")
+    docs = (none if empty else odd).withColumns({n: F.lit(n) for n in clashing})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        now = materialize(stage(spark, now, str(tmp_path)), name)
+        seen[name] = now.count()
+        if name != "packing":
+            assert now.columns == docs.columns
+            if not empty:
+                assert now.select(*clashing).distinct().collect() == [clashing]
+    if empty:
+        assert set(seen.values()) == {0}
+    else:
+        assert seen["toxicity"] == 10 and seen["near_duplicates"] == 8 and seen["repeated_passages"] == 8 and seen["packing"] >= seen["mixing"] > 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"]

@@ -8,6 +8,7 @@ they opened, and going back is a swap. `compact` folds segments into one.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from dataclasses import dataclass
@@ -81,11 +82,7 @@ class Store:
         now = {"format": FORMAT, "version": was["version"] + 1, "segments": segments, "tombstones": tombstones, "vectors": vectors}
         fs = self._fs()
         temporary, final = self._path("manifests", f".{uuid.uuid4().hex}.tmp"), self._path("manifests", f"{now['version']:09d}.json")
-        out = fs.create(temporary, True)
-        try:
-            out.write(bytearray(json.dumps(now, sort_keys=True, ensure_ascii=False).encode()))
-        finally:
-            out.close()
+        self._put(temporary, now)
         if fs.exists(final) or not fs.rename(temporary, final):
             fs.delete(temporary, False)
             raise RuntimeError("another writer was first; try again")
@@ -119,9 +116,54 @@ class Store:
         return rows.join(dead, gone, "left_anti").drop("segment")
 
     def index(self) -> I.Index:
-        """The lexical index over live rows, its derived tables complete."""
+        """The lexical index over live rows. Its derived tables are made once for what a manifest refers to, then read."""
         m = self.manifest()
-        return I.derive(self.table("postings", m), self.table("lengths", m), self.config.stem, self.config.champion_size)
+        postings, lengths = self.table("postings", m), self.table("lengths", m)
+        if (path := self._derived(m)) is None:
+            path = f"index/{uuid.uuid4().hex}"
+
+            def keep(rows: DataFrame, name: str, sort: tuple[str, ...] = ()) -> DataFrame:
+                rows = shaped(rows, I.DERIVED[name])
+                (rows.sortWithinPartitions(*sort) if sort else rows).write.parquet(f"{self.root}/{path}/{name}")
+                return self._read(path, name)
+
+            try:
+                I.derive(postings, lengths, self.config.stem, self.config.champion_size, keep)
+            except Exception:
+                self._fs().delete(self._path(path), True)  # nothing refers to it yet
+                raise
+            made, path = path, self._point(m, path)
+            if path != made:
+                self._fs().delete(self._path(made), True)
+        return I.Index(postings, lengths, *(self._read(path, name) for name in I.DERIVED), stem=self.config.stem, champion_size=self.config.champion_size)
+
+    def _read(self, path: str, name: str) -> DataFrame:
+        return self.spark.read.schema(I.DERIVED[name]).parquet(f"{self.root}/{path}/{name}")
+
+    def _pointer(self, m: dict):
+        """The file that says where the derived tables of these segments and tombstones are, under these settings."""
+        what = [I.DERIVED, [s["path"] for s in m["segments"]], [t["path"] for t in m["tombstones"]], self.config.stem, self.config.champion_size]
+        return self._path("index", hashlib.sha256(json.dumps(what).encode()).hexdigest() + ".json")
+
+    def _derived(self, m: dict) -> str | None:
+        where = self._pointer(m)
+        return json.loads(self.spark.sparkContext.wholeTextFiles(where.toString()).first()[1])["path"] if self._fs().exists(where) else None
+
+    def _point(self, m: dict, path: str) -> str:
+        """Refers to tables that are complete and returns their path; where another writer was first, its tables stand."""
+        temporary, final = self._path("index", f".{uuid.uuid4().hex}.tmp"), self._pointer(m)
+        self._put(temporary, {"path": path})
+        if self._fs().exists(final) or not self._fs().rename(temporary, final):
+            self._fs().delete(temporary, False)
+            return self._derived(m)
+        return path
+
+    def _put(self, path, value: dict) -> None:
+        out = self._fs().create(path, True)
+        try:
+            out.write(bytearray(json.dumps(value, sort_keys=True, ensure_ascii=False).encode()))
+        finally:
+            out.close()
 
     def get(self, document_id: str) -> DataFrame:
         return self.table("documents").filter(F.col("document_id") == document_id)
@@ -195,7 +237,10 @@ class Store:
         path = f"segments/{number:09d}-{uuid.uuid4().hex[:8]}"
         for name in TABLES:
             self.table(name, was).sortWithinPartitions("term" if name == "postings" else "document_id").write.parquet(f"{self.root}/{path}/{name}")
-        return self._commit(was, [{"number": number, "path": path}], [])
+        now = self._commit(was, [{"number": number, "path": path}], [])
+        if (same := self._derived(was)) is not None:
+            self._point(now, same)
+        return now
 
     def replace_vectors(self, vectors: DataFrame) -> dict:
         """Swaps the vectors of all live documents, and writes nothing else."""

@@ -1,14 +1,17 @@
 """The lexical index as tables: postings, chunk lengths, term statistics, norms, champions.
 
-Postings carry a term's count in a chunk and where it stands; they are written sorted by
-term, so a query reads the row groups of its terms. Collection figures are one row. N, df
-and the mean length count chunks, those without a single term included.
+Postings carry a term's count in a chunk and where it stands. Searches read two tables made
+of them once, which hold all that a score needs: `scored` in ranges of terms, `forward` in
+ranges of chunks. The few terms of a question, or chunks of its feedback, are pushed to the
+scan, which skips files and pages without them; a frequent term fills several files.
+Collection figures are one row. N, df and the mean length count chunks, those without a
+single term included.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -70,6 +73,18 @@ def terms_of(chunks: DataFrame, stem: bool = False, min_length: int = 2) -> Data
     return rows.join(stemmed(rows), "term").drop("term").withColumnRenamed("stem", "term").filter(F.length("term") > 0).select("chunk_id", "document_id", "position", "term")
 
 
+SCORED = "term string, chunk_id string, document_id string, tf int, df long, length int, norm double"
+#: The tables that follow from postings and lengths, as they are written.
+DERIVED = {
+    "terms": "term string, df long",
+    "stats": "n_chunks long, avg_length double, n_documents long, n_terms long, n_postings long",
+    "norms": "chunk_id string, norm double",
+    "champions": "term string, chunk_id string, tf int, rank int",
+    "forward": SCORED,
+    "scored": SCORED,
+}
+
+
 @dataclass(frozen=True)
 class Index:
     """postings(term, chunk_id, document_id, tf, positions), lengths(chunk_id, document_id, length), and what follows from them."""
@@ -80,6 +95,8 @@ class Index:
     stats: DataFrame  # one row: n_chunks, avg_length, n_documents, n_terms, n_postings
     norms: DataFrame  # chunk_id, norm
     champions: DataFrame  # term, rank, chunk_id, tf
+    forward: DataFrame  # SCORED, in ranges of chunk_id
+    scored: DataFrame  # SCORED, in ranges of term
     stem: bool = False
     champion_size: int = CHAMPION_SIZE
 
@@ -182,9 +199,20 @@ def build(chunks: DataFrame, stem: bool = False, champion_size: int = CHAMPION_S
     return derive(postings, lengths, stem, champion_size)
 
 
-def derive(postings: DataFrame, lengths: DataFrame, stem: bool = False, champion_size: int = CHAMPION_SIZE) -> Index:
-    terms = written(postings.groupBy("term").agg(F.count("*").alias("df")), "terms", ("term",))
-    stats = written(collection_stats(postings, lengths), "stats")
-    norms = written(norms_of(postings, terms, stats), "norms")
-    champions = written(champions_of(postings, champion_size), "champions", ("term",))
-    return Index(postings, lengths, terms, stats, norms, champions, stem, champion_size)
+def in_ranges(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows in ranges of a key, so that few files have any one value and a frequent value has several."""
+    spark = rows.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return rows.repartitionByRange(n, *by)
+
+
+def derive(postings: DataFrame, lengths: DataFrame, stem: bool = False, champion_size: int = CHAMPION_SIZE, keep: Callable[..., DataFrame] = written) -> Index:
+    """The tables of DERIVED; keep(rows, name, sort) writes one and rereads it."""
+    terms = keep(postings.groupBy("term").agg(F.count("*").alias("df")), "terms", ("term",))
+    stats = keep(collection_stats(postings, lengths), "stats")
+    norms = keep(norms_of(postings, terms, stats), "norms")
+    champions = keep(champions_of(postings, champion_size), "champions", ("term",))
+    rows = postings.select("term", "chunk_id", "document_id", "tf").join(terms, "term").join(lengths.select("chunk_id", "length"), "chunk_id").join(norms, "chunk_id")
+    forward = keep(in_ranges(rows, "chunk_id"), "forward", ("chunk_id", "term"))
+    scored = keep(in_ranges(forward, "term", "chunk_id"), "scored", ("term", "chunk_id"))
+    return Index(postings, lengths, terms, stats, norms, champions, forward, scored, stem, champion_size)

@@ -8,6 +8,8 @@ k of each query are kept by a window whose limit Spark also applies before the s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ from quarry.operators.index import Index, bm25_idf, in_order, tf_weight, tfidf_i
 
 #: Query terms up to this many rows are broadcast; beyond, the join shuffles.
 BROADCAST_TERMS = 100_000
+#: Up to this many values of a key are pushed to a scan one by one.
+PUSHED_VALUES = 64
 #: Scores that agree in this many decimals are ties, which go to the smaller id.
 TIE_DECIMALS = 9
 
@@ -37,14 +41,32 @@ def query_terms(queries: DataFrame, index: Index | None = None, min_length: int
     return rows.groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_TERMS) -> DataFrame:
-    """df for broadcasting if it was counted and is small, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def held(df: DataFrame, rows: int = BROADCAST_TERMS) -> tuple[DataFrame, list | None]:
+    """df, computed once and held by the driver if it has at most that many rows; its rows then, else None."""
+    got = df.limit(rows + 1).toArrow()
+    if got.num_rows > rows:
+        return df, None
+    spark = df.sparkSession
+    return (spark.createDataFrame(got, df.schema) if got.num_rows else spark.createDataFrame([], df.schema)), got
+
+
+def meet(table: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """table joined with df by a key: df is broadcast if it was counted and is small, else the join shuffles.
+
+    A few values of the key become a filter of the table's scan.
+    """
+    small, got = held(df)
+    if got is None:
+        return table.join(df, key)
+    values = [v for v in got.column(key).unique().to_pylist() if v is not None]
+    if len(values) <= PUSHED_VALUES:
+        table = table.filter(reduce(or_, [F.col(key) == F.lit(v) for v in values], F.lit(False)))
+    return table.join(F.broadcast(small), key)
 
 
 def known_terms(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, term, weight (1.0), qtf, df of terms that are in the index."""
-    return index.terms.join(_small(query_terms(queries, index)), "term").select("query_id", "term", "qtf", "df")
+    return meet(index.terms, query_terms(queries, index), "term").select("query_id", "term", "qtf", "df")
 
 
 def ranked(scored: DataFrame, top_k: int, score: str = "score", tie: str = "chunk_id", by: str = "query_id") -> DataFrame:
@@ -61,25 +83,24 @@ def candidates(terms: DataFrame, index: Index, top_k: int, mode: str, fallback:
     if mode == "exact":
         return None
     own = terms.select("query_id", "term")
-    short = index.champions.join(_small(own), "term").select("query_id", "chunk_id").distinct()
+    short = meet(index.champions, own, "term").select("query_id", "chunk_id").distinct()
     if not fallback:
         return short
     enough = short.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= top_k).select("query_id")
-    full = index.postings.select("term", "chunk_id").join(_small(own.join(enough, "query_id", "left_anti")), "term").select("query_id", "chunk_id").distinct()
+    full = meet(index.scored.select("term", "chunk_id"), own.join(enough, "query_id", "left_anti"), "term").select("query_id", "chunk_id").distinct()
     return short.join(enough, "query_id", "left_semi").unionByName(full)
 
 
-def _hits(weighted: DataFrame, index: Index, contribution: Column, top_k: int, chosen: DataFrame | None, finish: Column | None = None) -> DataFrame:
+def _hits(weighted: DataFrame, index: Index, contribution: Column, top_k: int, chosen: DataFrame | None) -> DataFrame:
     """Scores of query terms over postings, best top_k of each query."""
-    met = index.postings.select("term", "chunk_id", "document_id", "tf").join(_small(weighted), "term")
+    met = meet(index.scored, weighted, "term")
     if chosen is not None:
         met = met.join(chosen, ["query_id", "chunk_id"], "left_semi")
-    met = met.join(index.lengths.select("chunk_id", "length"), "chunk_id") if finish is None else met.join(index.norms, "chunk_id")
     met = met.join(F.broadcast(index.stats))  # one row
-    met = met.withColumn("c", contribution)
-    parts = F.array_sort(F.collect_list(F.struct("term", "c")))
-    grouped = met.groupBy("query_id", "chunk_id", "document_id").agg(in_order("c", "term").alias("score"), F.map_from_entries(parts).alias("contributions"))
-    best = ranked(grouped, top_k)
+    met = met.select("query_id", "chunk_id", "document_id", "term", contribution.alias("c"))
+    grouped = met.groupBy("query_id", "chunk_id", "document_id").agg(F.array_sort(F.collect_list(F.struct("term", "c"))).alias("parts"))
+    scored = grouped.withColumn("score", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["c"]))
+    best = ranked(scored, top_k).withColumn("contributions", F.map_from_entries("parts"))
     return best.select("query_id", "rank", "chunk_id", "document_id", "score", F.array_sort(F.map_keys("contributions")).alias("matched_terms"), F.col("contributions").alias("term_contributions"))
 
 
@@ -97,13 +118,13 @@ def tfidf_weights(queries: DataFrame, index: Index) -> DataFrame:
 def search_weighted_tfidf(weights: DataFrame, index: Index, top_k: int = 10, mode: str = "champion", fallback: bool = True) -> DataFrame:
     """Cosine of weighted queries (query_id, term, w) with chunks."""
     _checked(top_k, mode)
-    live = weights.filter("w != 0")
-    size = live.groupBy("query_id").agg(F.sqrt(in_order("w2", "term")).alias("qnorm")) if "w2" in live.columns else live.withColumn("w2", F.col("w") * F.col("w")).groupBy("query_id").agg(F.sqrt(in_order("w2", "term")).alias("qnorm"))
-    full = live.join(size, "query_id").join(index.terms, "term")
+    live, _ = held(weights.filter("w != 0").select("query_id", "term", "w"))
+    size = live.withColumn("w2", F.col("w") * F.col("w")).groupBy("query_id").agg(F.sqrt(in_order("w2", "term")).alias("qnorm"))
+    full = live.join(size, "query_id")
     chosen = candidates(live.filter("w > 0"), index, top_k, mode, fallback)
     doc_weight = tf_weight(F.col("tf")) * tfidf_idf(F.col("df"), F.col("n_chunks"))
     contribution = F.col("w") * doc_weight / (F.col("qnorm") * F.col("norm"))
-    return _hits(full, index, contribution, top_k, chosen, F.col("norm"))
+    return _hits(full, index, contribution, top_k, chosen)
 
 
 def search_tfidf(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "champion", fallback: bool = True) -> DataFrame:
@@ -122,9 +143,9 @@ def search_weighted_bm25(weights: DataFrame, index: Index, top_k: int = 10, mode
     """BM25 with a query's weights in place of its term counts."""
     _checked(top_k, mode)
     check_bm25(k1, b)
-    live = weights.filter("w != 0")
+    live, _ = held(weights.filter("w != 0").select("query_id", "term", "w"))
     chosen = candidates(live.filter("w > 0"), index, top_k, mode, fallback)
-    return _hits(live.join(index.terms, "term"), index, _bm25_part(F.lit(float(k1)), F.lit(float(b))), top_k, chosen)
+    return _hits(live, index, _bm25_part(F.lit(float(k1)), F.lit(float(b))), top_k, chosen)
 
 
 def search_bm25(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "champion", fallback: bool = True, k1: float = K1, b: float = B) -> DataFrame:
@@ -137,8 +158,8 @@ def sweep_bm25(queries: DataFrame, index: Index, grid: list[tuple[float, float]]
     """k1, b, query_id, rank, chunk_id, document_id, score of exact BM25 for every pair: postings are read once."""
     for k1, b in grid:
         check_bm25(k1, b)
-    weights = _small(known_terms(queries, index).withColumn("w", F.col("qtf").cast("double")))
-    met = index.postings.select("term", "chunk_id", "document_id", "tf").join(weights, "term").join(index.lengths.select("chunk_id", "length"), "chunk_id").join(F.broadcast(index.stats))
+    weights = known_terms(queries, index).select("query_id", "term", F.col("qtf").cast("double").alias("w"))
+    met = meet(index.scored, weights, "term").join(F.broadcast(index.stats))  # one row
     met = met.withColumn("base", F.col("w") * bm25_idf(F.col("df"), F.col("n_chunks")))
     parts = F.array_sort(F.collect_list(F.struct("term", "base", F.col("tf").cast("double").alias("tf"))))
     grouped = met.groupBy("query_id", "chunk_id", "document_id").agg(parts.alias("parts"), (F.first("length") / F.first("avg_length")).alias("share"))
@@ -159,7 +180,7 @@ def diagnostics(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "
     _checked(top_k, mode)
     terms = known_terms(queries, index)
     total = terms.groupBy("query_id").agg(F.sum("df").alias("postings_available"), F.sum(F.least("df", F.lit(index.champion_size))).alias("champion_postings"))
-    every = index.postings.select("term", "chunk_id").join(_small(terms.select("query_id", "term")), "term").select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("all_candidates"))
+    every = meet(index.scored.select("term", "chunk_id"), terms.select("query_id", "term"), "term").select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("all_candidates"))
     short = candidates(terms, index, top_k, "champion", False).groupBy("query_id").agg(F.count("*").alias("champion_candidates"))
     rows = queries.select("query_id").join(total, "query_id", "left").join(every, "query_id", "left").join(short, "query_id", "left").fillna(0)
     fell = F.lit(mode == "champion" and fallback) & (F.col("champion_candidates") < top_k)

@@ -67,7 +67,7 @@ def relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = questions(spark, sf_dir).select("query_id", F.col("text").alias("passage"), run(words("text"), F.lit(0)).alias("run"))
     d = documents(spark, sf_dir).select("document_id", "text")
     runs = d.select("document_id", words("text").alias("w")).filter("size(w) >= 8").select("document_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 8), lambda i: run(F.col("w"), i)))).alias("run"))
-    found = runs.join(lexical._small(q.select("query_id", "run")), "run").select("query_id", "document_id")
+    found = lexical.meet(runs, q.select("query_id", "run"), "run").select("query_id", "document_id")
     return _once(spark, sf_dir, "relevant", lambda: written(found.join(d, "document_id").join(q, "query_id").filter(F.contains("text", "passage")).select("query_id", "document_id").distinct(), "relevant"))
 
 

@@ -79,6 +79,53 @@ def test_feedback(spark):
     assert {r["chunk_id"]: r["score"] for r in same.hits.collect()} == plain and same.terms.filter("added").isEmpty()
 
 
+def test_question_terms_and_feedback_reach_the_scan(spark, monkeypatch):
+    built = index.build(corpus(spark, *[(f"c-{i:03d}", f"signal word{i} word{i + 1}") for i in range(90)]))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(term,word7)" in plan(lexical.search_bm25(ask(spark, "word7"), built, 3, "exact"))
+    chosen = spark.createDataFrame([(0, "c-003"), (0, "c-005")], "query_id int, chunk_id string")
+    got = feedback.centroids(chosen, built)
+    assert "EqualTo(chunk_id,c-005)" in plan(got)
+    assert {r["term"] for r in got.collect()} == {"signal", "word3", "word4", "word5", "word6"}
+    many, held = lexical.held(built.terms, rows=10)
+    assert held is None and many is built.terms and lexical.held(built.terms)[0].count() == 92
+    # whether rows are held and pushed or shuffled, what meets is the same
+    asked = spark.createDataFrame([("word3", 1), ("word3", 2), ("nowhere", 3), (None, 4)], "term string, n int")
+    met = lambda: sorted((r["chunk_id"], r["n"]) for r in lexical.meet(built.scored, asked, "term").collect())
+    assert met() == [("c-002", 1), ("c-002", 2), ("c-003", 1), ("c-003", 2)]
+    assert lexical.meet(built.scored, asked.limit(0), "term").isEmpty()
+    monkeypatch.setattr(lexical, "held", lambda df: (df, None))
+    assert met() == [("c-002", 1), ("c-002", 2), ("c-003", 1), ("c-003", 2)]
+
+
+def test_derived_tables_are_read_once_made(spark, tmp_path, monkeypatch):
+    config = EngineConfig(root=f"file://{tmp_path}/store", chunk_size=20, chunk_overlap=5)
+    page = lambda i, words: spark.createDataFrame([(i, f"http://e.org/{i}", f"<title>T</title><article><p>{words}</p></article>")], "page_id long, url string, html string")
+    engine = Engine(spark, config)
+    engine.ingest_pages(page(1, "Databases keep transactions on disk.")).collect()
+    first = engine.search_bm25("transactions").first()
+    made = []
+    derive = index.derive
+    monkeypatch.setattr(index, "derive", lambda *a: made.append(1) or derive(*a))
+    again = Engine(spark, config)
+    assert again.search_bm25("transactions").first()["score"] == first["score"] and not made
+    again.reset_vectors()
+    again.store.compact()
+    assert not Engine(spark, config).search_tfidf("transactions").isEmpty() and not made  # the same rows, other segments
+    again.ingest_pages(page(2, "Rankings rest on cosines and transactions.")).collect()
+    assert again.search_bm25("transactions").count() == 2 and len(made) == 1
+    assert Engine(spark, EngineConfig(root=config.root, chunk_size=20, chunk_overlap=5, stem=False)).search_bm25("transaction").isEmpty() and len(made) == 2
+    again.store.roll_back()
+    again._forget()
+    assert again.search_bm25("transactions").count() == 1 and len(made) == 2
+    monkeypatch.setattr(index, "derive", lambda *a: a[-1](a[0].groupBy("term").count().withColumnRenamed("count", "df"), "terms") and 1 / 0)
+    again.ingest_pages(page(3, "Nothing else is left.")).collect()
+    with pytest.raises(ZeroDivisionError):
+        again.search_bm25("left")
+    monkeypatch.setattr(index, "derive", derive)
+    assert again.search_bm25("left").count() == 1
+
+
 def test_nearest(spark):
     rows = spark.createDataFrame([("z-near", [-0.5, 0.75**0.5]), ("a-far", [-0.9, 0.19**0.5]), ("zero", [0.0, 0.0]), ("none", None)], "chunk_id string, embedding array<double>")
     got = dense.nearest(rows, spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, embedding array<double>"), 3).orderBy("rank").collect()

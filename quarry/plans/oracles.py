@@ -123,6 +123,39 @@ EVIDENCE = ",\n".join([
     "sel AS MATERIALIZED (SELECT query_id, rank, chunk_id, strong, dense_score, all_terms FROM ev WHERE rank <= 4 AND (query_id, rank) NOT IN (SELECT (query_id, last) FROM weak JOIN pin USING (query_id)) UNION ALL SELECT query_id, last, chunk_id, strong, dense_score, all_terms FROM weak JOIN pin USING (query_id))",
 ])
 
+# Octets at and beside the ends of address ranges that are not public, the ranges, and starts of URLs.
+FIRST = ("0", "8", "10", "100", "127", "169", "172", "192", "198", "203", "223", "224", "239", "240", "255")
+SECOND = ("0", "15", "16", "17", "18", "19", "20", "31", "32", "51", "64", "168", "254")
+THIRD = ("0", "2", "100", "113", "255")
+STARTS = ("ftp://host", "file://", "http://", "https://user@", "HTTP://host", "https://[::1]", "http://[2606:4700::1111]", "http://[fe80::1]", "javascript:host", "https://user:word@host:8443")
+NOT_PUBLIC = (
+    "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.8/32", "192.0.0.11/32",
+    "192.0.0.12/30", "192.0.0.16/28", "192.0.0.32/27", "192.0.0.64/26", "192.0.0.128/25", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+)
+
+
+def _quoted(values: tuple[str, ...]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in values) + "]"
+
+
+_OCTETS = "list_transform(string_split(a, '.'), lambda x: CAST(x AS BIGINT))"
+_NUMBER = "list_sum(list_transform(range(1, 5), lambda i: {0}[i] * CAST(power(256, 4 - i) AS BIGINT)))"
+ADDRESSES = f"""addresses AS (SELECT page_id, concat_ws('.', {_quoted(FIRST)}[1 + page_id % {len(FIRST)}], {_quoted(SECOND)}[1 + (page_id // 3) % {len(SECOND)}], {_quoted(THIRD)}[1 + (page_id // 5) % {len(THIRD)}], page_id % 256) AS a FROM pages),
+numbers AS MATERIALIZED (SELECT page_id, {_NUMBER.format("o")} AS n FROM (SELECT page_id, {_OCTETS} AS o FROM addresses)),
+ranges AS MATERIALIZED (SELECT {_NUMBER.format("o")} AS low, CAST(power(2, 32 - size) AS BIGINT) AS width FROM (SELECT {_OCTETS} AS o, size FROM (SELECT string_split(r, '/')[1] AS a, CAST(string_split(r, '/')[2] AS INTEGER) AS size FROM (SELECT unnest({_quoted(NOT_PUBLIC)}) AS r))))"""
+PUBLIC_URLS = (
+    _with(ADDRESSES)
+    + f"""SELECT page_id, 'address' AS kind, CASE WHEN EXISTS (SELECT 1 FROM ranges WHERE n >= low AND n < low + width) THEN 'the host is not public' END AS problem FROM numbers
+UNION ALL SELECT page_id, 'page', CASE WHEN url IS NULL OR NOT regexp_matches(url, '^(?i)https?:') THEN 'only http and https are allowed' WHEN NOT regexp_matches(url, '^[^:]*://[^/?#]') THEN 'the URL names no host' END FROM pages
+UNION ALL SELECT page_id, 'start', CASE WHEN s LIKE 'ftp%' OR s LIKE 'file%' OR s LIKE 'javascript%' THEN 'only http and https are allowed' WHEN s LIKE '%//' OR s LIKE '%@' THEN 'the URL names no host' WHEN s LIKE '%[::1]' OR s LIKE '%[fe80%' THEN 'the host is not public' END
+FROM (SELECT page_id, {_quoted(STARTS)}[1 + page_id % {len(STARTS)}] AS s FROM pages)"""
+)
+_LETTER = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}"  # what words are of, where matches are marked
+HIGHLIGHTED = rf"SELECT query_id, chunk_id, CAST(len(regexp_extract_all(text, '(?i)(?:^|[^{_LETTER}])(?:' || replace(matched, ' ', '|') || ')[{_LETTER}]*')) AS INTEGER) AS n_marks FROM top JOIN chunks USING (chunk_id)"
+CONTEXTS = r"""SELECT query_id, sha256(string_agg('[' || i || '] ' || source || chr(10) || body, chr(10) || chr(10) ORDER BY i)) AS context_sha256, string_agg(chunk_id, ',' ORDER BY i) AS chunk_ids
+FROM (SELECT query_id, s.chunk_id, source, row_number() OVER (PARTITION BY query_id ORDER BY s.rank) AS i, trim(regexp_replace(regexp_replace(c.text, '\[n?(\d+)\]', '', 'g'), '[ \t]{2,}', ' ', 'g')) AS body
+  FROM sel s JOIN chunks c USING (chunk_id) JOIN documents d ON CAST(d.doc_id AS VARCHAR) = c.document_id) GROUP BY query_id"""
+
 HITS = ",\n".join([QTF, _bm25("qw", "s"), _top("s", 10)])
 CELLS = "cells AS MATERIALIZED (SELECT query_id, t.chunk_id, t.document_id, term, c FROM top t JOIN s_c USING (query_id, chunk_id))"
 DOCS = "ds AS MATERIALIZED (SELECT t.query_id, t.document_id, greatest(max(t.score), 0) AS score, list_distinct(flatten(list(string_split(matched, ' ')))) AS terms FROM top t GROUP BY ALL)"
@@ -196,6 +229,9 @@ SELECT CAST(k1 AS DOUBLE) AS k1, CAST(b AS DOUBLE) AS b, count(*) AS n, round(su
     "dedup_sha256": "SELECT doc_id, sha256(text) AS sha256, doc_id <> min(doc_id) OVER (PARTITION BY sha256(text)) AS duplicate FROM documents",
     "upsert_vectors": "SELECT vec_id AS chunk_id, label AS document_id, 'kept' AS state FROM embeddings WHERE label >= 5 OR vec_id % 2 = 0 OR label NOT IN (SELECT label FROM embeddings WHERE label < 5 AND vec_id % 2 = 0) UNION ALL SELECT vec_id, NULL, 'stale' FROM embeddings WHERE label < 5 AND vec_id % 2 <> 0 AND label IN (SELECT label FROM embeddings WHERE label < 5 AND vec_id % 2 = 0)",
     "delete_cascade": _with(INDEX) + "SELECT c.document_id, count(*) AS n_chunks, coalesce(any_value(p.n), 0) AS n_postings FROM chunks c LEFT JOIN (SELECT document_id, count(*) AS n FROM post GROUP BY 1) p USING (document_id) WHERE c.document_id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1) GROUP BY c.document_id",
+    "rag_contexts": _with(INDEX, EVIDENCE) + CONTEXTS,
+    "highlighted_hits": _with(INDEX, HITS) + HIGHLIGHTED,
+    "public_urls": PUBLIC_URLS,
     "page_hosts": r"SELECT page_id, lower(regexp_extract(url, '^(?i)https?://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:]*)', 1)) AS host, CAST(strlen(html) AS INTEGER) AS download_bytes FROM pages",
     "normalised_text": r"SELECT doc_id, sha256(regexp_replace(regexp_replace(array_to_string(list_transform(regexp_split_to_array(replace(text, chr(0), ''), '\r\n|\r|\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')) AS sha256 FROM documents",
     "segment_offsets": r"""WITH n AS (SELECT conv_id, turn, regexp_replace(regexp_replace(array_to_string(list_transform(regexp_split_to_array(text, '\r\n|\r|\n'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS t FROM conversations)

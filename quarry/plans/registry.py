@@ -364,7 +364,14 @@ def page_texts(spark, sf_dir):
 
 
 def public_urls(spark, sf_dir):
-    return web.public_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "problem")
+    """What forbids a fetch: of the pages' URLs as they are, with an address for the host, and with another start."""
+    of = lambda values, n: F.element_at(F.array(*map(F.lit, values)), 1 + F.pmod(n, F.lit(len(values))).cast("int"))
+    n = F.col("page_id")
+    address = F.concat_ws(".", of(oracles.FIRST, n), of(oracles.SECOND, F.floor(n / 3)), of(oracles.THIRD, F.floor(n / 5)), F.pmod(n, F.lit(256)))
+    rest = F.coalesce(F.regexp_replace("url", "^https?://[^/]*", ""), F.lit(""))
+    kinds = {"page": F.col("url"), "address": F.concat(F.lit("https://"), address, rest), "start": F.concat(of(oracles.STARTS, n), rest)}
+    rows = table(spark, sf_dir, "pages").select("page_id", F.explode(F.create_map(*[x for k, u in kinds.items() for x in (F.lit(k), u)])).alias("kind", "url"))
+    return web.public_urls(rows).select("page_id", "kind", "problem")
 
 
 def normalised_text(spark, sf_dir):

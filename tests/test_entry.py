@@ -9,7 +9,7 @@ from quarry.plans import registry
 
 ROOT = pathlib.Path(__file__).parents[1]
 SMALL = pathlib.Path("/root/testdata/sf0.001")
-FEW = ("chunk_windows", "collection_stats", "bm25_topk", "champion_diagnostics", "prf_expansion", "lexical_coverage", "retrieval_metrics", "heat_map", "dedup_sha256", "upsert_vectors", "segment_offsets", "labels_and_formats")
+FEW = ("chunk_windows", "collection_stats", "bm25_topk", "champion_diagnostics", "prf_expansion", "lexical_coverage", "retrieval_metrics", "heat_map", "dedup_sha256", "upsert_vectors", "segment_offsets", "labels_and_formats", "public_urls", "rag_contexts", "highlighted_hits")
 
 
 def test_nothing_else_imports_the_corpus_operators():

@@ -77,7 +77,11 @@ def read_docx(data: bytes) -> tuple[str | None, list[dict], dict[str, str]]:
 
 
 _STRING = re.compile(rb"\(((?:\\.|[^\\()])*)\)|<([0-9A-Fa-f\s]*)>")
-_SHOWN = re.compile(rb"(\[(?:\\.|\((?:\\.|[^\\()])*\)|[^\]])*\]|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)\s*(TJ|Tj|'|\")|(T\*|\b(?:Td|TD|ET|Tm)\b)")
+# a string or an array, perhaps shown, or numbers and an operator that moves
+_STEP = re.compile(rb"(\[(?:\\.|\((?:\\.|[^\\()])*\)|[^\]])*\]|\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)(?:\s*(TJ|Tj|'|\"))?|((?:[-+]?[\d.]+\s+){0,6})(T\*|(?:BT|ET|Tm|Td|TD|TL|cm|q|Q)(?![\w*]))")
+_UNMOVED = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
+#: Texts whose heights differ by less are on one line.
+SAME_LINE = 2.0
 _ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"", b"f": b""}
 
 
@@ -90,14 +94,71 @@ def _literal(found: re.Match) -> str:
     return raw.decode("utf-16-be", "replace") if raw[:2] == b"\xfe\xff" else raw.decode("cp1252", "replace")
 
 
+def _after(m: tuple[float, ...], n: tuple[float, ...]) -> tuple[float, ...]:
+    """The matrix that does m, then n."""
+    return (m[0] * n[0] + m[1] * n[2], m[0] * n[1] + m[1] * n[3], m[2] * n[0] + m[3] * n[2], m[2] * n[1] + m[3] * n[3], m[4] * n[0] + m[5] * n[2] + n[4], m[4] * n[1] + m[5] * n[3] + n[5])
+
+
+def _placed(content: bytes) -> list[tuple[float, float, str]]:
+    """(height, distance from the left, text) of what a page's content shows between moves."""
+    page, line, leading, kept, out, moved = _UNMOVED, _UNMOVED, 0.0, [], [], True
+    for m in _STEP.finditer(content):
+        if m[1]:
+            if not m[2]:
+                continue  # an operand of something else
+            if m[2] in b"'\"":
+                line, moved = _after((*_UNMOVED[:4], 0.0, -leading), line), True
+            said = "".join(_literal(x) for x in _STRING.finditer(m[1]))
+            if moved:
+                *_, x, y = _after(line, page)
+                out.append((y, x, said))
+            else:
+                out[-1] = (*out[-1][:2], out[-1][2] + said)
+            moved = False
+            continue
+        name = m[4]
+        try:
+            told = [float(x) for x in m[3].split()]
+        except ValueError:
+            continue
+        if name == b"q":
+            kept.append(page)
+        elif name == b"Q":
+            page = kept.pop() if kept else page
+        elif name == b"TL":
+            leading = told[-1] if told else leading
+        elif name in (b"Tm", b"cm") and len(told) == 6:
+            line, page = (tuple(told), page) if name == b"Tm" else (line, _after(tuple(told), page))
+        elif name in (b"Td", b"TD") and len(told) >= 2:
+            leading = -told[-1] if name == b"TD" else leading
+            line = _after((*_UNMOVED[:4], *told[-2:]), line)
+        elif name == b"T*":
+            line = _after((*_UNMOVED[:4], 0.0, -leading), line)
+        elif name == b"BT":
+            line = _UNMOVED
+        moved = moved or name not in (b"q", b"Q", b"TL")
+    return [x for x in out if x[2].strip()]
+
+
+def reading_order(content: bytes) -> str:
+    """A page's text from top to bottom, each line from left to right; what stands at one place is a line each, as written."""
+    lines: list[list[tuple[float, float, str]]] = []
+    for piece in sorted(_placed(content), key=lambda p: -p[0]):
+        if lines and lines[-1][0][0] - piece[0] < SAME_LINE and all(piece[1] != p[1] for p in lines[-1]):
+            lines[-1].append(piece)
+        else:
+            lines.append([piece])
+    return "\n".join(" ".join(p[2].strip() for p in sorted(line, key=lambda p: p[1])) if len(line) > 1 else line[0][2] for line in lines)
+
+
 def read_pdf(data: bytes) -> tuple[str | None, list[dict], dict[str, str]]:
-    """(title, one segment a page, metadata) of a simple PDF: text operators of its content streams.
+    """(title, one segment a page, metadata) of a simple PDF: text operators of its content streams, in reading order.
 
     Fonts with encodings of their own need a full parser, which `register_reader` can add.
     """
     if not data.startswith(b"%PDF-"):
         raise UnreadableFile("the PDF file is damaged")
-    if b"/Encrypt" in data:
+    if re.search(rb"/Encrypt\s*(?:\d+\s+\d+\s+R|<<)", re.sub(rb"\bstream\r?\n.*?\bendstream|\((?:\\.|[^\\()])*\)", b"", data, flags=re.S)):
         raise UnreadableFile("the PDF file is protected by a password")
     objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", data, re.S)}
 
@@ -131,15 +192,9 @@ def read_pdf(data: bytes) -> tuple[str | None, list[dict], dict[str, str]]:
         raise UnreadableFile("the PDF file is damaged")
     segments = []
     for i, page in enumerate(pages(root)):
-        lines = [""]
         found = re.search(rb"/Contents\s*(\[.*?\]|\d+\s+\d+\s+R)", page, re.S)
-        for number in re.findall(rb"(\d+)\s+\d+\s+R", found[1]) if found else ():
-            for m in _SHOWN.finditer(stream(objects.get(int(number), b""))):
-                if m[3]:
-                    lines.append("")
-                else:
-                    lines[-1] += "".join(_literal(x) for x in _STRING.finditer(m[1]))
-        segments.append(_segment("\n".join(x for x in lines if x.strip()), page=i + 1, page_index=i))
+        parts = re.findall(rb"(\d+)\s+\d+\s+R", found[1]) if found else ()
+        segments.append(_segment(reading_order(b"\n".join(stream(objects.get(int(n), b"")) for n in parts)), page=i + 1, page_index=i))
     told = {k: _literal(_STRING.match(m[1])) for k in ("Title", "Author", "Subject", "Keywords") if (m := re.search(rb"/" + k.encode() + rb"\s*(\((?:\\.|[^\\()])*\)|<[0-9A-Fa-f\s]*>)", data, re.S))}
     return told.get("Title"), segments, {"page_count": str(len(segments))} | {k.lower(): v for k, v in told.items() if k != "Title"}
 

@@ -265,6 +265,18 @@ def test_files():
             files.read_document(name, data)
 
 
+def test_pages_are_read_from_top_to_bottom():
+    content = rb"""q 1 0 0 1 0 100 cm BT 1 0 0 1 72 20 Tm (foot) Tj ET Q
+BT /F1 9 Tf 1 0 0 1 300 700 Tm (right) Tj 1 0 0 1 72 700.5 Tm (le) Tj [(f) -20 (t)] TJ 12 TL T* (below) Tj (next) ' 0 -12 TD (then) Tj T* (last) Tj ET
+/Span << /ActualText (Q Td not shown) >> BDC BT 72 750 Td (he\(a\)d) Tj ET"""
+    assert files.reading_order(content) == "he(a)d\nleft right\nbelow\nnext\nthen\nlast\nfoot"
+    assert files.reading_order(b"") == "" and files.reading_order(b"BT (a) Tj T* (b) Tj ET") == "a\nb"
+    words = pdf("/Encrypt 1 0 R is a word of this page")
+    assert "/Encrypt" in files.read_document("w.pdf", words)["segments"][0]["text"]
+    with pytest.raises(files.UnreadableFile, match="password"):
+        files.read_document("w.pdf", words.replace(b"trailer <<", b"trailer << /Encrypt 9 0 R"))
+
+
 def test_web():
     title, text = web.main_text("<html><head><title> A  b </title><script>x</script></head><body><nav>menu</nav><div class='ad'>buy</div><article><h1>Head</h1><p>One<p>Two &amp; three<table><tr><td>a<td>b</table></article></body>")
     assert title == "A b" and "menu" not in text and "buy" not in text and text.startswith("Head") and "Two & three" in text and "a | b" in text

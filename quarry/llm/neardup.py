@@ -43,6 +43,8 @@ HELD = 4096  # nodes of a region that are compared; a larger region is a candida
 CELL = 256
 #: Members of a split group whose shingles tell which are rare in it.
 SAMPLED = 32
+#: Short rows in a file of a table of nodes or links, and how many files such a table may have however short it is.
+FILE_ROWS, FILES = 100_000, 32
 
 _random = np.random.default_rng(20240229)
 _BYTE = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -201,10 +203,10 @@ def region_links(nodes: np.ndarray, values: np.ndarray, agree: int, small: int)
     return out
 
 
-def forest_links(classes: DataFrame, trees: int, agree: int) -> DataFrame:
+def forest_links(classes: DataFrame, nodes: int, trees: int, agree: int) -> DataFrame:
     """(a, b): candidate links from all sorted orders."""
     spark = classes.sparkSession
-    parts = parts_for(spark, classes.count() * trees, 200_000)
+    parts = parts_for(spark, nodes * trees, 200_000)
     small, most = REGION, HELD  # workers get them from here
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -268,28 +270,32 @@ def forest_links(classes: DataFrame, trees: int, agree: int) -> DataFrame:
     return found.filter("b is not null").select("a", "b").unionByName(across.select(F.col("least").alias("a"), F.col("node").alias("b")))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, label) of every linked node: equal labels where links lead. Contracts links round by round."""
+def _short(df: DataFrame, rows: int, label: str) -> DataFrame:
+    """df, of about so many short rows, written as files of FILE_ROWS rather than one for each shuffle partition."""
+    return materialize(df.coalesce(max(FILES, -(-rows // FILE_ROWS))), label)
+
+
+def components(links: DataFrame, nodes: int) -> DataFrame:
+    """(node, label) of every linked node, of so many at most: equal labels where links lead. Contracts links round by round."""
     pairs = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    left = materialize(links.filter("a != b").select(*pairs("a", "b")).distinct(), "contract")
+    left = _short(links.filter("a != b").select(*pairs("a", "b")).distinct(), nodes, "contract")
     labels = None
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy("a").agg(F.least("a", F.min("b")).alias("up"))
-        up = materialize(up, "up")
         twice = up.alias("x").join(up.alias("y"), F.col("x.up") == F.col("y.a")).select("x.a", "y.up")
-        hooks = materialize(twice, "hooks")
+        hooks = _short(twice, nodes, "hooks")
         if labels is None:
             labels = hooks.select(F.col("a").alias("node"), F.col("up").alias("label"))
         else:
             labels = labels.join(hooks, labels["label"] == hooks["a"], "left").select("node", F.coalesce("up", "label").alias("label"))
         one = left.join(hooks, "a").select(F.col("up").alias("x"), "b")
         two = one.join(hooks.withColumnRenamed("a", "b"), "b").select("x", F.col("up").alias("y")).filter("x != y")
-        done, left = left, materialize(two.select(*pairs("x", "y")).distinct(), "contract")
-        released(done, up)
+        done, left = left, _short(two.select(*pairs("x", "y")).distinct(), nodes, "contract")
+        released(done)
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return materialize(labels, "labels")
+    return _short(labels, nodes, "labels")
 
 
 class Index:
@@ -413,12 +419,13 @@ def _prefixes(batches: Iterator[pa.RecordBatch], similarity: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), rows[0]["label"])), pa.array(np.concatenate(shingles)), pa.array(found)], names=["label", "shingle", "node"])
 
 
-def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+def exact_components(classes: DataFrame, nodes: int, groups: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     """(node, label) by exact links within candidate groups."""
     spark = docs.sparkSession
-    members = materialize(groups.join(classes, "node").select("label", "node", "doc", "values"), "members")
-    counts = materialize(members.groupBy("label").agg(F.count("*").alias("n")), "counts")
-    parts = parts_for(spark, members.count(), 4096)
+    members = _short(groups.join(classes, "node").select("label", "node", "doc", "values"), nodes, "members")
+    n_members = members.count()
+    counts = _short(members.groupBy("label").agg(F.count("*").alias("n")), n_members, "counts")
+    parts = parts_for(spark, n_members, 4096)
     big = counts.filter(F.col("n") > CELL).withColumn("cells", F.ceil(F.col("n") / CELL).cast("int"))
     any_big = not big.isEmpty()
     small_batches(spark)
@@ -440,11 +447,11 @@ def exact_components(classes: DataFrame, groups: DataFrame, docs: DataFrame, sim
     # a node of a split group may be in several cells, and what they say is joined
     in_big = many.select("node").distinct()
     said = found.join(in_big, found["a"] == in_big["node"], "left_semi")
-    joined = components(said)
+    joined = components(said, n_members)
     classes_now = many.join(joined.withColumnRenamed("label", "class"), "node", "left").withColumn("class", F.coalesce("class", "node"))
     classes_now = materialize(classes_now, "classes_now")
     more = _links_apart(classes_now, every, similarity, parts)
-    final = components(more)
+    final = components(more, n_members)
     merged = classes_now.join(final.withColumnRenamed("node", "class").withColumnRenamed("label", "last"), "class", "left").select("node", F.coalesce("last", "class").alias("label"))
     return labels.join(in_big, "node", "left_anti").unionByName(merged)
 
@@ -511,13 +518,14 @@ def _traced(docs: DataFrame, similarity: int) -> DataFrame:
     rows = materialize(sketches(docs, trees), "sketches")
     known = rows.filter("node is not null and doc_id is not null")
     classes = materialize(known.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("regions").alias("regions"), F.first("values").alias("values")), "classes")
-    groups = components(forest_links(classes, trees, agree))
-    labels = exact_components(classes, groups, docs, similarity)
+    nodes = classes.count()
+    groups = components(forest_links(classes, nodes, trees, agree), nodes)
+    labels = exact_components(classes, nodes, groups, docs, similarity)
     # roots: the smallest doc_id of each label; nodes without candidates are their own
     own = classes.join(labels, "node", "left").select("node", "doc", F.coalesce("label", "node").alias("label"))
-    own = materialize(own, "own")
+    own = _short(own, nodes, "own")
     least = own.groupBy("label").agg(F.min("doc").alias("component_id"))
-    of_node = materialize(own.join(least, "label").select("node", "label", "component_id"), "of_node")
+    of_node = _short(own.join(least, "label").select("node", "label", "component_id"), nodes, "of_node")
     out = rows.join(of_node, "node", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "digest", "n_shingles", "label", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

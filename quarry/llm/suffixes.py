@@ -11,7 +11,8 @@ window share an anchor in it at the same offset.
 3. Around each anchor that is left a block sees its contexts, 32 bytes to either side at
    most: the windows whose least hash it has. A block sends each distinct context once,
    with the least and the greatest doc_id that it has there; where they occur stays with
-   the block, in a few bytes each.
+   the block, in a few bytes each. Where contexts would weigh much of what the texts do,
+   hash ranges take turns, so that only one turn's contexts are under way at a time.
 4. Contexts of an anchor range are suffix-sorted: multikey quicksort over 8-byte
    characters to a shallow depth, then blind tries for what is still tied. Equal contexts
    show directly which bytes go; contexts that share an anchor but differ are compared, two
@@ -29,7 +30,10 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +48,15 @@ WINDOW = 50
 ANCHOR = 18
 SIDE = WINDOW - ANCHOR
 BLOCK_BYTES = 4 << 20
-#: An anchor in more blocks than this sends windows instead of contexts.
-HOT_BLOCKS = 512
 #: Bytes of a sort key: anchor, right side, reversed left side, both lengths, zero padding.
 ROW = 88
+#: An anchor in more blocks than this sends windows instead of contexts: its contexts, one a block, would outweigh
+#: a block. Windows take some 30 times the room of contexts, so lines that many documents have are no reason for them.
+HOT_BLOCKS = BLOCK_BYTES // ROW
+#: What the contexts of a turn may weigh, of the weight of all texts, and about what those of an anchor in a block weigh when sent.
+TURN_SHARE, SENT_BYTES = 0.5, 80
+#: Contexts that are always sent in one turn.
+TURN_LEAST = 64 << 20
 #: Windows that are sorted at once.
 WINDOW_ROWS = 1 << 18
 SHALLOW = 2  # 8-byte characters that multikey quicksort looks at
@@ -520,7 +529,8 @@ def _meet(blocks: DataFrame, said: DataFrame, parts: int) -> DataFrame:
 
 
 #: Kinds of rows that meet a block: itself, hashes it shares, where its contexts are, what these lose; the same of windows.
-BLOCK, SHARED, PLACES, LOST, WINDOW_PLACES, WINDOWS_LOST = range(6)
+#: Those of a later turn are as many times KINDS higher.
+BLOCK, SHARED, PLACES, LOST, WINDOW_PLACES, WINDOWS_LOST = range(KINDS := 6)
 _SAID = "block long, kind int, data binary"
 
 
@@ -544,6 +554,11 @@ def _unpack_places(data: bytes) -> np.ndarray:
     return np.stack([kind.astype(np.int64), *(np.cumsum(x, dtype=np.int64) for x in steps)], 1)
 
 
+def turns(shared_bytes: int, text_bytes: int) -> int:
+    """In how many turns contexts are sent, from the bytes of all blocks' shared hashes, 8 each, and of all texts."""
+    return max(1, math.ceil(shared_bytes / 8 * SENT_BYTES / max(TURN_SHARE * text_bytes, TURN_LEAST)))
+
+
 def dedup(docs: DataFrame, with_rows: bool = False) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with_rows: the rows themselves, cut.
 
@@ -577,43 +592,50 @@ def _dedup(docs: DataFrame, with_rows: bool) -> DataFrame:
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _groups(batches):
             got = shared_hashes([np.frombuffer(r["data"], np.uint64) for r in rows], hot_blocks)
-            if out := [(r["block"], SHARED, g.tobytes(), bool((g & np.uint64(1)).any())) for r, g in zip(rows, got, strict=True) if len(g)]:
-                yield _rows("block kind data hot", [pa.int64(), pa.int32(), pa.binary(), pa.bool_()], out)
+            if out := [(r["block"], SHARED, g.tobytes(), bool((g & np.uint64(1)).any()), r["bucket"]) for r, g in zip(rows, got, strict=True) if len(g)]:
+                yield _rows("block kind data hot bucket", [pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.int64()], out)
 
     by_range = blocks.select("block", "payload").mapInArrow(hashes, "bucket long, block long, data binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
-    common = materialize(by_range.mapInArrow(shared, f"{_SAID}, hot boolean"), "shared", "none")
-
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct contexts to their hash range; places pass that step by, under a key of their own."""
-        for block, rows in _groups(batches):
-            if len(rows) > 1:
-                row, key, low, high, found = contexts(rows[0]["data"], np.concatenate([np.frombuffer(r["data"], np.uint64) for r in rows[1:]]))
-                if len(row):
-                    out = [(b, block, SHARED, _bytes(row[part], _narrow(part), low[part], high[part])) for b, part in _by_bucket(_bucket(key, buckets))]
-                    yield _rows("bucket block kind data", [pa.int64(), pa.int64(), pa.int32(), pa.binary()], [*out, (-1 - block, block, PLACES, _pack_places(found))])
-
-    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in _groups(batches):
-            if bucket < 0:
-                yield _said([(r["block"], r["kind"], r["data"]) for r in rows])
-                continue
-            parts_ = [_arrays(r["data"], 4) for r in rows]
-            sender = np.repeat(np.arange(len(rows)), [len(x[0]) for x in parts_])
-            context = np.concatenate([x[1] for x in parts_])
-            lost = removals(*(np.concatenate([x[i] for x in parts_]) for i in (0, 2, 3)))
-            lost = lost[np.argsort(sender[lost[:, 0]], kind="stable")]
-            edges = np.searchsorted(sender[lost[:, 0]], np.arange(len(rows) + 1))
-            out = []
-            for i, r in enumerate(rows):
-                own = lost[edges[i] : edges[i + 1]]
-                if len(own):
-                    out.append((r["block"], LOST, _bytes(_narrow(context[own[:, 0]]), own[:, 1].astype(np.int16), own[:, 2].astype(np.int16), own[:, 3])))
-            if out:
-                yield _said(out)
-
-    sent = _meet(blocks, common, parts).mapInArrow(send, "bucket long, block long, kind int, data binary")
-    sorted_ = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, _SAID)
-    runs = materialize(sorted_, "runs", "none")
+    common = materialize(by_range.mapInArrow(shared, f"{_SAID}, hot boolean, bucket long"), "shared", "none")
+    n_turns = turns(common.agg(F.sum(F.octet_length("data"))).first()[0] or 0, total)
+
+    def runs_of(turn: int) -> DataFrame:
+        """Where the contexts of a turn's hash ranges are, and what these lose."""
+
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Distinct contexts to their hash range; places pass that step by, under a key of their own."""
+            for block, rows in _groups(batches):
+                if len(rows) > 1:
+                    row, key, low, high, found = contexts(rows[0]["data"], np.concatenate([np.frombuffer(r["data"], np.uint64) for r in rows[1:]]))
+                    if len(row):
+                        out = [(b, block, SHARED, _bytes(row[part], _narrow(part), low[part], high[part])) for b, part in _by_bucket(_bucket(key, buckets))]
+                        yield _rows("bucket block kind data", [pa.int64(), pa.int64(), pa.int32(), pa.binary()], [*out, (-1 - block, block, PLACES + KINDS * turn, _pack_places(found))])
+
+        def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for bucket, rows in _groups(batches):
+                if bucket < 0:
+                    yield _said([(r["block"], r["kind"], r["data"]) for r in rows])
+                    continue
+                parts_ = [_arrays(r["data"], 4) for r in rows]
+                sender = np.repeat(np.arange(len(rows)), [len(x[0]) for x in parts_])
+                context = np.concatenate([x[1] for x in parts_])
+                lost = removals(*(np.concatenate([x[i] for x in parts_]) for i in (0, 2, 3)))
+                lost = lost[np.argsort(sender[lost[:, 0]], kind="stable")]
+                edges = np.searchsorted(sender[lost[:, 0]], np.arange(len(rows) + 1))
+                out = []
+                for i, r in enumerate(rows):
+                    own = lost[edges[i] : edges[i + 1]]
+                    if len(own):
+                        out.append((r["block"], LOST + KINDS * turn, _bytes(_narrow(context[own[:, 0]]), own[:, 1].astype(np.int16), own[:, 2].astype(np.int16), own[:, 3])))
+                if out:
+                    yield _said(out)
+
+        some = common if n_turns == 1 else common.filter(F.col("bucket") % n_turns == turn)
+        sent = _meet(blocks, some, parts).mapInArrow(send, "bucket long, block long, kind int, data binary")
+        sorted_ = sent.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(sort, _SAID)
+        return materialize(sorted_, "runs", "none")  # what it shuffled goes before the next turn starts
+
+    runs = reduce(DataFrame.unionByName, [runs_of(turn) for turn in range(n_turns)])
     if not common.filter("hot").isEmpty():
         runs = runs.unionByName(_hot_runs(blocks, common.filter("hot"), parts))
 
@@ -624,10 +646,13 @@ def _dedup(docs: DataFrame, with_rows: bool) -> DataFrame:
         for _, rows in _groups(batches):
             whole = _unpack(rows[0]["data"])
             keys, texts = _texts(whole)
-            cuts, by_kind = Cuts(keys, [len(t) for t in texts]), {k: [r["data"] for r in rows if r["kind"] == k] for k in (PLACES, LOST, WINDOW_PLACES, WINDOWS_LOST)}
-            if by_kind[LOST]:
-                lost = np.concatenate([np.stack([x.astype(np.int64) for x in _arrays(d, 4)], 1) for d in by_kind[LOST]])
-                cuts.contexts(_unpack_places(by_kind[PLACES][0]), lost)
+            cuts, by_kind = Cuts(keys, [len(t) for t in texts]), defaultdict(list)
+            for r in rows:
+                by_kind[r["kind"]].append(r["data"])
+            for turn in range(n_turns):
+                if data := by_kind[LOST + KINDS * turn]:
+                    lost = np.concatenate([np.stack([x.astype(np.int64) for x in _arrays(d, 4)], 1) for d in data])
+                    cuts.contexts(_unpack_places(by_kind[PLACES + KINDS * turn][0]), lost)
             if by_kind[WINDOWS_LOST]:
                 lost = np.concatenate([np.stack(_arrays(d, 2), 1) for d in by_kind[WINDOWS_LOST]])
                 cuts.windows(_arrays(by_kind[WINDOW_PLACES][0], 1)[0], lost)

@@ -101,6 +101,25 @@ def test_suffixes_match_brute_force(spark, monkeypatch, hot, size):
     assert got == brute_removed(rows)
 
 
+def test_contexts_are_sent_in_turns_of_hash_ranges(spark, monkeypatch):
+    """Several turns give what one gives, and a line in hundreds of blocks sends contexts, not windows."""
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", 1000)
+    monkeypatch.setattr(suffixes, "TURN_LEAST", 1)
+    monkeypatch.setattr(suffixes, "TURN_SHARE", 0.5)
+    made, write = [], suffixes.materialize
+    of = lambda df, label, *a: made.append(label) or write(df, label, *a)
+    monkeypatch.setattr(suffixes, "materialize", of)
+    rows = passages(5)
+    assert sorted((tuple(r) for r in suffixes.dedup(texts(spark, rows)).collect()), key=str) == brute_removed(rows)
+    assert made.count("runs") > 1
+    rng, line, made[:] = random.Random(4), "all rights are reserved by those who wrote these many lines; " * 2, []
+    rows = [(d, f"{line}{''.join(rng.choices('abcdefgh ', k=900))}") for d in range(600)]
+    assert sorted((tuple(r) for r in suffixes.dedup(texts(spark, rows)).collect()), key=str) == brute_removed(rows)
+    assert "windows" not in made
+    # figures of a corpus: contexts of no turn weigh more than half of the texts
+    assert suffixes.turns(0, 0) == 1 and suffixes.turns(8 * 10**8, 10**10) == 2
+
+
 def test_a_passage_of_a_third_of_all_documents_is_sent_once_a_block(spark, monkeypatch):
     """Blocks send a context once, with the least and greatest doc_id, however many documents have it."""
     rng = random.Random(9)

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from quarry.config import B, K1, check_bm25, check_choice, check_top_k
 from quarry.functions import text as X
 from quarry.functions.stem import stems
-from quarry.operators.index import Index, bm25_idf, in_order, tf_weight, tfidf_idf
+from quarry.operators.index import Built, Index, bm25_idf, in_order, tf_weight, tfidf_idf
 
 #: Query terms up to this many rows are broadcast; beyond, the join shuffles.
 BROADCAST_TERMS = 100_000
@@ -64,6 +64,25 @@ def meet(table: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return table.join(F.broadcast(small), key)
 
 
+def by_term(index: Index | Built, want: DataFrame, *more: str) -> DataFrame:
+    """want (query_id, term, ...) with term, chunk_id, document_id, tf and, of df, length and norm, what `more` names."""
+    if isinstance(index, Index):
+        return meet(index.scored.select("term", "chunk_id", "document_id", "tf", *more), want, "term")
+    if "df" in more:
+        want = want.join(index.terms, "term")
+    met = meet(index.postings.select("term", "chunk_id", "document_id", "tf"), want, "term")
+    if "length" in more:
+        met = met.join(index.lengths.select("chunk_id", "length"), "chunk_id")
+    return met.join(index.norms, "chunk_id") if "norm" in more else met
+
+
+def by_chunk(index: Index | Built, want: DataFrame) -> DataFrame:
+    """want (query_id, chunk_id, ...) with the term, tf and df of each posting of the chunk."""
+    if isinstance(index, Index):
+        return meet(index.forward.select("term", "chunk_id", "tf", "df"), want, "chunk_id")
+    return meet(index.postings.select("term", "chunk_id", "tf"), want, "chunk_id").join(index.terms, "term")
+
+
 def known_terms(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, term, weight (1.0), qtf, df of terms that are in the index."""
     return meet(index.terms, query_terms(queries, index), "term").select("query_id", "term", "qtf", "df")
@@ -87,13 +106,13 @@ def candidates(terms: DataFrame, index: Index, top_k: int, mode: str, fallback:
     if not fallback:
         return short
     enough = short.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= top_k).select("query_id")
-    full = meet(index.scored.select("term", "chunk_id"), own.join(enough, "query_id", "left_anti"), "term").select("query_id", "chunk_id").distinct()
+    full = by_term(index, own.join(enough, "query_id", "left_anti")).select("query_id", "chunk_id").distinct()
     return short.join(enough, "query_id", "left_semi").unionByName(full)
 
 
-def _hits(weighted: DataFrame, index: Index, contribution: Column, top_k: int, chosen: DataFrame | None) -> DataFrame:
-    """Scores of query terms over postings, best top_k of each query."""
-    met = meet(index.scored, weighted, "term")
+def _hits(weighted: DataFrame, index: Index, contribution: Column, top_k: int, chosen: DataFrame | None, *more: str) -> DataFrame:
+    """Scores of query terms over postings, best top_k of each query; contribution is made of tf, df and `more`."""
+    met = by_term(index, weighted, "df", *more)
     if chosen is not None:
         met = met.join(chosen, ["query_id", "chunk_id"], "left_semi")
     met = met.join(F.broadcast(index.stats))  # one row
@@ -124,7 +143,7 @@ def search_weighted_tfidf(weights: DataFrame, index: Index, top_k: int = 10, mod
     chosen = candidates(live.filter("w > 0"), index, top_k, mode, fallback)
     doc_weight = tf_weight(F.col("tf")) * tfidf_idf(F.col("df"), F.col("n_chunks"))
     contribution = F.col("w") * doc_weight / (F.col("qnorm") * F.col("norm"))
-    return _hits(full, index, contribution, top_k, chosen)
+    return _hits(full, index, contribution, top_k, chosen, "norm")
 
 
 def search_tfidf(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "champion", fallback: bool = True) -> DataFrame:
@@ -145,7 +164,7 @@ def search_weighted_bm25(weights: DataFrame, index: Index, top_k: int = 10, mode
     check_bm25(k1, b)
     live, _ = held(weights.filter("w != 0").select("query_id", "term", "w"))
     chosen = candidates(live.filter("w > 0"), index, top_k, mode, fallback)
-    return _hits(live, index, _bm25_part(F.lit(float(k1)), F.lit(float(b))), top_k, chosen)
+    return _hits(live, index, _bm25_part(F.lit(float(k1)), F.lit(float(b))), top_k, chosen, "length")
 
 
 def search_bm25(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "champion", fallback: bool = True, k1: float = K1, b: float = B) -> DataFrame:
@@ -159,7 +178,7 @@ def sweep_bm25(queries: DataFrame, index: Index, grid: list[tuple[float, float]]
     for k1, b in grid:
         check_bm25(k1, b)
     weights = known_terms(queries, index).select("query_id", "term", F.col("qtf").cast("double").alias("w"))
-    met = meet(index.scored, weights, "term").join(F.broadcast(index.stats))  # one row
+    met = by_term(index, weights, "df", "length").join(F.broadcast(index.stats))  # one row
     met = met.withColumn("base", F.col("w") * bm25_idf(F.col("df"), F.col("n_chunks")))
     parts = F.array_sort(F.collect_list(F.struct("term", "base", F.col("tf").cast("double").alias("tf"))))
     grouped = met.groupBy("query_id", "chunk_id", "document_id").agg(parts.alias("parts"), (F.first("length") / F.first("avg_length")).alias("share"))
@@ -180,7 +199,7 @@ def diagnostics(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "
     _checked(top_k, mode)
     terms = known_terms(queries, index)
     total = terms.groupBy("query_id").agg(F.sum("df").alias("postings_available"), F.sum(F.least("df", F.lit(index.champion_size))).alias("champion_postings"))
-    every = meet(index.scored.select("term", "chunk_id"), terms.select("query_id", "term"), "term").select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("all_candidates"))
+    every = by_term(index, terms.select("query_id", "term")).select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("all_candidates"))
     short = candidates(terms, index, top_k, "champion", False).groupBy("query_id").agg(F.count("*").alias("champion_candidates"))
     rows = queries.select("query_id").join(total, "query_id", "left").join(every, "query_id", "left").join(short, "query_id", "left").fillna(0)
     fell = F.lit(mode == "champion" and fallback) & (F.col("champion_candidates") < top_k)

@@ -412,3 +412,14 @@ def test_evaluation_over_a_folder(spark, tmp_path):
 def test_empty_tables(spark):
     built = index.build(spark.createDataFrame([], "document_id string, chunk_id string, text string"))
     assert built.stats.first()["n_chunks"] == 0 and lexical.search_bm25(ask(spark, "x"), built, 3).isEmpty() and lexical.search_tfidf(ask(spark, "x"), built, 3, "exact").isEmpty()
+
+
+def test_a_search_makes_only_the_tables_it_needs(spark):
+    """What build returns ranks as written tables do, and leaves out norms and postings in ranges where nothing asks for them."""
+    built = index.build(corpus(spark, *[(f"c-{i}", f"signal word{i % 3} ranking") for i in range(9)]))
+    assert not {"lengths", "terms", "norms", "scored"} & set(vars(built))
+    asked = spark.createDataFrame([(1, "signal word1 nowhere")], "query_id long, text string")
+    hits = lambda i: [(r["rank"], r["chunk_id"], r["score"]) for r in lexical.search_bm25(asked, i, 4, "exact").orderBy("rank").collect()]
+    got = hits(built)
+    assert not {"norms", "champions", "forward", "scored"} & set(vars(built))
+    assert got == hits(index.derive(built.postings, built.lengths)) and [x[1] for x in got[:3]] == ["c-1", "c-4", "c-7"]

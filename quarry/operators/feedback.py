@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from quarry.config import ALPHA, B, BETA, EXPANSION_TERMS, FEEDBACK_DOCS, K1, check_choice, check_prf
 from quarry.operators.index import Index, in_order, tf_weight, tfidf_idf
-from quarry.operators.lexical import TIE_DECIMALS, by_chunk, search_bm25, search_tfidf, search_weighted_bm25, search_weighted_tfidf, tfidf_weights
+from quarry.operators.lexical import TIE_DECIMALS, by_chunk, figures, search_bm25, search_tfidf, search_weighted_bm25, search_weighted_tfidf, tfidf_weights
 from quarry.sources.work import written
 
 
@@ -18,7 +18,7 @@ def centroids(feedback: DataFrame, index: Index) -> DataFrame:
     """query_id, term, mean: the mean TF-IDF vector of each query's feedback chunks (query_id, chunk_id)."""
     counted = feedback.groupBy("query_id").agg(F.count("*").alias("n_feedback"))
     chosen = feedback.join(counted, "query_id").select("query_id", "chunk_id", "n_feedback")
-    vectors = by_chunk(index, chosen).join(F.broadcast(index.stats.select("n_chunks")))
+    vectors = by_chunk(index, chosen).join(F.broadcast(figures(index).select("n_chunks")))
     vectors = vectors.withColumn("w", tf_weight(F.col("tf")) * tfidf_idf(F.col("df"), F.col("n_chunks")))
     return vectors.groupBy("query_id", "term").agg((in_order("w", "chunk_id") / F.first("n_feedback")).alias("mean"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from quarry.config import ARM_DEPTH, COVERAGE_FLOOR, DENSE_FLOOR, IDF_COVERAGE_FLOOR, RRF_K, require
 from quarry.functions import text as X
 from quarry.operators.index import Index, bm25_idf, in_order
-from quarry.operators.lexical import TIE_DECIMALS, as_indexed, ranked
+from quarry.operators.lexical import TIE_DECIMALS, as_indexed, figures, ranked, with_df
 
 
 def first_ranks(hits: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def to_hydrate(fused_hits: DataFrame, dense: DataFrame) -> DataFrame:
 def evidence_terms(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, term, idf of distinct query terms of any length; terms outside the index have df 0, and so the largest idf."""
     terms = as_indexed(queries.select("query_id", F.explode(F.array_distinct(X.terms(F.col("text"), 1))).alias("term")), index).distinct()
-    rows = terms.join(index.terms, "term", "left").join(F.broadcast(index.stats.select("n_chunks")))
+    rows = with_df(index, terms, "left").join(F.broadcast(figures(index).select("n_chunks")))
     return rows.select("query_id", "term", bm25_idf(F.coalesce(F.col("df"), F.lit(0)), F.col("n_chunks")).alias("idf"))
 
 

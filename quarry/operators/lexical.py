@@ -3,14 +3,19 @@
 Queries are rows (query_id, text); a single query is a batch of one. Query terms meet
 postings by term, what they score is summed per (query, chunk) in term order, and the best
 k of each query are kept by a window whose limit Spark also applies before the shuffle.
+A batch of many terms over a `Built` index has a task pass on only what may be among the best.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,7 +23,8 @@ from pyspark.sql import Window as W
 from quarry.config import B, K1, check_bm25, check_choice, check_top_k
 from quarry.functions import text as X
 from quarry.functions.stem import stems
-from quarry.operators.index import Built, Index, bm25_idf, in_order, tf_weight, tfidf_idf
+from quarry.operators.index import Built, Index, bm25_idf, champions_of, in_order, matched, tf_weight, tfidf_idf
+from quarry.sources.work import python_ready
 
 #: Query terms up to this many rows are broadcast; beyond, the join shuffles.
 BROADCAST_TERMS = 100_000
@@ -26,6 +32,10 @@ BROADCAST_TERMS = 100_000
 PUSHED_VALUES = 64
 #: Scores that agree in this many decimals are ties, which go to the smaller id.
 TIE_DECIMALS = 9
+#: What a task's scores may be off, in parts of the score or of 1, beyond what rounding to TIE_DECIMALS moves them.
+SLACK = 1e-8
+#: Scores, of chunks by queries, that a task holds at once.
+SCORES_AT_ONCE = 1 << 18
 
 
 def as_indexed(rows: DataFrame, index: Index | None) -> DataFrame:
@@ -64,15 +74,33 @@ def meet(table: DataFrame, df: DataFrame, key: str) -> DataFrame:
     return table.join(F.broadcast(small), key)
 
 
+def figures(index: Index | Built) -> DataFrame:
+    """One row: n_chunks, avg_length."""
+    return index.stats.select("n_chunks", "avg_length") if isinstance(index, Index) else index.figures
+
+
+def with_df(index: Index | Built, rows: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (term, ...) with the df of terms that are in the index; others go, or stay without if joined left."""
+    if isinstance(index, Built):
+        _, got = held(rows.select("term").distinct())
+        if got is not None:
+            return rows.join(F.broadcast(index.df_of(got.column("term").to_pylist())), "term", how)
+    return rows.join(index.terms, "term", how)
+
+
 def by_term(index: Index | Built, want: DataFrame, *more: str) -> DataFrame:
     """want (query_id, term, ...) with term, chunk_id, document_id, tf and, of df, length and norm, what `more` names."""
     if isinstance(index, Index):
         return meet(index.scored.select("term", "chunk_id", "document_id", "tf", *more), want, "term")
+    small, got = held(want)
     if "df" in more:
-        want = want.join(index.terms, "term")
-    met = meet(index.postings.select("term", "chunk_id", "document_id", "tf"), want, "term")
-    if "length" in more:
-        met = met.join(index.lengths.select("chunk_id", "length"), "chunk_id")
+        small = with_df(index, small)
+    if got is None:
+        met = index.counted.join(small, "term")
+        met = met.join(index.lengths.select("chunk_id", "length"), "chunk_id") if "length" in more else met
+    else:
+        rows = index.entries([t for t in got.column("term").unique().to_pylist() if t is not None])
+        met = meet(rows if "length" in more else rows.drop("length"), small, "term")
     return met.join(index.norms, "chunk_id") if "norm" in more else met
 
 
@@ -80,12 +108,141 @@ def by_chunk(index: Index | Built, want: DataFrame) -> DataFrame:
     """want (query_id, chunk_id, ...) with the term, tf and df of each posting of the chunk."""
     if isinstance(index, Index):
         return meet(index.forward.select("term", "chunk_id", "tf", "df"), want, "chunk_id")
-    return meet(index.postings.select("term", "chunk_id", "tf"), want, "chunk_id").join(index.terms, "term")
+    met = meet(index.bags.select("chunk_id", "terms", "tfs"), want, "chunk_id").withColumn("p", F.explode(F.arrays_zip("terms", "tfs")))
+    return with_df(index, met.withColumn("term", F.col("p.terms")).withColumn("tf", F.col("p.tfs")).drop("p", "terms", "tfs"))
 
 
-def known_terms(queries: DataFrame, index: Index) -> DataFrame:
+def known_terms(queries: DataFrame, index: Index | Built) -> DataFrame:
     """query_id, term, weight (1.0), qtf, df of terms that are in the index."""
-    return meet(index.terms, query_terms(queries, index), "term").select("query_id", "term", "qtf", "df")
+    asked = query_terms(queries, index)
+    return (meet(index.terms, asked, "term") if isinstance(index, Index) else with_df(index, held(asked)[0])).select("query_id", "term", "qtf", "df")
+
+
+def _expanded(row: np.ndarray, place: np.ndarray, starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each (row, place) and each weight of that place: which of the former, and which weight."""
+    n = starts[place + 1] - starts[place]
+    which = np.repeat(np.arange(len(row)), n)
+    return which, of[np.repeat(starts[place] - (np.cumsum(n) - n), n) + np.arange(len(which))]
+
+
+@dataclass(frozen=True)
+class _Asked:
+    """Weights (query, term, base) by term: those of terms[i] are of[starts[i]:starts[i + 1]]."""
+
+    terms: list[str]
+    starts: np.ndarray
+    of: np.ndarray
+    query: np.ndarray
+    base: np.ndarray
+    n_queries: int
+
+    @classmethod
+    def made(cls, got: pa.Table) -> _Asked:
+        terms = sorted(t for t in got.column("term").unique().to_pylist() if t is not None)
+        place = pc.index_in(got.column("term").combine_chunks(), value_set=pa.array(terms, pa.string())).fill_null(len(terms)).to_numpy(zero_copy_only=False)
+        query = got.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        of = np.argsort(place, kind="stable")
+        starts = np.searchsorted(place[of], np.arange(len(terms) + 1))
+        base = got.column("base").to_numpy() if "base" in got.column_names else np.ones(len(place))
+        return cls(terms, starts, of, query, base, int(query.max()) + 1)
+
+    def slices(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        size = max(1, min(256, SCORES_AT_ONCE // self.n_queries))
+        return (batch.slice(at, size) for at in range(0, batch.num_rows, size))
+
+
+def contenders(bags: DataFrame, got: pa.Table, factor: Callable[[np.ndarray, np.ndarray], np.ndarray], top_k: int) -> DataFrame:
+    """wn, chunk_id, document_id, tf and the fifth column of bags, for chunks that may be among the top_k of a query.
+
+    got has weights (query_id, term, base), wn is a place in it. A score is the sum of base
+    times factor(tf, fifth column). A task keeps, of each query, its chunks whose score reaches
+    its k-th best but for SLACK; of chunks that score by the same counts, those of the
+    smallest ids. So what it drops has k others before it, whatever the last digits are.
+    """
+    python_ready(bags.sparkSession)
+    asked = _Asked.made(got)
+    fifth = bags.columns[4]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = pa.array(asked.terms, pa.string())
+        floor = np.full(asked.n_queries, -np.inf)
+        kept: list[tuple] = []  # query, -score, chunk_id, document_id, wns, tfs, fifth
+        fresh, limit = 0, 4 * asked.n_queries * top_k + 1000
+        plain = bool((asked.base > 0).all())
+
+        def thinned() -> list[tuple]:
+            out, q, n, worst, same = [], None, 0, 0.0, {}
+            for x in sorted(kept, key=lambda x: x[:3]):
+                if x[0] != q:
+                    q, n, worst, same = x[0], 0, np.inf, {}
+                n += 1
+                if n == top_k:
+                    worst = -x[1]
+                    floor[q] = max(floor[q], worst)
+                if n > top_k and -x[1] < worst - SLACK * max(1.0, abs(worst)):
+                    continue
+                key = (x[4].tobytes(), x[5].tobytes(), x[6])
+                same[key] = same.get(key, 0) + 1
+                if same[key] <= top_k:
+                    out.append(x)
+            return out
+
+        for whole in batches:
+            for batch in asked.slices(whole):
+                row, place, tf = matched(batch.column(2), batch.column(3), vocabulary)
+                if not len(row):
+                    continue
+                more = batch.column(4).to_numpy(zero_copy_only=False)
+                which, wn = _expanded(row, place, asked.starts, asked.of)
+                cell = row[which] * asked.n_queries + asked.query[wn]
+                shape = (batch.num_rows, asked.n_queries)
+                scores = np.bincount(cell, asked.base[wn] * factor(tf, more[row])[which], shape[0] * shape[1]).reshape(shape)
+                scores[(scores <= 0 if plain else np.bincount(cell, minlength=scores.size).reshape(shape) == 0)] = -np.inf
+                least = floor
+                if shape[0] > top_k:
+                    least = np.maximum(floor, np.partition(scores, shape[0] - top_k, axis=0)[shape[0] - top_k])
+                good = np.isfinite(scores) & (scores >= np.where(np.isfinite(least), least - SLACK * np.maximum(1.0, np.abs(least)), -np.inf))
+                found = np.flatnonzero(good)
+                if not len(found):
+                    continue
+                order = np.argsort(cell, kind="stable")
+                lo, hi = np.searchsorted(cell[order], found), np.searchsorted(cell[order], found, "right")
+                ids, documents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for x, a, b in zip(found, lo, hi, strict=True):
+                    r, q = divmod(int(x), asked.n_queries)
+                    own = order[a:b]
+                    kept.append((q, -float(scores[r, q]), ids[r], documents[r], wn[own], tf[which[own]], more[r]))
+                fresh += len(found)
+                if fresh > limit:
+                    kept, fresh = thinned(), 0
+        kept = thinned()
+        if kept:
+            n = pa.array(np.repeat(np.arange(len(kept)), [len(x[4]) for x in kept]))
+            columns = [pa.array(np.concatenate([x[4] for x in kept]), pa.int32()), pa.array([x[2] for x in kept], pa.string()).take(n), pa.array([x[3] for x in kept], pa.string()).take(n), pa.array(np.concatenate([x[5] for x in kept]), pa.int32()), pa.array([x[6] for x in kept]).take(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["wn", "chunk_id", "document_id", "tf", fifth])
+
+    return bags.mapInArrow(run, f"wn int, chunk_id string, document_id string, tf int, {fifth} {dict(bags.dtypes)[fifth]}")
+
+
+def candidate_counts(index: Built, got: pa.Table) -> DataFrame:
+    """query_id, all_candidates: how many chunks have a term of the query (query_id, term); a task passes on its counts."""
+    asked = _Asked.made(got)
+    spark = index.bags.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, counts = pa.array(asked.terms, pa.string()), np.zeros(asked.n_queries, np.int64)
+        for whole in batches:
+            for batch in asked.slices(whole):
+                row, place, _ = matched(batch.column(0), batch.column(1), vocabulary)
+                which, wn = _expanded(row, place, asked.starts, asked.of)
+                cells = np.bincount(row[which] * asked.n_queries + asked.query[wn], minlength=batch.num_rows * asked.n_queries)
+                counts += (cells.reshape(batch.num_rows, asked.n_queries) > 0).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(asked.n_queries), pa.int64()), pa.array(counts)], names=["qn", "n"])
+
+    python_ready(spark)
+    names = spark.createDataFrame(got.select(["query_id"]).append_column("qn", pa.array(asked.query))).distinct()
+    counted = index.bags.select("terms", "tfs").mapInArrow(run, "qn long, n long").groupBy("qn").agg(F.sum("n").alias("all_candidates"))
+    return counted.join(F.broadcast(names), "qn").select("query_id", "all_candidates")
 
 
 def ranked(scored: DataFrame, top_k: int, score: str = "score", tie: str = "chunk_id", by: str = "query_id") -> DataFrame:
@@ -101,21 +258,27 @@ def candidates(terms: DataFrame, index: Index, top_k: int, mode: str, fallback:
     """
     if mode == "exact":
         return None
-    own = terms.select("query_id", "term")
-    short = meet(index.champions, own, "term").select("query_id", "chunk_id").distinct()
+    own, got = held(terms.select("query_id", "term"))
+    if isinstance(index, Built) and got is not None:
+        rows = index.entries([t for t in got.column("term").unique().to_pylist() if t is not None])
+        lists, every = champions_of(rows, index.champion_size), lambda few: meet(rows.select("term", "chunk_id"), few, "term")
+    else:
+        lists, every = index.champions, lambda few: by_term(index, few)
+    short = meet(lists, own, "term").select("query_id", "chunk_id").distinct()
     if not fallback:
         return short
     enough = short.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= top_k).select("query_id")
-    full = by_term(index, own.join(enough, "query_id", "left_anti")).select("query_id", "chunk_id").distinct()
+    full = every(own.join(enough, "query_id", "left_anti")).select("query_id", "chunk_id").distinct()
     return short.join(enough, "query_id", "left_semi").unionByName(full)
 
 
-def _hits(weighted: DataFrame, index: Index, contribution: Column, top_k: int, chosen: DataFrame | None, *more: str) -> DataFrame:
-    """Scores of query terms over postings, best top_k of each query; contribution is made of tf, df and `more`."""
-    met = by_term(index, weighted, "df", *more)
-    if chosen is not None:
-        met = met.join(chosen, ["query_id", "chunk_id"], "left_semi")
-    met = met.join(F.broadcast(index.stats))  # one row
+def _hits(weighted: DataFrame, index: Index | Built, contribution: Column, top_k: int, chosen: DataFrame | None, base: Column, factor: Callable[[float], Callable], *more: str) -> DataFrame:
+    """Scores of query terms over postings, best top_k of each query; contribution is made of tf, df and `more`.
+
+    Up to rounding it is base, of w and df, times factor(mean length)(tf, what `more` names).
+    """
+    met = _met(weighted, index, top_k, chosen, base, factor, *more)
+    met = met.join(F.broadcast(figures(index)))  # one row
     met = met.select("query_id", "chunk_id", "document_id", "term", contribution.alias("c"))
     grouped = met.groupBy("query_id", "chunk_id", "document_id").agg(F.array_sort(F.collect_list(F.struct("term", "c"))).alias("parts"))
     scored = grouped.withColumn("score", F.aggregate("parts", F.lit(0.0), lambda s, x: s + x["c"]))
@@ -123,6 +286,23 @@ def _hits(weighted: DataFrame, index: Index, contribution: Column, top_k: int, c
     return best.select("query_id", "rank", "chunk_id", "document_id", "score", F.array_sort(F.map_keys("contributions")).alias("matched_terms"), F.col("contributions").alias("term_contributions"))
 
 
+def _met(weighted: DataFrame, index: Index | Built, top_k: int, chosen: DataFrame | None, base: Column, factor: Callable[[float], Callable], *more: str) -> DataFrame:
+    """weighted with the postings of its terms, those at least that may lead to one of the top_k."""
+    small, got = held(weighted) if isinstance(index, Built) else (weighted, None)
+    if got is not None and got.num_rows and chosen is not None:
+        rows = index.entries([t for t in got.column("term").unique().to_pylist() if t is not None])
+        met = meet(rows if "length" in more else rows.drop("length"), chosen, "chunk_id").join(F.broadcast(with_df(index, small)), ["query_id", "term"])
+        return met.join(index.norms, "chunk_id") if "norm" in more else met
+    if got is not None and len(got.column("term").unique()) > PUSHED_VALUES:
+        _, based = held(with_df(index, small).join(F.broadcast(figures(index))).withColumn("base", base))
+        known = based.drop_columns([c for c in ("n_chunks", "avg_length", "base") if c in based.column_names]).append_column("wn", pa.array(range(based.num_rows), pa.int32()))
+        rows = (index.normed if "norm" in more else index.bags).select("chunk_id", "document_id", "terms", "tfs", *more)
+        found = contenders(rows, based, factor(index.figures.first()["avg_length"]), top_k)
+        return found.join(F.broadcast(small.sparkSession.createDataFrame(known)), "wn").drop("wn") if based.num_rows else by_term(index, small, "df", *more)
+    met = by_term(index, weighted, "df", *more)
+    return met if chosen is None else met.join(chosen, ["query_id", "chunk_id"], "left_semi")
+
+
 def _checked(top_k: int, mode: str) -> None:
     check_top_k(top_k)
     check_choice("retrieval_mode", mode, ("champion", "exact"))
@@ -130,7 +310,7 @@ def _checked(top_k: int, mode: str) -> None:
 
 def tfidf_weights(queries: DataFrame, index: Index) -> DataFrame:
     """query_id, term, w: (1 + ln qtf) idf of terms that are in the index."""
-    rows = known_terms(queries, index).join(F.broadcast(index.stats.select("n_chunks")))
+    rows = known_terms(queries, index).join(F.broadcast(figures(index).select("n_chunks")))
     return rows.select("query_id", "term", (tf_weight(F.col("qtf")) * tfidf_idf(F.col("df"), F.col("n_chunks"))).alias("w"))
 
 
@@ -143,7 +323,8 @@ def search_weighted_tfidf(weights: DataFrame, index: Index, top_k: int = 10, mod
     chosen = candidates(live.filter("w > 0"), index, top_k, mode, fallback)
     doc_weight = tf_weight(F.col("tf")) * tfidf_idf(F.col("df"), F.col("n_chunks"))
     contribution = F.col("w") * doc_weight / (F.col("qnorm") * F.col("norm"))
-    return _hits(full, index, contribution, top_k, chosen, "norm")
+    base = F.col("w") * tfidf_idf(F.col("df"), F.col("n_chunks")) / F.col("qnorm")
+    return _hits(full, index, contribution, top_k, chosen, base, lambda mean: lambda tf, norm: (1 + np.log(tf)) / norm, "norm")
 
 
 def search_tfidf(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "champion", fallback: bool = True) -> DataFrame:
@@ -164,7 +345,9 @@ def search_weighted_bm25(weights: DataFrame, index: Index, top_k: int = 10, mode
     check_bm25(k1, b)
     live, _ = held(weights.filter("w != 0").select("query_id", "term", "w"))
     chosen = candidates(live.filter("w > 0"), index, top_k, mode, fallback)
-    return _hits(live, index, _bm25_part(F.lit(float(k1)), F.lit(float(b))), top_k, chosen, "length")
+    base = F.col("w") * bm25_idf(F.col("df"), F.col("n_chunks"))
+    factor = lambda mean: lambda tf, length: tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))
+    return _hits(live, index, _bm25_part(F.lit(float(k1)), F.lit(float(b))), top_k, chosen, base, factor, "length")
 
 
 def search_bm25(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "champion", fallback: bool = True, k1: float = K1, b: float = B) -> DataFrame:
@@ -178,7 +361,7 @@ def sweep_bm25(queries: DataFrame, index: Index, grid: list[tuple[float, float]]
     for k1, b in grid:
         check_bm25(k1, b)
     weights = known_terms(queries, index).select("query_id", "term", F.col("qtf").cast("double").alias("w"))
-    met = by_term(index, weights, "df", "length").join(F.broadcast(index.stats))  # one row
+    met = by_term(index, weights, "df", "length").join(F.broadcast(figures(index)))  # one row
     met = met.withColumn("base", F.col("w") * bm25_idf(F.col("df"), F.col("n_chunks")))
     parts = F.array_sort(F.collect_list(F.struct("term", "base", F.col("tf").cast("double").alias("tf"))))
     grouped = met.groupBy("query_id", "chunk_id", "document_id").agg(parts.alias("parts"), (F.first("length") / F.first("avg_length")).alias("share"))
@@ -199,7 +382,11 @@ def diagnostics(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "
     _checked(top_k, mode)
     terms = known_terms(queries, index)
     total = terms.groupBy("query_id").agg(F.sum("df").alias("postings_available"), F.sum(F.least("df", F.lit(index.champion_size))).alias("champion_postings"))
-    every = by_term(index, terms.select("query_id", "term")).select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("all_candidates"))
+    _, got = held(terms.select("query_id", "term")) if isinstance(index, Built) else (terms, None)
+    if got is not None and got.num_rows:
+        every = candidate_counts(index, got)
+    else:
+        every = by_term(index, terms.select("query_id", "term")).select("query_id", "chunk_id").distinct().groupBy("query_id").agg(F.count("*").alias("all_candidates"))
     short = candidates(terms, index, top_k, "champion", False).groupBy("query_id").agg(F.count("*").alias("champion_candidates"))
     rows = queries.select("query_id").join(total, "query_id", "left").join(every, "query_id", "left").join(short, "query_id", "left").fillna(0)
     fell = F.lit(mode == "champion" and fallback) & (F.col("champion_candidates") < top_k)

@@ -13,6 +13,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Limits of an Arrow batch, for every operator, as a batch is what a worker holds: rows, and bytes, as texts may be long.
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
 def _local_folder(prefix: str) -> str:
     """A folder of this machine that goes with the process."""
     path = tempfile.mkdtemp(prefix=prefix)
@@ -52,8 +56,10 @@ def written(df: DataFrame, label: str, sort: tuple[str, ...] = ()) -> DataFrame:
 
 
 def python_ready(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application, and bound their Arrow batches."""
     sc = spark.sparkContext
+    for name, value in BATCH_LIMITS.items():
+        spark.conf.set(name, value)
     if spark.conf.get("quarry.shipped", None) != sc.applicationId:
         spark.conf.set("quarry.shipped", sc.applicationId)
         root = Path(__file__).parents[1]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import map_arrow, pick, small_batches, table, utf8
+from quarry.llm.common import map_arrow, materialize, pick, scratch, small_batches, table, utf8
 
-#: Labelled rows that are fitted on, at most: those with the smallest hash of their id.
-SAMPLE = 20_000
+#: Labelled rows among which pairs are made; more rows are fitted on in blocks of about so many, by the hash of their id.
+BLOCK = 20_000
+#: Rows of the rarer label that a block is meant to have at least, which makes blocks larger if need be.
+RARER = 100
+#: Bins of the scores among which the cut is looked for.
+BINS = 4096
 #: Preference pairs that each row of the larger class is in; a row of the smaller one is in as many or more.
 ROUNDS = 4
 FOLDS, HELD = 3, 1
@@ -116,29 +121,125 @@ def in_fold(column: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def labelled_ids(labels: DataFrame, label: str, folds: int, held: int) -> DataFrame:
+    """(doc_id, label) outside the held fold, each once; where labels contradict each other, both count."""
+    return pick(labels, doc_id="long", **{label: "int"}).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds, held)).dropDuplicates()
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, label: str) -> DataFrame:
+    """(doc_id, text, label); where documents repeat an id, the text that sorts first stands for it."""
+    found = pick(docs, doc_id="long", text="string").join(ids, "doc_id")
+    return found.groupBy("doc_id", label).agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("doc_id", "text", F.col(label).alias("label"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, sample: int) -> DataFrame:
     """(text, label) of at most `sample` labelled ids outside the held fold, smallest id hashes first, each id and label once.
 
     Where documents repeat an id, the text that sorts first stands for it; where labels
     contradict each other, both count.
     """
-    known = pick(labels, doc_id="long", **{label: "int"}).filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold("doc_id", folds, held))
-    chosen = known.dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(sample)
+    chosen = labelled_ids(labels, label, folds, held).orderBy(F.xxhash64("doc_id"), "doc_id", label).limit(sample)
     # at most `sample` ids and labels: the bound holds at any size of the corpus
-    found = pick(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id")
-    return found.groupBy("doc_id", label).agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select("text", F.col(label).alias("label"))
+    return texts_of(docs, F.broadcast(chosen), label).select("text", "label")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of equal length as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def summed(rows: DataFrame, column: str, make: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum of make(a batch of a list column as a matrix); a task passes on one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                part = make(_matrix(batch.column(0)))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    return np.sum([r["s"] for r in rows.select(column).mapInArrow(run, "s array<double>").collect()], axis=0)
+
+
+def fit_blocks(rows: DataFrame, rounds: int = ROUNDS, ridge: float = 1e-3, seed: int = 7) -> Model:
+    """`fit` on a table (block, label, x) of any size: pairs are made within blocks, sums and the cut are of all rows."""
+    width = len(NAMES)
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    n = sum(sizes.values())
+    if len(sizes) < 2:
+        return Model(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
+    mean = summed(rows, "x", lambda x: x.sum(0)) / n
+    spread = np.sqrt(summed(rows, "x", lambda x: ((x - mean) ** 2).sum(0)) / n) + 1e-9
+
+    def paired(group: pa.Table) -> pa.Table:
+        got = sorted(zip(group.column("label").to_pylist(), group.column("x").to_pylist(), strict=True))
+        y = np.array([label for label, _ in got])
+        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        z = np.clip((np.array([x for _, x in got]) - mean) / spread, -6, 6)
+        preferred, other = preference_pairs(good, bad, rounds, seed + group.column("block")[0].as_py()) if len(good) and len(bad) else (good[:0], bad[:0])
+        flat = (z[preferred] - z[other]).ravel()
+        return pa.table([pa.ListArray.from_arrays(pa.array(np.arange(len(preferred) + 1) * width, pa.int32()), pa.array(flat))], names=["d"])
+
+    pairs = materialize(rows.groupBy("block").applyInArrow(paired, "d array<double>"), "pairs")
+    n_pairs, weights = pairs.count(), np.zeros(width)
+
+    def slopes(d: np.ndarray) -> np.ndarray:
+        lost = 1 / (1 + np.exp(np.clip(d @ weights, -30, 30)))
+        return np.concatenate([d.T @ lost, ((d * (lost * (1 - lost))[:, None]).T @ d).ravel()])
+
+    for _ in range(25 if n_pairs else 0):
+        got = summed(pairs, "d", slopes) / n_pairs
+        step = np.linalg.solve(got[width:].reshape(width, width) + ridge * np.eye(width), got[:width] - ridge * weights)
+        weights = weights + step
+        if np.abs(step).max() < 1e-8:
+            break
+    model = Model(mean, spread, weights, 0.0)
+
+    def strengths(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(model.strength(_matrix(batch.column(0))))], names=["s"])
+
+    scores = materialize(map_arrow(rows.select("x"), strengths, "s double"), "strengths")
+    return Model(mean, spread, weights, quantile(scores, sizes[0] / n, n))
+
+
+def quantile(scores: DataFrame, share: float, n: int) -> float:
+    """np.quantile of a table's column s of n rows: a histogram leads to the bins that hold the value, whose distinct scores are counted."""
+    least, most = scores.agg(F.min("s"), F.max("s")).first()
+    if most <= least:
+        return float(least)
+    binned = scores.withColumn("b", F.floor((F.col("s") - least) / (most - least) * BINS))
+    at = share * (n - 1)
+    ranks = [int(np.floor(at)), int(np.ceil(at))]
+    counts = sorted((r["b"], r["count"]) for r in binned.groupBy("b").count().collect())
+    ends = np.cumsum([c for _, c in counts])
+    first, last = np.searchsorted(ends, ranks, "right")
+    values = sorted((r["s"], r["count"]) for r in binned.filter(F.col("b").between(counts[first][0], counts[last][0])).groupBy("s").count().collect())
+    before = ends[first] - counts[first][1]
+    low, high = (values[i][0] for i in np.searchsorted(before + np.cumsum([c for _, c in values]), ranks, "right"))
+    return float(low + (high - low) * (at - ranks[0]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    """Fit on labels outside the held fold; reads text only of the documents."""
+def train(docs: DataFrame, labels: DataFrame, block: int = BLOCK, rounds: int = ROUNDS) -> Model:
+    """Fit on all labels outside the held fold; reads text only of the documents."""
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([features(x) for x in utf8(batch.column(0))], pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([features(x) for x in utf8(batch.column(1))], pa.list_(pa.float64()))], names=["block", "label", "x"])
 
     small_batches(docs.sparkSession)
-    rows = training_rows(docs, labels, "quality", FOLDS, HELD, sample)
-    got = sorted((r["label"], r["x"]) for r in map_arrow(rows, measure, "x array<double>, label int").collect())
-    return fit(np.array([x for _, x in got]).reshape(len(got), len(NAMES)), np.array([y for y, _ in got], int), rounds)
+    with scratch():
+        ids = materialize(labelled_ids(labels, "quality", FOLDS, HELD), "labelled")
+        sizes = [r["count"] for r in ids.groupBy("quality").count().collect()]
+        n, rarer = sum(sizes), min(sizes, default=0)
+        blocks = max(1, min(-(-n // block), rarer // RARER))
+        # as many ids as a task holds with ease are sent to all; more are joined by shuffle
+        rows = texts_of(docs, F.broadcast(ids) if n <= 1_000_000 else ids, "quality").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+        measured = map_arrow(rows.select("block", "text", "label"), measure, "block int, label int, x array<double>")
+        if n > block:
+            return fit_blocks(materialize(measured, "measured"), rounds)
+        got = sorted((r["label"], r["x"]) for r in measured.collect())
+        return fit(np.array([x for _, x in got]).reshape(len(got), len(NAMES)), np.array([y for y, _ in got], int), rounds)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -692,3 +692,20 @@ def test_media(spark, tmp_path, odd, none):
         said = media.parse_page(media.media_page(text))
         assert [x["text"] for x in said if x["kind"] == "text"] == [x[1] for x in want if x[0] == "text"]
     assert media.aligned(none).isEmpty() and media.sequences(none.withColumn("html", F.lit("")), "doc_id").isEmpty()
+
+
+def test_quality_learns_from_all_labels_whatever_the_block(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, len(quality.NAMES)))
+    y = (x[:, 0] + x[:, 1] + rng.normal(size=600) > 0.3).astype(int)
+    got = sorted(zip(y.tolist(), x.tolist(), strict=True))
+    whole = quality.fit(np.array([v for _, v in got]), np.array([label for label, _ in got]))
+    blocks = quality.fit_blocks(spark.createDataFrame([(0, label, v) for label, v in got], "block int, label int, x array<double>").repartition(3))
+    assert np.allclose(whole.weights, blocks.weights) and np.allclose(whole.mean, blocks.mean) and abs(whole.cut - blocks.cut) < 1e-9
+    docs = spark.createDataFrame([(i, " ".join(["word"] * (i % 37 + 1)) + ("." if i % 2 else " %$")) for i in range(900)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) quality")
+    rows = [r["text"].encode() for r in docs.join(labels, "doc_id").filter("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1").collect()]
+    model = quality.train(docs, labels, 100)  # 100 rows at once, some 600 in all
+    assert np.allclose(model.mean, np.array([quality.features(t) for t in rows]).mean(0)) and len(rows) > 500
+    ties = spark.createDataFrame([(float(v),) for v in [1] * 40 + [2] * 7 + [5, 9.5]], "s double")
+    assert all(quality.quantile(ties, q, 49) == pytest.approx(np.quantile([r["s"] for r in ties.collect()], q)) for q in (0.0, 0.3, 0.83, 0.97, 0.99, 1.0))

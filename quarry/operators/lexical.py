@@ -23,8 +23,8 @@ from pyspark.sql import Window as W
 from quarry.config import B, K1, check_bm25, check_choice, check_top_k
 from quarry.functions import text as X
 from quarry.functions.stem import stems
-from quarry.operators.index import Built, Index, bm25_idf, champions_of, in_order, matched, tf_weight, tfidf_idf
-from quarry.sources.work import python_ready
+from quarry.operators.index import Built, Index, bm25_idf, entries_of, in_order, matched, tf_weight, tfidf_idf
+from quarry.sources.work import python_ready, written
 
 #: Query terms up to this many rows are broadcast; beyond, the join shuffles.
 BROADCAST_TERMS = 100_000
@@ -99,7 +99,7 @@ def by_term(index: Index | Built, want: DataFrame, *more: str) -> DataFrame:
         met = index.counted.join(small, "term")
         met = met.join(index.lengths.select("chunk_id", "length"), "chunk_id") if "length" in more else met
     else:
-        rows = index.entries([t for t in got.column("term").unique().to_pylist() if t is not None])
+        rows = index.entries(_terms_in(got))
         met = meet(rows if "length" in more else rows.drop("length"), small, "term")
     return met.join(index.norms, "chunk_id") if "norm" in more else met
 
@@ -259,19 +259,24 @@ def candidates(terms: DataFrame, index: Index, top_k: int, mode: str, fallback:
     if mode == "exact":
         return None
     own, got = held(terms.select("query_id", "term"))
-    if isinstance(index, Built) and got is not None:
-        rows = index.entries([t for t in got.column("term").unique().to_pylist() if t is not None])
-        lists, every = champions_of(rows, index.champion_size), lambda few: meet(rows.select("term", "chunk_id"), few, "term")
+    if not isinstance(index, Built) or got is None:
+        short = meet(index.champions, own, "term").select("query_id", "chunk_id").distinct()
     else:
-        lists, every = index.champions, lambda few: by_term(index, few)
-    short = meet(lists, own, "term").select("query_id", "chunk_id").distinct()
+        short = written(meet(index.champions_of(_terms_in(got)), own, "term").select("query_id", "chunk_id").distinct(), "short")
     if not fallback:
         return short
     enough = short.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= top_k).select("query_id")
-    full = every(own.join(enough, "query_id", "left_anti")).select("query_id", "chunk_id").distinct()
+    few, left = held(own.join(enough, "query_id", "left_anti"))
+    if left is not None and not left.num_rows:
+        return short
+    full = by_term(index, few).select("query_id", "chunk_id").distinct()
     return short.join(enough, "query_id", "left_semi").unionByName(full)
 
 
+def _terms_in(got: pa.Table) -> list[str]:
+    return [t for t in got.column("term").unique().to_pylist() if t is not None]
+
+
 def _hits(weighted: DataFrame, index: Index | Built, contribution: Column, top_k: int, chosen: DataFrame | None, base: Column, factor: Callable[[float], Callable], *more: str) -> DataFrame:
     """Scores of query terms over postings, best top_k of each query; contribution is made of tf, df and `more`.
 
@@ -290,8 +295,8 @@ def _met(weighted: DataFrame, index: Index | Built, top_k: int, chosen: DataFram
     """weighted with the postings of its terms, those at least that may lead to one of the top_k."""
     small, got = held(weighted) if isinstance(index, Built) else (weighted, None)
     if got is not None and got.num_rows and chosen is not None:
-        rows = index.entries([t for t in got.column("term").unique().to_pylist() if t is not None])
-        met = meet(rows if "length" in more else rows.drop("length"), chosen, "chunk_id").join(F.broadcast(with_df(index, small)), ["query_id", "term"])
+        rows = entries_of(meet(index.bags, chosen.select("chunk_id").distinct(), "chunk_id"), _terms_in(got))
+        met = (rows if "length" in more else rows.drop("length")).join(chosen, "chunk_id").join(F.broadcast(with_df(index, small)), ["query_id", "term"])
         return met.join(index.norms, "chunk_id") if "norm" in more else met
     if got is not None and len(got.column("term").unique()) > PUSHED_VALUES:
         _, based = held(with_df(index, small).join(F.broadcast(figures(index))).withColumn("base", base))

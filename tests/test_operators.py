@@ -423,3 +423,25 @@ def test_a_search_makes_only_the_tables_it_needs(spark):
     got = hits(built)
     assert not {"norms", "champions", "forward", "scored"} & set(vars(built))
     assert got == hits(index.derive(built.postings, built.lengths)) and [x[1] for x in got[:3]] == ["c-1", "c-4", "c-7"]
+
+
+def test_a_task_passes_on_only_what_may_be_among_the_best(spark, monkeypatch):
+    words = [f"w{i:03d}" for i in range(120)]
+    texts = [" ".join(words[(i * 7 + j * j) % 120] for j in range(3 + i % 17)) for i in range(400)] + ["w001 w002 w003"] * 300  # copies tie
+    rows = corpus(spark, *[(f"c-{(i * 611) % 700:03d}", t) for i, t in enumerate(texts)]).repartition(3)
+    q = ask(spark, *[" ".join(words[i : i + 30]) for i in range(0, 120, 10)], "w001 w002", "nowhere")
+    made = []
+    contenders = lexical.contenders
+    monkeypatch.setattr(lexical, "contenders", lambda *a: made.append(contenders(*a)) or made[-1])
+    shown = lambda hits: [tuple(r) for r in hits.orderBy("query_id", "rank").collect()]
+    runs = {
+        "bm25": lambda i: shown(lexical.search_bm25(q, i, 5, "exact")), "tfidf": lambda i: shown(lexical.search_tfidf(q, i, 5, "exact")),
+        "champion": lambda i: shown(lexical.search_bm25(q, i, 5, "champion")), "diagnostics": lambda i: sorted(map(tuple, lexical.diagnostics(q, i, 5).collect())),
+    }
+    built = index.build(rows, champion_size=8)
+    got = {name: run(built) for name, run in runs.items()}
+    # at most 5 chunks of a query and task, and 5 by the same counts of those that tie with the last
+    assert len(made) == 2 and all(m.select("wn", "chunk_id").count() < 0.5 * built.counted.count() for m in made) and "postings" not in built.__dict__
+    plain = index.derive(index.postings_of(rows), index.lengths_of(rows), champion_size=8)
+    assert got == {name: run(plain) for name, run in runs.items()}
+    assert {r["term"]: r["df"] for r in built.terms.collect()} == {r["term"]: r["df"] for r in built.df_of(words).collect()}

@@ -468,3 +468,12 @@ def test_sizes_of_chunks_are_those_of_bags(spark, odd, monkeypatch):
     monkeypatch.setattr(index, "written", None)
     built = index.build_documents(odd, 8, 3)
     assert rows(built.sizes) == want and len({d for _, d, _, _ in want}) == 4
+
+
+def test_an_index_of_documents_has_the_hits_of_one_of_chunks(spark, odd, monkeypatch):
+    q = ask(spark, "alpha gamma", "w1 w2 eight")
+    shown = lambda i: sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in lexical.search_bm25(q, i, 4, "exact").collect())
+    want = shown(index.build(index.chunk_documents(odd, 8, 3)))
+    made = []
+    monkeypatch.setattr(index, "chunk_documents", lambda *a, **k: made.append(a))
+    assert shown(index.build_documents(odd, 8, 3)) == want and len(want) == 4 and not made

@@ -2,18 +2,51 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.config import B, K1, check_top_k
 from quarry.operators.index import Index
-from quarry.operators.lexical import sweep_bm25
+from quarry.operators.lexical import held, sweep_bm25
+from quarry.sources.work import python_ready
 
 # The grid of the sweep.
 GRID_K1, GRID_B = (0.9, 1.2, 1.5, 2.0), (0.3, 0.5, 0.75, 1.0)
 TIE = 1e-12
 
 
+def holders(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """query_id, document_id: documents (document_id, text) whose text has a query's (query_id, text) as it is.
+
+    Blanks stand around a passage's inner words, so a text that has it has these as words; the
+    longest of them leads to the passage, which is then looked for. Passages without are looked for in all.
+    """
+    asked, got = held(queries.select("query_id", "text").filter("text is not null"))
+    if got is None:
+        return docs.join(asked.withColumnRenamed("text", "passage"), F.contains("text", "passage")).select("query_id", "document_id")
+    python_ready(docs.sparkSession)
+    passages, names = got.column("text").to_pylist(), got.column("query_id").combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        led: dict[str, list[int]] = {}
+        always = []
+        for i, passage in enumerate(passages):
+            if inner := re.findall(r"(?<=\s)\S+(?=\s)", passage):
+                led.setdefault(max(inner, key=len), []).append(i)
+            else:
+                always.append(i)
+        for batch in batches:
+            found = [(i, d) for d, text in enumerate(batch.column(1).to_pylist()) if text is not None for i in (*always, *(i for word in led.keys() & set(text.split()) for i in led[word])) if passages[i] in text]
+            yield pa.RecordBatch.from_arrays([names.take(pa.array([i for i, _ in found], pa.int64())), batch.column(0).take(pa.array([d for _, d in found], pa.int64()))], names=["query_id", "document_id"])
+
+    narrow = docs.select(F.col("document_id").cast("string"), F.col("text").cast("string"))
+    return narrow.mapInArrow(run, f"query_id {dict(queries.dtypes)['query_id']}, document_id string")
+
+
 def metrics(ranking: DataFrame, qrels: DataFrame, queries: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), item: str = "chunk_id") -> DataFrame:
     """precision, reciprocal_rank, ndcg at k per query (and further keys of the ranking).
 

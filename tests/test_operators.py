@@ -477,3 +477,9 @@ def test_an_index_of_documents_has_the_hits_of_one_of_chunks(spark, odd, monkeyp
     made = []
     monkeypatch.setattr(index, "chunk_documents", lambda *a, **k: made.append(a))
     assert shown(index.build_documents(odd, 8, 3)) == want and len(want) == 4 and not made
+
+
+def test_passages_are_found_wherever_they_stand(spark, odd):
+    q = ask(spark, "three four five", "wo three f", "one of\xa0them it's", "beta", "no such words here", "w3  w4  w5")
+    want = {tuple(r) for r in odd.join(q.withColumnRenamed("text", "p"), F.contains("text", "p")).select("query_id", "document_id").collect()}
+    assert {tuple(r) for r in evaluation.holders(q, odd).collect()} == want and {i for i, _ in want} >= {0, 1, 3}

@@ -483,3 +483,11 @@ def test_passages_are_found_wherever_they_stand(spark, odd):
     q = ask(spark, "three four five", "wo three f", "one of\xa0them it's", "beta", "no such words here", "w3  w4  w5")
     want = {tuple(r) for r in odd.join(q.withColumnRenamed("text", "p"), F.contains("text", "p")).select("query_id", "document_id").collect()}
     assert {tuple(r) for r in evaluation.holders(q, odd).collect()} == want and {i for i, _ in want} >= {0, 1, 3}
+
+
+def test_short_passages_are_relevant_too(spark, tmp_path):
+    from quarry.plans import registry
+
+    spark.createDataFrame([(1, "a short passage"), (2, "nowhere at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "here is a short passage.", "en", "s"), (8, "here is none", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in registry.relevant(spark, str(tmp_path)).collect()] == [(1, "7")]

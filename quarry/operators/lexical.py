@@ -108,7 +108,7 @@ def by_chunk(index: Index | Built, want: DataFrame) -> DataFrame:
     """want (query_id, chunk_id, ...) with the term, tf and df of each posting of the chunk."""
     if isinstance(index, Index):
         return meet(index.forward.select("term", "chunk_id", "tf", "df"), want, "chunk_id")
-    met = meet(index.bags.select("chunk_id", "terms", "tfs"), want, "chunk_id").withColumn("p", F.explode(F.arrays_zip("terms", "tfs")))
+    met = written(meet(index.bags.select("chunk_id", "terms", "tfs"), want, "chunk_id"), "feedback_bags").withColumn("p", F.explode(F.arrays_zip("terms", "tfs")))
     return with_df(index, met.withColumn("term", F.col("p.terms")).withColumn("tf", F.col("p.tfs")).drop("p", "terms", "tfs"))
 
 
@@ -151,9 +151,11 @@ class _Asked:
         return (batch.slice(at, size) for at in range(0, batch.num_rows, size))
 
 
-def contenders(bags: DataFrame, got: pa.Table, factor: Callable[[np.ndarray, np.ndarray], np.ndarray], top_k: int) -> DataFrame:
+def contenders(bags: DataFrame, got: pa.Table, factor: Callable[[np.ndarray, np.ndarray], np.ndarray], top_k: int, norm: Callable[[pa.ListArray, pa.ListArray], np.ndarray] | None = None) -> DataFrame:
     """wn, chunk_id, document_id, tf and the fifth column of bags, for chunks that may be among the top_k of a query.
 
+    With norm, the fifth column is what it makes of the bag.
+
     got has weights (query_id, term, base), wn is a place in it. A score is the sum of base
     times factor(tf, fifth column). A task keeps, of each query, its chunks whose score reaches
     its k-th best but for SLACK; of chunks that score by the same counts, those of the
@@ -161,7 +163,7 @@ def contenders(bags: DataFrame, got: pa.Table, factor: Callable[[np.ndarray, np.
     """
     python_ready(bags.sparkSession)
     asked = _Asked.made(got)
-    fifth = bags.columns[4]
+    fifth, kind = ("norm", "double") if norm else (bags.columns[4], dict(bags.dtypes)[bags.columns[4]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pa.array(asked.terms, pa.string())
@@ -188,11 +190,12 @@ def contenders(bags: DataFrame, got: pa.Table, factor: Callable[[np.ndarray, np.
             return out
 
         for whole in batches:
+            every, at = (norm(whole.column(2), whole.column(3)) if norm else whole.column(4).to_numpy(zero_copy_only=False)), 0
             for batch in asked.slices(whole):
+                more, at = every[at : at + batch.num_rows], at + batch.num_rows
                 row, place, tf = matched(batch.column(2), batch.column(3), vocabulary)
                 if not len(row):
                     continue
-                more = batch.column(4).to_numpy(zero_copy_only=False)
                 which, wn = _expanded(row, place, asked.starts, asked.of)
                 cell = row[which] * asked.n_queries + asked.query[wn]
                 shape = (batch.num_rows, asked.n_queries)
@@ -221,7 +224,7 @@ def contenders(bags: DataFrame, got: pa.Table, factor: Callable[[np.ndarray, np.
             columns = [pa.array(np.concatenate([x[4] for x in kept]), pa.int32()), pa.array([x[2] for x in kept], pa.string()).take(n), pa.array([x[3] for x in kept], pa.string()).take(n), pa.array(np.concatenate([x[5] for x in kept]), pa.int32()), pa.array([x[6] for x in kept]).take(n)]
             yield pa.RecordBatch.from_arrays(columns, names=["wn", "chunk_id", "document_id", "tf", fifth])
 
-    return bags.mapInArrow(run, f"wn int, chunk_id string, document_id string, tf int, {fifth} {dict(bags.dtypes)[fifth]}")
+    return bags.mapInArrow(run, f"wn int, chunk_id string, document_id string, tf int, {fifth} {kind}")
 
 
 def candidate_counts(index: Built, got: pa.Table) -> DataFrame:
@@ -301,8 +304,9 @@ def _met(weighted: DataFrame, index: Index | Built, top_k: int, chosen: DataFram
     if got is not None and len(got.column("term").unique()) > PUSHED_VALUES:
         _, based = held(with_df(index, small).join(F.broadcast(figures(index))).withColumn("base", base))
         known = based.drop_columns([c for c in ("n_chunks", "avg_length", "base") if c in based.column_names]).append_column("wn", pa.array(range(based.num_rows), pa.int32()))
-        rows = (index.normed if "norm" in more else index.bags).select("chunk_id", "document_id", "terms", "tfs", *more)
-        found = contenders(rows, based, factor(index.figures.first()["avg_length"]), top_k)
+        norm = index.norm if "norm" in more else None
+        rows = (index.normed if "norm" in more and norm is None else index.bags).select("chunk_id", "document_id", "terms", "tfs", *([] if norm else more))
+        found = contenders(rows, based, factor(index.figures.first()["avg_length"]), top_k, norm)
         return found.join(F.broadcast(small.sparkSession.createDataFrame(known)), "wn").drop("wn") if based.num_rows else by_term(index, small, "df", *more)
     met = by_term(index, weighted, "df", *more)
     return met if chosen is None else met.join(chosen, ["query_id", "chunk_id"], "left_semi")

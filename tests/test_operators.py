@@ -491,3 +491,20 @@ def test_short_passages_are_relevant_too(spark, tmp_path):
     spark.createDataFrame([(1, "a short passage"), (2, "nowhere at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(7, "here is a short passage.", "en", "s"), (8, "here is none", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [tuple(r) for r in registry.relevant(spark, str(tmp_path)).collect()] == [(1, "7")]
+
+
+def test_norms_are_made_where_a_bag_is(spark, odd, monkeypatch):
+    built = index.build_documents(odd, 8, 3)
+    want = {r["chunk_id"]: r["norm"] for r in index.norms_of(built.counted, built.terms, built.figures).collect()}
+    monkeypatch.setattr(index, "norms_of", None)
+    assert {r["chunk_id"]: r["norm"] for r in built.norms.collect()} == pytest.approx(want, rel=1e-12)
+    monkeypatch.setattr(index, "HELD_TERMS", 0)
+    assert index.norm_by(built.terms, 9) is None
+
+
+def test_feedback_reads_all_bags_once(spark, odd, monkeypatch):
+    made = []
+    keep = lexical.written
+    monkeypatch.setattr(lexical, "written", lambda df, label, *a: made.append(label) or keep(df, label, *a))
+    want = spark.createDataFrame([(0, "3-00000")], "query_id long, chunk_id string")
+    assert {r["term"] for r in lexical.by_chunk(index.build_documents(odd, 8, 3), want).collect()} >= {"alpha", "gamma"} and made == ["feedback_bags"]

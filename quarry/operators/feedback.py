@@ -55,7 +55,7 @@ def search_with_feedback(
     """
     check_choice("scoring", scoring, ("tfidf", "bm25"))
     check_prf(feedback_docs, expansion_terms, alpha, beta)
-    first = search_tfidf(queries, index, feedback_docs, mode, fallback) if scoring == "tfidf" else search_bm25(queries, index, feedback_docs, mode, fallback, k1, b)
+    first = search_tfidf(queries, index, feedback_docs, mode, fallback) if scoring == "tfidf" else search_bm25(queries, index, feedback_docs, mode, fallback, k1, b, alone=False)
     feedback = written(first.select("query_id", "rank", "chunk_id"), "feedback")
     terms = written(expanded(written(tfidf_weights(queries, index), "weights"), feedback, index, expansion_terms, alpha, beta), "widened")
     weights = terms.select("query_id", "term", "w")

@@ -112,10 +112,15 @@ def by_chunk(index: Index | Built, want: DataFrame) -> DataFrame:
     return with_df(index, met.withColumn("term", F.col("p.terms")).withColumn("tf", F.col("p.tfs")).drop("p", "terms", "tfs"))
 
 
-def known_terms(queries: DataFrame, index: Index | Built) -> DataFrame:
-    """query_id, term, weight (1.0), qtf, df of terms that are in the index."""
+def known_terms(queries: DataFrame, index: Index | Built, alone: bool = False) -> DataFrame:
+    """query_id, term, weight (1.0), qtf, df of terms that are in the index; alone if no other term of it will be asked for."""
     asked = query_terms(queries, index)
-    return (meet(index.terms, asked, "term") if isinstance(index, Index) else with_df(index, held(asked)[0])).select("query_id", "term", "qtf", "df")
+    if isinstance(index, Index):
+        return meet(index.terms, asked, "term").select("query_id", "term", "qtf", "df")
+    small, got = held(asked)
+    if alone and got is not None:
+        index.narrow(_terms_in(got))
+    return with_df(index, small).select("query_id", "term", "qtf", "df")
 
 
 def _expanded(row: np.ndarray, place: np.ndarray, starts: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +235,7 @@ def contenders(bags: DataFrame, got: pa.Table, factor: Callable[[np.ndarray, np.
 def candidate_counts(index: Built, got: pa.Table) -> DataFrame:
     """query_id, all_candidates: how many chunks have a term of the query (query_id, term); a task passes on its counts."""
     asked = _Asked.made(got)
-    spark = index.bags.sparkSession
+    spark = index.chunks.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, counts = pa.array(asked.terms, pa.string()), np.zeros(asked.n_queries, np.int64)
@@ -244,7 +249,7 @@ def candidate_counts(index: Built, got: pa.Table) -> DataFrame:
 
     python_ready(spark)
     names = spark.createDataFrame(got.select(["query_id"]).append_column("qn", pa.array(asked.query))).distinct()
-    counted = index.bags.select("terms", "tfs").mapInArrow(run, "qn long, n long").groupBy("qn").agg(F.sum("n").alias("all_candidates"))
+    counted = index.bags_with(asked.terms).select("terms", "tfs").mapInArrow(run, "qn long, n long").groupBy("qn").agg(F.sum("n").alias("all_candidates"))
     return counted.join(F.broadcast(names), "qn").select("query_id", "all_candidates")
 
 
@@ -298,14 +303,15 @@ def _met(weighted: DataFrame, index: Index | Built, top_k: int, chosen: DataFram
     """weighted with the postings of its terms, those at least that may lead to one of the top_k."""
     small, got = held(weighted) if isinstance(index, Built) else (weighted, None)
     if got is not None and got.num_rows and chosen is not None:
-        rows = entries_of(meet(index.bags, chosen.select("chunk_id").distinct(), "chunk_id"), _terms_in(got))
+        rows = entries_of(meet(index.bags_with(_terms_in(got)), chosen.select("chunk_id").distinct(), "chunk_id"), _terms_in(got))
         met = (rows if "length" in more else rows.drop("length")).join(chosen, "chunk_id").join(F.broadcast(with_df(index, small)), ["query_id", "term"])
         return met.join(index.norms, "chunk_id") if "norm" in more else met
     if got is not None and len(got.column("term").unique()) > PUSHED_VALUES:
         _, based = held(with_df(index, small).join(F.broadcast(figures(index))).withColumn("base", base))
         known = based.drop_columns([c for c in ("n_chunks", "avg_length", "base") if c in based.column_names]).append_column("wn", pa.array(range(based.num_rows), pa.int32()))
         norm = index.norm if "norm" in more else None
-        rows = (index.normed if "norm" in more and norm is None else index.bags).select("chunk_id", "document_id", "terms", "tfs", *([] if norm else more))
+        bags = index.bags_with(_terms_in(got)) if "norm" not in more else index.normed if norm is None else index.bags
+        rows = bags.select("chunk_id", "document_id", "terms", "tfs", *([] if norm else more))
         found = contenders(rows, based, factor(index.figures.first()["avg_length"]), top_k, norm)
         return found.join(F.broadcast(small.sparkSession.createDataFrame(known)), "wn").drop("wn") if based.num_rows else by_term(index, small, "df", *more)
     met = by_term(index, weighted, "df", *more)
@@ -359,9 +365,12 @@ def search_weighted_bm25(weights: DataFrame, index: Index, top_k: int = 10, mode
     return _hits(live, index, _bm25_part(F.lit(float(k1)), F.lit(float(b))), top_k, chosen, base, factor, "length")
 
 
-def search_bm25(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "champion", fallback: bool = True, k1: float = K1, b: float = B) -> DataFrame:
-    """query_id, rank, chunk_id, document_id, score, matched_terms, term_contributions by Okapi BM25."""
-    weights = known_terms(queries, index).select("query_id", "term", F.col("qtf").cast("double").alias("w"))
+def search_bm25(queries: DataFrame, index: Index, top_k: int = 10, mode: str = "champion", fallback: bool = True, k1: float = K1, b: float = B, alone: bool = True) -> DataFrame:
+    """query_id, rank, chunk_id, document_id, score, matched_terms, term_contributions by Okapi BM25.
+
+    Exact search alone writes bags of the queries' terms only; not alone, those of all terms, which what follows it reads.
+    """
+    weights = known_terms(queries, index, alone and mode == "exact").select("query_id", "term", F.col("qtf").cast("double").alias("w"))
     return search_weighted_bm25(weights, index, top_k, mode, fallback, k1, b)
 
 

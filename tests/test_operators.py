@@ -479,6 +479,18 @@ def test_an_index_of_documents_has_the_hits_of_one_of_chunks(spark, odd, monkeyp
     assert shown(index.build_documents(odd, 8, 3)) == want and len(want) == 4 and not made
 
 
+def test_an_exact_search_writes_bags_of_its_own_terms(spark, odd):
+    q = ask(spark, "alpha gamma", " ".join(f"w{i}" for i in range(80)))  # more terms than a scan's filter takes
+    shown = lambda i: sorted((r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in lexical.search_bm25(q, i, 4, "exact").collect())
+    whole, built, widened = (index.build_documents(odd, 8, 3) for _ in range(3))
+    lengths = {r["chunk_id"]: r["length"] for r in whole.bags.collect()}
+    assert shown(whole) == shown(built) and not whole._narrow and "bags" not in built.__dict__
+    (narrow,) = [rows.collect() for rows in built._narrow.values()]
+    assert {r["chunk_id"]: r["length"] for r in narrow} == lengths and {t for r in narrow for t in r["terms"]} == {"alpha", "gamma", *(f"w{i}" for i in range(37))}
+    assert {r["term"] for r in built.terms.collect()} == {r["term"] for r in whole.terms.collect()}  # of all, though narrow bags are there
+    assert feedback.search_with_feedback(q, widened, 2, scoring="bm25", mode="exact").hits.count() and not widened._narrow
+
+
 def test_passages_are_found_wherever_they_stand(spark, odd):
     q = ask(spark, "three four five", "wo three f", "one of\xa0them it's", "beta", "no such words here", "w3  w4  w5")
     want = {tuple(r) for r in odd.join(q.withColumnRenamed("text", "p"), F.contains("text", "p")).select("query_id", "document_id").collect()}

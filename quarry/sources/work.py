@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,22 @@ def written(df: DataFrame, label: str, sort: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Parquet scan makes at once where texts are read: it holds them on the heap, in arrays that are doubled as they fill.
+TEXTS_AT_ONCE = "256"
+
+
+@contextmanager
+def reading_texts(spark: SparkSession) -> Iterator[None]:
+    """What runs here scans Parquet by few rows at once."""
+    name = "spark.sql.parquet.columnarReaderBatchSize"
+    was = spark.conf.get(name)
+    spark.conf.set(name, TEXTS_AT_ONCE)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def python_ready(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, and bound their Arrow batches."""
     sc = spark.sparkContext

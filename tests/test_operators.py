@@ -505,6 +505,19 @@ def test_short_passages_are_relevant_too(spark, tmp_path):
     assert [tuple(r) for r in registry.relevant(spark, str(tmp_path)).collect()] == [(1, "7")]
 
 
+def test_rank_positions_scan_texts_by_few_rows_and_write_no_whole_bags(spark, tmp_path, monkeypatch):
+    from quarry.plans import registry
+
+    spark.createDataFrame([(1, "a short passage"), (2, "nowhere at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "here is a short passage.", "en", "s"), (8, "passage passage here", "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    name, made = "spark.sql.parquet.columnarReaderBatchSize", {}
+    was = spark.conf.get(name)
+    for module in (registry, index):
+        monkeypatch.setattr(module, "written", lambda df, label, *a, keep=module.written: made.update({label: spark.conf.get(name)}) or keep(df, label, *a))
+    assert tuple(registry.rank_positions(spark, str(tmp_path)).first()) == (1, 0, 0, 0, 0)
+    assert made["narrow_bags"] == made["relevant"] == "256" and "bags" not in made and spark.conf.get(name) == was
+
+
 def test_norms_are_made_where_a_bag_is(spark, odd, monkeypatch):
     built = index.build_documents(odd, 8, 3)
     want = {r["chunk_id"]: r["norm"] for r in index.norms_of(built.counted, built.terms, built.figures).collect()}
